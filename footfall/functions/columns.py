@@ -19,10 +19,13 @@ def dollars(c: str | Column) -> Column:
     return (col(c).cast("decimal(20,0)") / 100).cast("decimal(20,2)")
 
 
-def guarded_ratio(num: str | Column, den: str | Column, scale: float = 1.0) -> Column:
-    """scale * num / den as a double, 0 when the denominator is null or 0."""
-    d = F.coalesce(col(den).cast("double"), F.lit(0.0))
-    return F.when(d == 0, 0.0).otherwise(F.lit(scale) * col(num).cast("double") / d)
+def sql_list(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def guarded_ratio(num: str, den: str, scale: float = 1.0) -> str:
+    """SQL for scale * num / den as a double, 0 when the denominator is null or 0."""
+    return f"if(coalesce({den}, 0) = 0, 0D, {scale}D * cast({num} as double) / cast({den} as double))"
 
 
 def floored_log(c: str | Column, floor: float = -1.0) -> Column:

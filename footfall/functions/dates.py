@@ -12,17 +12,17 @@ def as_date(value: date | str | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(str(value)).cast("date")
 
 
-def years_before(day: date | str | Column, years: int) -> Column:
-    return F.add_months(as_date(day), -12 * years)
+def date_sql(day: date) -> str:
+    return f"date'{day}'"
 
 
-def in_lookback(col: str | Column, feature_end: date | str | Column, years: int) -> Column:
-    """True from ``years`` before the feature end up to the day before it."""
-    end = as_date(feature_end)
-    return (F.col(col) if isinstance(col, str) else col).between(years_before(end, years), F.date_sub(end, 1))
+def lookback_sql(col: str, feature_end: date, years: int) -> str:
+    """Condition: from ``years`` before the feature end up to the day before it."""
+    end = date_sql(feature_end)
+    return f"{col} between add_months({end}, {-12 * years}) and date_sub({end}, 1)"
 
 
-def months_between(later: date | str | Column, earlier: str | Column) -> Column:
+def months_between(later: date, earlier: str) -> Column:
     return F.months_between(as_date(later), earlier, roundOff=False)
 
 

@@ -13,29 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall import settings as S
-from footfall.functions.columns import dollars
-from footfall.functions.dates import as_date, in_lookback
+from footfall.functions.dates import date_sql, lookback_sql
 from footfall.operators import spans as SP
-from footfall.operators.population import non_employees, post_acquisition, qualifies
+from footfall.operators.population import non_employees, post_acquisition, qualifies_sql
 from footfall.operators.rollup import (
     COUNT_MEASURES,
     DISTINCT_MEASURES,
+    FULL_LINE,
     SPEND_MEASURES,
     customer_days,
-    is_full_line,
     last_seen_days,
 )
 from footfall.sources.retail import RetailTables
 
 
-def event_flag_days(events: DataFrame) -> DataFrame:
-    """One row per calendar day with the 14 modelled flags."""
-    return events.select("event_dt", *S.EVENT_NAMES)
-
-
 def with_event_flags(days: DataFrame, events: DataFrame, how: str = "inner") -> DataFrame:
     """Broadcasts the calendar, one row per day of the modelled years."""
-    calendar = F.broadcast(event_flag_days(events))
+    calendar = F.broadcast(events.select("event_dt", *S.EVENT_NAMES))
     return days.join(calendar, F.col("sale_dt") == F.col("event_dt"), how)
 
 
@@ -54,68 +48,60 @@ def with_span_bits(days: DataFrame, numbered: DataFrame) -> DataFrame:
 def with_open_bits(customers: DataFrame, numbered: DataFrame, first_day: date) -> DataFrame:
     """Adds, per event, the bits of the spans that end on or after the acquisition date."""
     bits = F.broadcast(SP.open_bits(numbered, first_day))
-    on = SP.clamp_day("acq_dt", first_day) == F.col("span_day")
+    on = F.expr(SP.clamp_day_sql("acq_dt", first_day)) == F.col("span_day")
     return customers.join(bits, on, "left").drop("span_day")
 
 
-# --- aggregates over customer-days -------------------------------------------------
+# --- SQL text of the aggregates over customer-days ---------------------------------
 
 
-def spend_share_aggregates(measure: str = "fl_spend") -> dict[str, Column]:
+def spend_share_aggregates() -> dict[str, str]:
     """Spend on each event's days, and in total, over days the calendar knows."""
-    spend = {
-        f"{e.short_event}_event_spend": F.sum(F.when(F.col(e.event) == 1, F.col(measure)).otherwise(0))
-        for e in S.MODELLED_EVENTS
-    }
-    spend["calendar_spend"] = F.sum(F.when(F.col("event_dt").isNotNull(), F.col(measure)))
-    spend["calendar_items"] = F.sum(F.when(F.col("event_dt").isNotNull(), F.col("fl_items")))
+    spend = {f"{e.short_event}_event_spend": f"sum(if({e.event} = 1, fl_spend, 0L))" for e in S.MODELLED_EVENTS}
+    spend["calendar_spend"] = "sum(if(event_dt is not null, fl_spend, null))"
+    spend["calendar_items"] = "sum(if(event_dt is not null, fl_items, null))"
     return spend
 
 
-def spend_share_columns() -> dict[str, Column]:
+def spend_share_columns() -> dict[str, str]:
     """Shares with ten decimals; null where the spend nets to zero."""
     return {
-        f"{short}_pct_spend": F.round(
-            F.try_divide(F.col(f"{short}_event_spend").cast("double"), F.col("calendar_spend").cast("double")), 10
-        )
+        f"{short}_pct_spend": f"round(try_divide(cast({short}_event_spend as double), cast(calendar_spend as double)), 10)"
         for short in S.SHORT_NAMES
     }
 
 
-def shopped_bits_aggregates(shopped: Column) -> dict[str, Column]:
-    return {f"{e}_shopped": F.bit_or(F.when(shopped, F.col(f"{e}_bits"))) for e in S.EVENT_NAMES}
+def shopped_bits_aggregates(shopped: str) -> dict[str, str]:
+    return {f"{e}_shopped": f"bit_or(if({shopped}, {e}_bits, null))" for e in S.EVENT_NAMES}
 
 
-def shopped_share_columns() -> dict[str, Column]:
+def shopped_share_columns() -> dict[str, str]:
     """Years of an event that were shopped over years the customer could have shopped."""
-    shares = {}
-    for e in S.MODELLED_EVENTS:
-        shopped = F.bit_count(F.coalesce(f"{e.event}_shopped", F.lit(0)))
-        could = F.bit_count(F.coalesce(f"{e.event}_open", F.lit(0)))
-        share = F.when(could == 0, 0.0).otherwise(shopped.cast("double") / could)
-        shares[f"{e.short_event}_pct_shopped"] = F.round(share, 10)
-    return shares
+    return {
+        f"{e.short_event}_pct_shopped": f"if(coalesce({e.event}_open, 0L) = 0, 0D, round(cast("
+        f"bit_count(coalesce({e.event}_shopped, 0L)) as double) / bit_count({e.event}_open), 10))"
+        for e in S.MODELLED_EVENTS
+    }
 
 
-def shopped_last_year_aggregates(recent: Column) -> dict[str, Column]:
-    return {f"{e.short_event}_shopped_ind": F.max(F.when(recent, F.col(e.event))) for e in S.MODELLED_EVENTS}
+def shopped_last_year_aggregates(recent: str) -> dict[str, str]:
+    return {f"{e.short_event}_shopped_ind": f"max(if({recent}, {e.event}, null))" for e in S.MODELLED_EVENTS}
 
 
-def stats_aggregates(feature_end: date) -> dict[str, Column]:
+def stats_aggregates(feature_end: date) -> dict[str, str]:
     """Counts, spend (cents), breadth and recency over days of the look-back."""
-    last_year = in_lookback("sale_dt", feature_end, 1)
-    sums = {m: F.sum(m) for m in COUNT_MEASURES + SPEND_MEASURES + DISTINCT_MEASURES}
+    last_year = lookback_sql("sale_dt", feature_end, 1)
     return {
-        **sums,
-        "fl_last_sale_dt": F.max(F.when(F.col("fl_items") > 0, F.col("sale_dt"))),
-        "fl_shopped_ly_ind": F.max(F.when(last_year & (F.col("fl_items") > 0), 1).otherwise(0)),
-        "fl_spend_ly": F.sum(F.when(last_year, F.col("fl_spend")).otherwise(0)),
-        "fl_trips_ly": F.sum(F.when(last_year, F.col("fl_trips")).otherwise(0)),
+        **{m: f"sum({m})" for m in COUNT_MEASURES + SPEND_MEASURES + DISTINCT_MEASURES},
+        "fl_last_sale_dt": "max(if(fl_items > 0, sale_dt, null))",
+        "fl_shopped_ly_ind": f"max(if({last_year} and fl_items > 0, 1, 0))",
+        "fl_spend_ly": f"sum(if({last_year}, fl_spend, 0L))",
+        "fl_trips_ly": f"sum(if({last_year}, fl_trips, 0L))",
     }
 
 
-def aliased(aggregates: dict[str, Column]) -> list[Column]:
-    return [c.alias(name) for name, c in aggregates.items()]
+def named(expressions: dict[str, str]) -> list[Column]:
+    return [F.expr(f"{text} as {name}") for name, text in expressions.items()]
 
 
 # --- the one pass ---------------------------------------------------------------------
@@ -139,46 +125,46 @@ def customer_profile(
     """
     facts = customer_days(tables.trans)
     if STATS in groups:
-        lookback = tables.trans.where(in_lookback("sale_dt", feature_end, 4))
+        lookback = tables.trans.where(lookback_sql("sale_dt", feature_end, 4))
         facts = facts.unionByName(last_seen_days(lookback), allowMissingColumns=True)
 
-    in_window = in_lookback("sale_dt", feature_end, 4)
+    in_window = lookback_sql("sale_dt", feature_end, 4)
     measures = COUNT_MEASURES + SPEND_MEASURES + (DISTINCT_MEASURES if STATS in groups else [])
-    rows = post_acquisition(facts, tables.funnel).select(
+    rows = post_acquisition(facts, tables.funnel).selectExpr(
         "cust_key",
         "acq_dt",
         "sale_dt",
         "discount_ind",
         "qualifying_ind",
         "fl_ind",
-        (in_window & (F.col("fl_trip_ind") == 1)).alias("trip_in_window"),
-        in_window.alias("in_window"),
-        *[F.when(in_window, F.col(m)).alias(m) for m in measures],
+        f"{in_window} and fl_trip_ind = 1 as trip_in_window",
+        f"{in_window} as in_window",
+        *[f"if({in_window}, {m}, null) as {m}" for m in measures],
     )
 
-    aggregates: dict[str, Column] = {
-        "qualified": qualifies(feature_end),
-        "acq_dt": F.max("acq_dt"),
-        "days_in_window": F.count_if("in_window"),
+    aggregates = {
+        "qualified": qualifies_sql(feature_end),
+        "acq_dt": "max(acq_dt)",
+        "days_in_window": "count_if(in_window)",
     }
     if SPEND in groups or LAST_YEAR in groups:
         rows = with_event_flags(rows, events, "left")
     if SPEND in groups:
-        aggregates.update(spend_share_aggregates())
+        aggregates |= spend_share_aggregates()
     if LAST_YEAR in groups:
-        recent = in_lookback("sale_dt", feature_end, 1) & (F.col("fl_items") > 0) & F.col("event_dt").isNotNull()
-        aggregates.update(shopped_last_year_aggregates(recent))
+        recent = f"event_dt is not null and fl_items > 0 and {lookback_sql('sale_dt', feature_end, 1)}"
+        aggregates |= shopped_last_year_aggregates(recent)
     if SHOPPED in groups:
         numbered = lookback_spans(events, feature_end)
         rows = with_span_bits(rows, numbered)
-        aggregates.update(shopped_bits_aggregates(F.col("trip_in_window")))
+        aggregates |= shopped_bits_aggregates("trip_in_window")
     if STATS in groups:
-        aggregates.update(stats_aggregates(feature_end))
+        aggregates |= stats_aggregates(feature_end)
     if target is not None:
-        in_target = (F.col("fl_ind") == 1) & F.col("sale_dt").between(as_date(target[0]), as_date(target[1]))
-        aggregates["target_shopped_ind"] = F.max(F.when(in_target, 1).otherwise(0))
+        in_target = f"fl_ind = 1 and sale_dt between {date_sql(target[0])} and {date_sql(target[1])}"
+        aggregates["target_shopped_ind"] = f"max(if({in_target}, 1, 0))"
 
-    profile = rows.groupBy("cust_key").agg(*aliased(aggregates)).where("qualified").drop("qualified")
+    profile = rows.groupBy("cust_key").agg(*named(aggregates)).where("qualified").drop("qualified")
     profile = profile.join(non_employees(tables.customers), "cust_key", "left_semi")
     if SHOPPED in groups:
         # no span of the look-back ends before this day
@@ -192,17 +178,17 @@ def customer_profile(
 def pct_spend_in_event(tables: RetailTables, events: DataFrame, feature_end: date) -> DataFrame:
     """Share of full-line spend in the 4-year look-back that fell on each event's days."""
     profile = customer_profile(tables, events, feature_end, (SPEND,))
-    return profile.where("calendar_items > 0").select("cust_key", *aliased(spend_share_columns()))
+    return profile.where("calendar_items > 0").select("cust_key", *named(spend_share_columns()))
 
 
 def pct_spend_in_event_ly(tables: RetailTables, events: DataFrame, feature_end: date) -> DataFrame:
     """The same share over the last year only."""
-    recent = tables.trans.where(in_lookback("sale_dt", feature_end, 1))
+    recent = tables.trans.where(lookback_sql("sale_dt", feature_end, 1))
     days = post_acquisition(customer_days(recent), tables.funnel)
-    spend = with_event_flags(days, events).groupBy("cust_key").agg(*aliased(spend_share_aggregates()))
+    spend = with_event_flags(days, events).groupBy("cust_key").agg(*named(spend_share_aggregates()))
     population = customer_profile(tables, events, feature_end, ())
     kept = spend.where("calendar_items > 0").join(population, "cust_key", "left_semi")
-    return kept.select("cust_key", *aliased(spend_share_columns()))
+    return kept.select("cust_key", *named(spend_share_columns()))
 
 
 def pct_trips_in_event(tables: RetailTables, events: DataFrame, feature_end: date) -> DataFrame:
@@ -211,30 +197,25 @@ def pct_trips_in_event(tables: RetailTables, events: DataFrame, feature_end: dat
     Trips with the same days behave alike, so they are counted per (customer, days)
     before the customer's acquisition date and the calendar are looked up.
     """
-    lines = tables.trans.where(
-        is_full_line() & F.col("corp_trip_key").isNotNull() & in_lookback("sale_dt", feature_end, 4)
-    )
+    lookback = lookback_sql("sale_dt", feature_end, 4)
+    lines = tables.trans.where(f"{FULL_LINE} and corp_trip_key is not null and {lookback}")
     trips = lines.groupBy("cust_key", "corp_trip_key").agg(F.sort_array(F.collect_set("sale_dt")).alias("trip_days"))
     alike = trips.groupBy("cust_key", "trip_days").agg(F.count("*").alias("n_trips"))
     by_day = alike.select("cust_key", "trip_days", "n_trips", F.explode("trip_days").alias("sale_dt"))
     flagged = with_event_flags(post_acquisition(by_day, tables.funnel), events)
     seen = flagged.groupBy("cust_key", "trip_days", "n_trips").agg(*[F.max(e).alias(e) for e in S.EVENT_NAMES])
-    counts = {
-        e.short_event: F.sum(F.when(F.col(e.event) == 1, F.col("n_trips")).otherwise(0)) for e in S.MODELLED_EVENTS
-    }
-    totals = seen.groupBy("cust_key").agg(F.sum("n_trips").alias("all_trips"), *aliased(counts))
+    counts = {e.short_event: f"sum(if({e.event} = 1, n_trips, 0L))" for e in S.MODELLED_EVENTS}
+    totals = seen.groupBy("cust_key").agg(F.sum("n_trips").alias("all_trips"), *named(counts))
     population = customer_profile(tables, events, feature_end, ())
-    shares = {
-        f"{short}_pct_trips": F.round(F.col(short).cast("double") / F.col("all_trips"), 10) for short in S.SHORT_NAMES
-    }
-    return totals.join(population, "cust_key", "left_semi").select("cust_key", *aliased(shares))
+    shares = {f"{short}_pct_trips": f"round(cast({short} as double) / all_trips, 10)" for short in S.SHORT_NAMES}
+    return totals.join(population, "cust_key", "left_semi").select("cust_key", *named(shares))
 
 
 def pct_events_shopped(tables: RetailTables, events: DataFrame, feature_end: date) -> DataFrame:
     """Share of each event's years shopped since acquisition; 0 without any such year."""
     profile = customer_profile(tables, events, feature_end, (SHOPPED,))
     any_open = " or ".join(f"{e}_open > 0" for e in S.EVENT_NAMES)
-    return profile.where(any_open).select("cust_key", *aliased(shopped_share_columns()))
+    return profile.where(any_open).select("cust_key", *named(shopped_share_columns()))
 
 
 def event_shopped_ly(tables: RetailTables, events: DataFrame, feature_end: date) -> DataFrame:
@@ -247,11 +228,11 @@ def event_shopped_ly(tables: RetailTables, events: DataFrame, feature_end: date)
 def cust_stats(tables: RetailTables, events: DataFrame, feature_end: date) -> DataFrame:
     """The 28 customer measures, spend in dollars."""
     profile = customer_profile(tables, events, feature_end, (STATS,)).where("days_in_window > 0")
-    return profile.select("cust_key", *aliased(stats_columns()))
+    return profile.select("cust_key", *named(stats_columns()))
 
 
-def stats_columns() -> dict[str, Column]:
+def stats_columns() -> dict[str, str]:
     names = COUNT_MEASURES + SPEND_MEASURES + DISTINCT_MEASURES
     names += ["fl_last_sale_dt", "fl_shopped_ly_ind", "fl_spend_ly", "fl_trips_ly"]
     money = SPEND_MEASURES + ["fl_spend_ly"]
-    return {name: dollars(name) if name in money else F.col(name) for name in names}
+    return {n: f"cast(cast({n} as decimal(20,0)) / 100 as decimal(20,2))" if n in money else n for n in names}

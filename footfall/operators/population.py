@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.dates import as_date, in_lookback
-from footfall.operators.rollup import customer_days, is_full_line
+from footfall.functions.dates import date_sql, lookback_sql
+from footfall.operators.rollup import FULL_LINE, customer_days
 
 
 def post_acquisition(sales: DataFrame, funnel: DataFrame) -> DataFrame:
@@ -25,10 +25,10 @@ def non_employees(customers: DataFrame) -> DataFrame:
     return customers.where("current_employee_ind = 0").select("cust_key")
 
 
-def qualifies(feature_end: date) -> Column:
+def qualifies_sql(feature_end: date) -> str:
     """Aggregate test of the base population, over post-acquisition customer-days."""
-    recent = in_lookback("sale_dt", feature_end, 2)
-    return (F.max("discount_ind") == 0) & (F.max(F.when(recent, F.col("qualifying_ind")).otherwise(0)) == 1)
+    recent = lookback_sql("sale_dt", feature_end, 2)
+    return f"max(discount_ind) = 0 and max(if({recent}, qualifying_ind, 0)) = 1"
 
 
 def base_population(customers: DataFrame, trans: DataFrame, funnel: DataFrame, feature_end: date) -> DataFrame:
@@ -36,7 +36,7 @@ def base_population(customers: DataFrame, trans: DataFrame, funnel: DataFrame, f
     kept = (
         post_acquisition(customer_days(trans), funnel)
         .groupBy("cust_key")
-        .agg(qualifies(feature_end).alias("qualified"))
+        .agg(F.expr(qualifies_sql(feature_end)).alias("qualified"))
         .where("qualified")
     )
     return kept.join(non_employees(customers), "cust_key", "left_semi").select("cust_key")
@@ -44,13 +44,13 @@ def base_population(customers: DataFrame, trans: DataFrame, funnel: DataFrame, f
 
 def base_trans(trans: DataFrame, funnel: DataFrame, population: DataFrame, feature_end: date) -> DataFrame:
     """Post-acquisition lines of the population in the 4 years before the feature end."""
-    window = trans.where(in_lookback("sale_dt", feature_end, 4)).drop("spend_discount_employee_ind")
+    window = trans.where(lookback_sql("sale_dt", feature_end, 4)).drop("spend_discount_employee_ind")
     return post_acquisition(window, funnel).join(population, "cust_key", "left_semi").drop("acq_dt")
 
 
 def target_label(trans: DataFrame, funnel: DataFrame, start: date, end: date) -> DataFrame:
     """Customers with a full-line sale in the target span, each with label 1."""
-    sales = trans.where(is_full_line() & F.col("sale_dt").between(as_date(start), as_date(end)))
+    sales = trans.where(f"{FULL_LINE} and sale_dt between {date_sql(start)} and {date_sql(end)}")
     # one row per customer is enough: any sale counts when the last one does
     last = sales.groupBy("cust_key").agg(F.max("sale_dt").alias("sale_dt"))
     return post_acquisition(last, funnel).select("cust_key", F.lit(1).alias("target_shopped_ind"))

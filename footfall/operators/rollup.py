@@ -9,11 +9,11 @@ before any join sees it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall import settings as S
-from footfall.functions.columns import cents
+from footfall.functions.columns import cents, sql_list
 
 SPEND_MEASURES = (
     ["fl_spend", "merch_spend", "womens_prod_spend", "mens_prod_spend"]
@@ -24,56 +24,48 @@ COUNT_MEASURES = ["fl_items", "sale_items"]
 FLAG_MEASURES = ["discount_ind", "qualifying_ind", "fl_ind", "fl_trip_ind"]
 DISTINCT_MEASURES = ["fl_trips", "fl_divs", "jwn_channels"]
 
+FULL_LINE = f"intent_channel in ({sql_list(S.FULL_LINE_CHANNELS)})"
+MERCHANDISE = f"merch_type = '{S.MERCH_TYPE}' and channel <> '{S.RESTAURANT_CHANNEL}'"
 
-def is_full_line() -> Column:
-    return F.col("intent_channel").isin(S.FULL_LINE_CHANNELS)
 
-
-def is_merchandise() -> Column:
-    return (F.col("merch_type") == S.MERCH_TYPE) & (F.col("channel") != S.RESTAURANT_CHANNEL)
-
-
-def _spend_conditions() -> dict[str, Column]:
-    full_line = is_full_line()
+def _spend_conditions() -> dict[str, str]:
+    """Which lines each spend measure adds up; ``full_line`` and ``merchandise`` are columns."""
     conditions = {
-        "fl_spend": full_line,
-        "merch_spend": full_line & is_merchandise(),
-        "womens_prod_spend": full_line & (F.col("prod_gender") == "F"),
-        "mens_prod_spend": full_line & (F.col("prod_gender") == "M"),
+        "fl_spend": "full_line",
+        "merch_spend": "full_line and merchandise",
+        "womens_prod_spend": "full_line and prod_gender = 'F'",
+        "mens_prod_spend": "full_line and prod_gender = 'M'",
     }
     for category, groups in S.CATEGORY_GROUPS.items():
-        in_category = F.col("prod_merchlevel2").isin(groups)
+        in_category = f"prod_merchlevel2 in ({sql_list(groups)})"
         if category == "food":
-            in_category = in_category | (F.col("merch_type") == S.RESTAURANT_TYPE)
-        conditions[f"{category}_spend"] = full_line & in_category
-    conditions["giftcard_spend"] = full_line & (F.col("tender_giftcard") == 1)
-    conditions["web_spend"] = F.col("intent_channel") == S.WEB_CHANNEL
-    conditions["rack_spend"] = F.col("intent_channel") == S.RACK_CHANNEL
+            in_category = f"({in_category} or merch_type = '{S.RESTAURANT_TYPE}')"
+        conditions[f"{category}_spend"] = f"full_line and {in_category}"
+    conditions["giftcard_spend"] = "full_line and tender_giftcard = 1"
+    conditions["web_spend"] = f"intent_channel = '{S.WEB_CHANNEL}'"
+    conditions["rack_spend"] = f"intent_channel = '{S.RACK_CHANNEL}'"
     return conditions
 
 
-def _flag(condition: Column) -> Column:
-    return F.max(F.when(condition, 1).otherwise(0))
-
-
 def customer_days(trans: DataFrame) -> DataFrame:
     """(cust_key, sale_dt) with every additive measure; spend in whole cents.
 
     Columns a later step does not read are pruned away by the optimizer, down to the scan.
     """
-    full_line = is_full_line()
-    money = cents("spend_gross")
-    sums = {name: F.sum(F.when(c, money).otherwise(0)) for name, c in _spend_conditions().items()}
-    return trans.groupBy("cust_key", "sale_dt").agg(
-        F.sum(F.when(full_line, 1).otherwise(0)).alias("fl_items"),
-        F.sum(F.when(full_line, F.col("full_line_sale_ind")).otherwise(0)).alias("sale_items"),
-        *[c.alias(name) for name, c in sums.items()],
-        F.sum(money).alias("jwn_spend"),
-        F.max("spend_discount_employee_ind").alias("discount_ind"),
-        _flag(full_line & is_merchandise()).alias("qualifying_ind"),
-        _flag(full_line).alias("fl_ind"),
-        _flag(full_line & F.col("corp_trip_key").isNotNull()).alias("fl_trip_ind"),
+    lines = trans.withColumns(
+        {"full_line": F.expr(FULL_LINE), "merchandise": F.expr(MERCHANDISE), "cents": cents("spend_gross")}
     )
+    aggregates = {
+        "fl_items": "sum(if(full_line, 1, 0))",
+        "sale_items": "sum(if(full_line, full_line_sale_ind, 0))",
+        **{name: f"sum(if({c}, cents, 0L))" for name, c in _spend_conditions().items()},
+        "jwn_spend": "sum(cents)",
+        "discount_ind": "max(spend_discount_employee_ind)",
+        "qualifying_ind": "max(if(full_line and merchandise, 1, 0))",
+        "fl_ind": "max(if(full_line, 1, 0))",
+        "fl_trip_ind": "max(if(full_line and corp_trip_key is not null, 1, 0))",
+    }
+    return lines.groupBy("cust_key", "sale_dt").agg(*[F.expr(f"{e} as {name}") for name, e in aggregates.items()])
 
 
 def last_seen_days(trans: DataFrame) -> DataFrame:
@@ -83,13 +75,12 @@ def last_seen_days(trans: DataFrame) -> DataFrame:
     is, when its last day does.  So distinct counts "since day d" become plain sums over
     these rows, and no count(distinct) runs per customer.  Pass lines of one look-back.
     """
-    full_line = is_full_line()
-    keyed = trans.select(
+    keyed = trans.selectExpr(
         "cust_key",
         "sale_dt",
-        F.when(full_line, F.col("corp_trip_key")).alias("trip"),
-        F.when(full_line, F.col("prod_div")).alias("division"),
-        F.col("intent_channel").alias("sold_via"),
+        f"if({FULL_LINE}, corp_trip_key, null) as trip",
+        f"if({FULL_LINE}, prod_div, null) as division",
+        "intent_channel as sold_via",
     )
     last = keyed.groupingSets(
         [["cust_key", "trip"], ["cust_key", "division"], ["cust_key", "sold_via"]],
@@ -99,7 +90,7 @@ def last_seen_days(trans: DataFrame) -> DataFrame:
         "sold_via",
     ).agg(F.max("sale_dt").alias("sale_dt"))
     return (
-        last.where(F.coalesce("trip", "division", "sold_via").isNotNull())
+        last.where("coalesce(trip, division, sold_via) is not null")
         .groupBy("cust_key", "sale_dt")
         .agg(
             F.count("trip").alias("fl_trips"),

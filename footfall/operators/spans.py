@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall import settings as S
-from footfall.functions.dates import as_date, years_before
+from footfall.functions.dates import as_date, date_sql, lookback_sql
 
 MAX_BITS = 62
 
@@ -52,7 +52,7 @@ def target_window(
 
 
 def spans_in_lookback(spans: DataFrame, feature_end: date, years: int = 4) -> DataFrame:
-    return spans.where(F.col("end_dt").between(years_before(feature_end, years), F.date_sub(as_date(feature_end), 1)))
+    return spans.where(lookback_sql("end_dt", feature_end, years))
 
 
 def spans_in_years(spans: DataFrame, first: int, last: int) -> DataFrame:
@@ -71,12 +71,10 @@ def number_years(spans: DataFrame, first_year: int) -> DataFrame:
 
 
 def _masks(days: DataFrame, names: list[str], suffix: str) -> DataFrame:
-    bit = F.expr(
-        f"case when bit between 0 and {MAX_BITS} then shiftleft(1L, bit) "
-        f"else raise_error('more than {MAX_BITS + 1} spans of one event') end"
-    )
-    per_event = [F.coalesce(F.bit_or(F.when(F.col("event") == e, bit)), F.lit(0)).alias(f"{e}{suffix}") for e in names]
-    return days.groupBy("span_day").agg(*per_event)
+    """A bit per span and event; `number_spans` and `number_years` keep bits below 63."""
+    checked = f"if(bit between 0 and {MAX_BITS}, shiftleft(1L, bit), raise_error('too many spans of one event'))"
+    masks = [F.expr(f"coalesce(bit_or(if(event = '{e}', mask, null)), 0L) as {e}{suffix}") for e in names]
+    return days.withColumn("mask", F.expr(checked)).groupBy("span_day").agg(*masks)
 
 
 def span_bits(numbered: DataFrame, names: list[str] = S.EVENT_NAMES, suffix: str = "_bits") -> DataFrame:
@@ -98,6 +96,6 @@ def open_bits(
     return _masks(days, names, suffix)
 
 
-def clamp_day(day: str, first_day: date):
+def clamp_day_sql(day: str, first_day: date) -> str:
     """``day``, but not before ``first_day``; null stays null."""
-    return F.when(F.col(day) < as_date(first_day), as_date(first_day)).otherwise(F.col(day))
+    return f"if({day} < {date_sql(first_day)}, {date_sql(first_day)}, {day})"
