@@ -249,7 +249,7 @@ types as (
 
 IMPORTANCES = """
 importances as (
-  select persona, feature, round(round(var_samp(value), 9), 4) as importance, any_value(feature_type) as feature_type
+  select persona, feature, round(ln(1 + round(var_samp(value), 9)), 6) as importance, any_value(feature_type) as feature_type
   from long_matrix join types using (feature) group by 1, 2)
 """
 
@@ -317,7 +317,7 @@ dist as (
 ORACLES: dict[str, str] = {}
 
 
-def _final(columns: str, body: str) -> str:
+def _final(columns: str, body: str, digits: int) -> str:
     """Columns as ``name:kind`` with kind i (bigint), f (double), d (date text) or s (text)."""
     out = []
     for item in columns.split():
@@ -325,7 +325,7 @@ def _final(columns: str, body: str) -> str:
         out.append(
             {
                 "i": f'cast("{name}" as bigint) as "{name}"',
-                "f": f'round(cast("{name}" as double), 6) + 0.0::double as "{name}"',
+                "f": f'round(cast("{name}" as double), {digits}) + 0.0::double as "{name}"',
                 "d": f'cast(cast("{name}" as date) as varchar) as "{name}"',
                 "s": f'cast("{name}" as varchar) as "{name}"',
             }[kind]
@@ -335,7 +335,7 @@ def _final(columns: str, body: str) -> str:
 
 def _add(name: str, parts: list[str], columns: str, body: str) -> None:
     with_list = ",".join(p.strip() for p in parts)
-    ORACLES[name] = f"with {with_list}\n{_final(columns, body)}"
+    ORACLES[name] = f"with {with_list}\n{_final(columns, body, C.DIGITS.get(name, 6))}"
 
 
 def _kinds(names, kind: str) -> str:
@@ -473,12 +473,15 @@ def _distribution() -> None:
     def tested(name: str, by: list[str], outcomes: list[str]) -> str:
         factors = by + ["outcome"]
         long = " union all ".join(f"select {', '.join(by)}, '{o}' as outcome, {o} as n from wide" for o in outcomes)
+        grid = " cross join ".join(f"(select distinct {f} from wide)" for f in by)
+        grid += f" cross join (values {', '.join(repr((o,)).replace(',)', ')') for o in outcomes)}) v(outcome)"
         margins = " * ".join(f"(sum(o) over (partition by {f}) / total)" for f in factors)
         levels = " * ".join(f"count(distinct {f})" for f in factors)
         summed = " - ".join(f"count(distinct {f})" for f in factors)
         return f"""select '{name}' as test, sum((o - e) * (o - e) / e) as statistic, {levels} - {summed} + {len(factors) - 1} as dof,
           {levels} as n_cells, max(total) as total from (select *, {margins} * total as e from (
-          select {', '.join(factors)}, sum(n)::double as o, sum(sum(n)) over ()::double as total from ({long}) group by all))"""
+          select *, sum(o) over () as total from (select {', '.join(factors)}, coalesce(sum(n), 0)::double as o
+            from (select * from {grid}) left join ({long}) using ({', '.join(factors)}) group by all)))"""
 
     wide = "wide as (select *, n_existing - n_shopped as n_notshopped from dist)"
     _add(
