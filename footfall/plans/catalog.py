@@ -59,10 +59,11 @@ DIGITS = {
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-_stored: dict[tuple, DataFrame] = {}
+_stored: dict[tuple, object] = {}
 
 
-def _once(key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+def _once(key: tuple, make: Callable):
+    """What a session works out once: the calendar, the target span, stored matrices."""
     if key not in _stored:
         _stored[key] = make()
     return _stored[key]
@@ -84,10 +85,11 @@ class Context:
         """Event calendar of fixed dates: 2,556 rows, kept in memory."""
         return _once((self._app, "events"), lambda: CAL.default_event_calendar(self.spark, CALENDAR_END).persist())
 
-    @cached_property
+    @property
     def window(self) -> tuple[date, date, date]:
         """Target start, target end and feature end."""
-        return SPAN.target_window(self.events, S.DEFAULT_EVENT, S.DEFAULT_YEAR)
+        find = lambda: SPAN.target_window(self.events, S.DEFAULT_EVENT, S.DEFAULT_YEAR)
+        return _once((self._app, "window"), find)
 
     @property
     def observed(self) -> DataFrame:
@@ -140,15 +142,15 @@ def plain(df: DataFrame, digits: int = 6) -> DataFrame:
     """Dates as text, whole numbers as bigint, other numbers as rounded doubles."""
     columns = []
     for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
         if kind in ("date", "timestamp", "timestamp_ntz"):
-            c = c.cast("string")
+            columns.append(f"cast(`{name}` as string) as `{name}`")
         elif kind in ("double", "float") or kind.startswith("decimal"):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            columns.append(f"round(cast(`{name}` as double), {digits}) + 0D as `{name}`")
         elif kind in ("int", "smallint", "tinyint", "boolean"):
-            c = c.cast("bigint")
-        columns.append(c.alias(name))
-    return df.select(*columns)
+            columns.append(f"cast(`{name}` as bigint) as `{name}`")
+        else:
+            columns.append(f"`{name}`")
+    return df.selectExpr(*columns)
 
 
 def query(build: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
