@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.functions.joins import worked_out
 from footfall.operators.ranking import percentile, running_below, value_counts, with_ranges
 
 LOG_LOSS_FLOOR = 1e-15
@@ -53,5 +54,5 @@ def confusion_matrix(scored: DataFrame, by: str = "persona", y: str = "y", pred:
 def percentile_cutoff(scored: DataFrame, q: float = 0.95, by: str = "persona", prob: str = "prob") -> DataFrame:
     """Predicts positive from each group's q-th percentile of probability upwards."""
     cut = percentile(scored, [by], prob, q).withColumnRenamed("percentile", "cutoff")
-    # one row per persona
-    return scored.join(F.broadcast(cut), by, "left").withColumn("pred", F.when(F.col(prob) >= F.col("cutoff"), 1).otherwise(0))
+    predicted = F.when(F.col(prob) >= F.col("cutoff"), 1).otherwise(0)
+    return scored.join(worked_out(cut), by, "left").withColumn("pred", predicted)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from footfall import settings as S
 from footfall.functions.dates import date_sql, lookback_sql
+from footfall.functions.joins import broadcast_if, is_small
 from footfall.operators import spans as SP
 from footfall.operators.population import non_employees, post_acquisition, qualifies_sql
 from footfall.operators.rollup import (
@@ -27,9 +28,13 @@ from footfall.operators.rollup import (
 from footfall.sources.retail import RetailTables
 
 
-def with_event_flags(days: DataFrame, events: DataFrame, how: str = "inner") -> DataFrame:
-    """Broadcasts the calendar, one row per day of the modelled years."""
-    calendar = F.broadcast(events.select("event_dt", *S.EVENT_NAMES))
+def with_event_flags(days: DataFrame, events: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """Adds the modelled flags of a sale day.
+
+    ``small`` says that the calendar, one row per day, was counted and may be broadcast;
+    the span tables below have no more days than it has, so it holds for them as well.
+    """
+    calendar = broadcast_if(small, events.select("event_dt", *S.EVENT_NAMES))
     return days.join(calendar, F.col("sale_dt") == F.col("event_dt"), how)
 
 
@@ -39,15 +44,15 @@ def lookback_spans(events: DataFrame, feature_end: date) -> DataFrame:
     return SP.number_years(spans, feature_end.year - 4)
 
 
-def with_span_bits(days: DataFrame, numbered: DataFrame) -> DataFrame:
+def with_span_bits(days: DataFrame, numbered: DataFrame, small: bool) -> DataFrame:
     """Adds, per event, the bits of the spans a sale day falls in (null on other days)."""
-    bits = F.broadcast(SP.span_bits(numbered))
+    bits = broadcast_if(small, SP.span_bits(numbered))
     return days.join(bits, F.col("sale_dt") == F.col("span_day"), "left").drop("span_day")
 
 
-def with_open_bits(customers: DataFrame, numbered: DataFrame, first_day: date) -> DataFrame:
+def with_open_bits(customers: DataFrame, numbered: DataFrame, first_day: date, small: bool) -> DataFrame:
     """Adds, per event, the bits of the spans that end on or after the acquisition date."""
-    bits = F.broadcast(SP.open_bits(numbered, first_day))
+    bits = broadcast_if(small, SP.open_bits(numbered, first_day))
     on = F.expr(SP.clamp_day_sql("acq_dt", first_day)) == F.col("span_day")
     return customers.join(bits, on, "left").drop("span_day")
 
@@ -123,6 +128,7 @@ def customer_profile(
     counts of ``stats``, one narrow scan of the look-back.  Everything after that is
     joined and grouped by customer under a single partitioning.
     """
+    small = bool({SPEND, SHOPPED, LAST_YEAR} & set(groups)) and is_small(events)
     facts = customer_days(tables.trans)
     if STATS in groups:
         lookback = tables.trans.where(lookback_sql("sale_dt", feature_end, 4))
@@ -148,7 +154,7 @@ def customer_profile(
         "days_in_window": "count_if(in_window)",
     }
     if SPEND in groups or LAST_YEAR in groups:
-        rows = with_event_flags(rows, events, "left")
+        rows = with_event_flags(rows, events, small, "left")
     if SPEND in groups:
         aggregates |= spend_share_aggregates()
     if LAST_YEAR in groups:
@@ -156,7 +162,7 @@ def customer_profile(
         aggregates |= shopped_last_year_aggregates(recent)
     if SHOPPED in groups:
         numbered = lookback_spans(events, feature_end)
-        rows = with_span_bits(rows, numbered)
+        rows = with_span_bits(rows, numbered, small)
         aggregates |= shopped_bits_aggregates("trip_in_window")
     if STATS in groups:
         aggregates |= stats_aggregates(feature_end)
@@ -168,7 +174,7 @@ def customer_profile(
     profile = profile.join(non_employees(tables.customers), "cust_key", "left_semi")
     if SHOPPED in groups:
         # no span of the look-back ends before this day
-        profile = with_open_bits(profile, numbered, date(feature_end.year - 5, 1, 1))
+        profile = with_open_bits(profile, numbered, date(feature_end.year - 5, 1, 1), small)
     return profile
 
 
@@ -185,7 +191,7 @@ def pct_spend_in_event_ly(tables: RetailTables, events: DataFrame, feature_end:
     """The same share over the last year only."""
     recent = tables.trans.where(lookback_sql("sale_dt", feature_end, 1))
     days = post_acquisition(customer_days(recent), tables.funnel)
-    spend = with_event_flags(days, events).groupBy("cust_key").agg(*named(spend_share_aggregates()))
+    spend = with_event_flags(days, events, is_small(events)).groupBy("cust_key").agg(*named(spend_share_aggregates()))
     population = customer_profile(tables, events, feature_end, ())
     kept = spend.where("calendar_items > 0").join(population, "cust_key", "left_semi")
     return kept.select("cust_key", *named(spend_share_columns()))
@@ -202,7 +208,7 @@ def pct_trips_in_event(tables: RetailTables, events: DataFrame, feature_end: dat
     trips = lines.groupBy("cust_key", "corp_trip_key").agg(F.sort_array(F.collect_set("sale_dt")).alias("trip_days"))
     alike = trips.groupBy("cust_key", "trip_days").agg(F.count("*").alias("n_trips"))
     by_day = alike.select("cust_key", "trip_days", "n_trips", F.explode("trip_days").alias("sale_dt"))
-    flagged = with_event_flags(post_acquisition(by_day, tables.funnel), events)
+    flagged = with_event_flags(post_acquisition(by_day, tables.funnel), events, is_small(events))
     seen = flagged.groupBy("cust_key", "trip_days", "n_trips").agg(*[F.max(e).alias(e) for e in S.EVENT_NAMES])
     counts = {e.short_event: f"sum(if({e.event} = 1, n_trips, 0L))" for e in S.MODELLED_EVENTS}
     totals = seen.groupBy("cust_key").agg(F.sum("n_trips").alias("all_trips"), *named(counts))

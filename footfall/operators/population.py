@@ -43,9 +43,14 @@ def base_population(customers: DataFrame, trans: DataFrame, funnel: DataFrame, f
 
 
 def base_trans(trans: DataFrame, funnel: DataFrame, population: DataFrame, feature_end: date) -> DataFrame:
-    """Post-acquisition lines of the population in the 4 years before the feature end."""
+    """Post-acquisition lines of the population in the 4 years before the feature end.
+
+    The per-customer sides are joined first, so that the lines meet one join only and a
+    customer with very many lines can be split by the adaptive skew join.
+    """
     window = trans.where(lookback_sql("sale_dt", feature_end, 4)).drop("spend_discount_employee_ind")
-    return post_acquisition(window, funnel).join(population, "cust_key", "left_semi").drop("acq_dt")
+    acquired = funnel.join(population, "cust_key", "left_semi")
+    return post_acquisition(window, acquired).drop("acq_dt")
 
 
 def target_label(trans: DataFrame, funnel: DataFrame, start: date, end: date) -> DataFrame:

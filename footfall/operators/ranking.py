@@ -41,7 +41,6 @@ def running_below(counted: DataFrame, by: list[str], value: str, sums: list[str]
     ranges = counted.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in sums])
     group = Window.partitionBy(*(by or [F.lit(1)]))
     earlier = group.orderBy("_range")
-    # one row per group and range, so this is small enough to broadcast
     offsets = ranges.select(
         *by,
         "_range",
@@ -51,7 +50,8 @@ def running_below(counted: DataFrame, by: list[str], value: str, sums: list[str]
     inside = Window.partitionBy(*by, "_range").orderBy(value)
     for s in sums:
         counted = counted.withColumn(f"_{s}_inside", F.sum(s).over(inside) - F.col(s))
-    joined = counted.join(F.broadcast(offsets), [*by, "_range"])
+    # the window above left the values partitioned and sorted by these very columns
+    joined = counted.join(offsets, [*by, "_range"])
     for s in sums:
         joined = joined.withColumn(f"{s}_below", F.col(f"_{s}_before") + F.col(f"_{s}_inside"))
     return joined.drop("_range", *[f"_{s}_{part}" for s in sums for part in ("before", "inside")])

@@ -6,7 +6,8 @@ opened, and the n-th digest becomes the group's cut-off: one row per group.  Cho
 rows is then a filter against a tiny broadcast table.  No group is ever sorted or
 brought into one task, however large; keys must be unique within their group.
 
-The input is read three times, so pass a stored table (`materialize`) when it is costly.
+The cut-offs are worked out when the function is called, in two passes over the key and
+group columns; pass a stored table (`materialize`) when the input is costly.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.columns import hash_key, hash_number
+from footfall.functions.joins import worked_out
 
 PREFIX_DIGITS = 4  # 65,536 prefixes
 
@@ -31,8 +33,7 @@ def _keyed(df: DataFrame, by: list[str], seed: int, key: str) -> DataFrame:
 def mark_first(df: DataFrame, by: list[str], quota: DataFrame, seed: int, key: str, flag: str = "selected") -> DataFrame:
     """Adds a boolean: is the row among the first ``quota`` rows of its group.
 
-    ``quota`` has one row per group: the group columns and ``quota``.  Groups are a few
-    personas or strata, so the cut-off table is that small too.
+    ``quota`` has one row per group: the group columns and ``quota``.
     """
     on = _match(by)
     rows = _keyed(df, by, seed, key)
@@ -44,7 +45,7 @@ def mark_first(df: DataFrame, by: list[str], quota: DataFrame, seed: int, key: s
     reached = F.col("_upto") >= F.col("quota")
     opened = (
         sizes.withColumn("_upto", upto)
-        .join(F.broadcast(limits), on)
+        .join(limits, on)
         .groupBy(*on, "quota")
         .agg(
             F.min(F.when(reached, F.col("_prefix"))).alias("_open"),
@@ -52,9 +53,10 @@ def mark_first(df: DataFrame, by: list[str], quota: DataFrame, seed: int, key: s
         )
         .withColumn("_left", F.col("quota") - F.col("_before"))
     )
+    opened = worked_out(opened)
     place = F.row_number().over(Window.partitionBy(*on).orderBy("_digest"))
     edge = (
-        prefixed.join(F.broadcast(opened), on)
+        prefixed.join(opened, on)
         .where("_prefix = _open")
         .withColumn("_place", place)
         .where("_place = _left")
@@ -62,8 +64,8 @@ def mark_first(df: DataFrame, by: list[str], quota: DataFrame, seed: int, key: s
     )
     # hex digits sort below 'g', so a group smaller than its quota is taken whole
     cutoff = F.when(F.col("_open").isNull(), "g").when(F.col("_left") <= 0, "").otherwise(F.col("_nth"))
-    cutoffs = opened.join(F.broadcast(edge), on, "left").select(*on, cutoff.alias("_cutoff"))
-    marked = rows.join(F.broadcast(cutoffs), on, "left").withColumn(
+    cutoffs = worked_out(opened.join(edge, on, "left").select(*on, cutoff.alias("_cutoff")))
+    marked = rows.join(cutoffs, on, "left").withColumn(
         flag, F.coalesce(F.col("_digest") <= F.col("_cutoff"), F.lit(False))
     )
     return marked.select(*df.columns, flag)
@@ -111,7 +113,7 @@ def sample_stratified(
 ) -> DataFrame:
     """As `sample_per_group`, with each group's share split over strata in proportion."""
     each = equal_quota(df, by, n).withColumnRenamed("quota", "_each")
-    sizes = group_sizes(df, [by, stratum]).join(F.broadcast(each), by)
+    sizes = group_sizes(df, [by, stratum]).join(each, by)
     quota = allocate(sizes, [by, stratum], F.col("_each"), within=[by])
     return mark_first(df, [by, stratum], quota, seed, key).where("selected").drop("selected")
 
@@ -147,7 +149,7 @@ def dense_index(df: DataFrame, seed: int, key: str = "cust_key", by: list[str] |
         F.sum("_n").over(group).alias("n_rows"),
     )
     place = F.row_number().over(Window.partitionBy(*by, "_prefix").orderBy("_digest")) - 1
-    # at most 65,536 rows of offsets per group; joined by size, as groups may be several
+    # both sides come partitioned by group and prefix
     indexed = rows.withColumn("_place", place).join(offsets, [*by, "_prefix"])
     return indexed.select(*df.columns, (F.col("_before") + F.col("_place")).alias("row_idx"), "n_rows")
 

@@ -48,11 +48,12 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep
 def export_matrix(matrix: DataFrame, path: str, single_file: bool = False) -> None:
     """The feature matrix as text, ordered by persona and label, both descending as text.
 
-    The range partitioning of ``orderBy`` keeps part files in order, so many writers can
-    work at once; ``single_file`` is for matrices that one reader wants as one file.
+    Part files are in order, so many writers work at once; the customer key ends the sort
+    order because persona and label alone could be cut into a handful of ranges only.
+    ``single_file`` is for matrices that one reader wants as one file.
     """
     text = matrix.select(*[F.col(c).cast("string").alias(c) for c in matrix.columns])
-    ordered = text.orderBy(F.col("persona").desc(), F.col("target_shopped_ind").desc())
+    ordered = text.orderBy(F.col("persona").desc(), F.col("target_shopped_ind").desc(), "cust_key")
     write_delimited(ordered, path, single_file=single_file)
 
 
