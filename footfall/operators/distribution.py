@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall import settings as S
-from footfall.functions.joins import broadcast_if, is_small
+from footfall.functions.joins import broadcast_if, is_small, worked_out
 from footfall.operators import spans as SP
 from footfall.operators.features import named, with_open_bits, with_span_bits
 from footfall.operators.population import non_employees
@@ -24,10 +24,10 @@ def persona_event_dist(tables: RetailTables, events: DataFrame, first: int, last
     by span and nothing is counted distinct.  Sales before the acquisition date count as
     shopped here, as long as the customer was acquired by the end of the span.
     """
-    spans = SP.number_spans(SP.spans_in_years(SP.event_spans(events), first, last))
+    spans = worked_out(SP.number_spans(SP.spans_in_years(SP.event_spans(events), first, last)))
     small = is_small(events)  # one row per day; spans and their days are no more than that
     years = f"year(sale_dt) between {first} and {last}"
-    days = customer_days(tables.trans).join(tables.funnel.select("cust_key", "acq_dt"), "cust_key")
+    days = customer_days(tables.trans, by_day=years).join(tables.funnel.select("cust_key", "acq_dt"), "cust_key")
     # spans start in the years as well, so a shopped span day is always inside them
     masks = {e: f"bit_or(if(fl_ind = 1 and {years}, {e}_bits, null))" for e in S.EVENT_NAMES}
     customers = (
@@ -56,7 +56,7 @@ def persona_event_dist(tables: RetailTables, events: DataFrame, first: int, last
         .groupBy("persona", "event", "bit")
         .agg(F.sum("n").alias("n_existing"), F.expr("sum(if(getbit(shopped, bit) = 1, n, 0L))").alias("n_shopped"))
     )
-    return counted.join(broadcast_if(small, spans), ["event", "bit"]).select(
+    return counted.join(spans, ["event", "bit"]).select(
         "persona", "event", F.col("yr").alias("year"), "start_dt", "end_dt", "n_shopped", "n_existing"
     )
 

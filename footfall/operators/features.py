@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from footfall import settings as S
 from footfall.functions.dates import date_sql, lookback_sql
-from footfall.functions.joins import broadcast_if, is_small
+from footfall.functions.joins import broadcast_if, is_small, worked_out
 from footfall.operators import spans as SP
 from footfall.operators.population import non_employees, post_acquisition, qualifies_sql
 from footfall.operators.rollup import (
@@ -39,9 +39,9 @@ def with_event_flags(days: DataFrame, events: DataFrame, small: bool, how: str =
 
 
 def lookback_spans(events: DataFrame, feature_end: date) -> DataFrame:
-    """Spans of the 4-year look-back, with the year as bit."""
+    """Spans of the 4-year look-back, with the year as bit: some 60 rows, worked out once."""
     spans = SP.spans_in_lookback(SP.event_spans(events), feature_end)
-    return SP.number_years(spans, feature_end.year - 4)
+    return worked_out(SP.number_years(spans, feature_end.year - 4))
 
 
 def with_span_bits(days: DataFrame, numbered: DataFrame, small: bool) -> DataFrame:
@@ -129,12 +129,16 @@ def customer_profile(
     joined and grouped by customer under a single partitioning.
     """
     small = bool({SPEND, SHOPPED, LAST_YEAR} & set(groups)) and is_small(events)
-    facts = customer_days(tables.trans)
+    in_window = lookback_sql("sale_dt", feature_end, 4)
+    needed = in_window
+    if target is not None:
+        in_target = f"sale_dt between {date_sql(target[0])} and {date_sql(target[1])}"
+        needed = f"{in_window} or {in_target}"
+    facts = customer_days(tables.trans, by_day=needed)
     if STATS in groups:
-        lookback = tables.trans.where(lookback_sql("sale_dt", feature_end, 4))
+        lookback = tables.trans.where(in_window)
         facts = facts.unionByName(last_seen_days(lookback), allowMissingColumns=True)
 
-    in_window = lookback_sql("sale_dt", feature_end, 4)
     measures = COUNT_MEASURES + SPEND_MEASURES + (DISTINCT_MEASURES if STATS in groups else [])
     rows = post_acquisition(facts, tables.funnel).selectExpr(
         "cust_key",
@@ -167,8 +171,7 @@ def customer_profile(
     if STATS in groups:
         aggregates |= stats_aggregates(feature_end)
     if target is not None:
-        in_target = f"fl_ind = 1 and sale_dt between {date_sql(target[0])} and {date_sql(target[1])}"
-        aggregates["target_shopped_ind"] = f"max(if({in_target}, 1, 0))"
+        aggregates["target_shopped_ind"] = f"max(if(fl_ind = 1 and {in_target}, 1, 0))"
 
     profile = rows.groupBy("cust_key").agg(*named(aggregates)).where("qualified").drop("qualified")
     profile = profile.join(non_employees(tables.customers), "cust_key", "left_semi")

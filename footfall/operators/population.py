@@ -33,8 +33,9 @@ def qualifies_sql(feature_end: date) -> str:
 
 def base_population(customers: DataFrame, trans: DataFrame, funnel: DataFrame, feature_end: date) -> DataFrame:
     """Non-employees without employee discount who bought merchandise in the last 2 years."""
+    days = customer_days(trans, by_day=lookback_sql("sale_dt", feature_end, 2))
     kept = (
-        post_acquisition(customer_days(trans), funnel)
+        post_acquisition(days, funnel)
         .groupBy("cust_key")
         .agg(F.expr(qualifies_sql(feature_end)).alias("qualified"))
         .where("qualified")
@@ -72,8 +73,9 @@ def persona_population(
 ) -> DataFrame:
     """Non-employees by persona with a full-line sale in years first..last."""
     in_years = F.year("sale_dt").between(first, last)
+    days = customer_days(trans, by_day=f"year(sale_dt) between {first} and {last}")
     kept = (
-        post_acquisition(customer_days(trans), funnel)
+        post_acquisition(days, funnel)
         .groupBy("cust_key")
         .agg(
             F.max("discount_ind").alias("discount_ind"),

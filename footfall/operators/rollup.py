@@ -47,13 +47,24 @@ def _spend_conditions() -> dict[str, str]:
     return conditions
 
 
-def customer_days(trans: DataFrame) -> DataFrame:
+def customer_days(trans: DataFrame, by_day: str = "true") -> DataFrame:
     """(cust_key, sale_dt) with every additive measure; spend in whole cents.
 
     Columns a later step does not read are pruned away by the optimizer, down to the scan.
+
+    ``by_day`` is the SQL condition of the days that are needed one by one.  Of all other
+    lines, steps only ask whether any of them, since acquisition, carried an employee
+    discount; they are folded into one row per customer and discount value, dated by the
+    last such line, so old history adds next to nothing to the shuffle.
     """
     lines = trans.withColumns(
-        {"full_line": F.expr(FULL_LINE), "merchandise": F.expr(MERCHANDISE), "cents": cents("spend_gross")}
+        {
+            "full_line": F.expr(FULL_LINE),
+            "merchandise": F.expr(MERCHANDISE),
+            "cents": cents("spend_gross"),
+            "_day": F.expr(f"if({by_day}, sale_dt, null)"),
+            "_folded": F.expr(f"if({by_day}, null, spend_discount_employee_ind)"),
+        }
     )
     aggregates = {
         "fl_items": "sum(if(full_line, 1, 0))",
@@ -65,7 +76,9 @@ def customer_days(trans: DataFrame) -> DataFrame:
         "fl_ind": "max(if(full_line, 1, 0))",
         "fl_trip_ind": "max(if(full_line and corp_trip_key is not null, 1, 0))",
     }
-    return lines.groupBy("cust_key", "sale_dt").agg(*[F.expr(f"{e} as {name}") for name, e in aggregates.items()])
+    named = [F.expr(f"{text} as {name}") for name, text in aggregates.items()]
+    grouped = lines.groupBy("cust_key", "_day", "_folded").agg(F.max("sale_dt").alias("sale_dt"), *named)
+    return grouped.drop("_day", "_folded")
 
 
 def last_seen_days(trans: DataFrame) -> DataFrame:

@@ -48,6 +48,21 @@ def test_discount_before_acquisition_is_forgiven(spark):
     assert P.base_population(t.customers, t.trans, t.funnel, FEATURE_END).count() == 1
 
 
+def test_old_discount_lines_still_count(spark, events):
+    """Lines long before the look-back are folded, by discount value, not dropped."""
+    lines = [line(c, "2016-07-01", spend_discount_employee_ind=None if c == 4 else 0) for c in (1, 2, 3, 4)]
+    lines += [
+        line(1, "2010-05-01", spend_discount_employee_ind=1),  # after acquisition: out
+        line(2, "2010-05-01", spend_discount_employee_ind=1),  # before acquisition: stays
+        line(2, "2012-05-01"),
+        line(4, "2010-05-01"),  # the only line that says 0
+    ]
+    t = tables(spark, lines, {1: "2010-05-01", 2: "2010-05-02", 3: "2013-01-01", 4: "2010-01-01"})
+    got = sorted(r.cust_key for r in P.base_population(t.customers, t.trans, t.funnel, FEATURE_END).collect())
+    assert got == [2, 3, 4]
+    assert sorted(matrix(spark, events, t)) == [2, 3, 4]
+
+
 def test_base_trans_and_label(spark):
     lines = [
         line(1, "2016-07-01"),
