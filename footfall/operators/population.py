@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.dates import date_sql, lookback_sql
 from footfall.operators.rollup import FULL_LINE, customer_days
+from footfall.sources.staging import materialize
 
 
 def post_acquisition(sales: DataFrame, funnel: DataFrame) -> DataFrame:
@@ -46,11 +47,12 @@ def base_population(customers: DataFrame, trans: DataFrame, funnel: DataFrame, f
 def base_trans(trans: DataFrame, funnel: DataFrame, population: DataFrame, feature_end: date) -> DataFrame:
     """Post-acquisition lines of the population in the 4 years before the feature end.
 
-    The per-customer sides are joined first, so that the lines meet one join only and a
-    customer with very many lines can be split by the adaptive skew join.
+    The per-customer sides are joined and stored first.  The lines then meet one join
+    whose inputs both come straight from a shuffle, which is when the adaptive skew join
+    can split a customer with very many lines over tasks.
     """
     window = trans.where(lookback_sql("sale_dt", feature_end, 4)).drop("spend_discount_employee_ind")
-    acquired = funnel.join(population, "cust_key", "left_semi")
+    acquired = materialize(funnel.join(population, "cust_key", "left_semi"), "acquired")
     return post_acquisition(window, acquired).drop("acq_dt")
 
 
