@@ -15,10 +15,6 @@ def cents(c: str | Column) -> Column:
     return (col(c).cast("decimal(12,2)") * 100).cast("bigint")
 
 
-def dollars(c: str | Column) -> Column:
-    return (col(c).cast("decimal(20,0)") / 100).cast("decimal(20,2)")
-
-
 def sql_list(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -42,7 +38,3 @@ def hash_key(seed: int, *keys: str | Column) -> Column:
 def hash_number(digest: str | Column, digits: int = 13) -> Column:
     """The leading hex digits of a digest as a long in [0, 16**digits)."""
     return F.conv(F.substring(col(digest), 1, digits), 16, 10).cast("bigint")
-
-
-def bit_is_set(mask: str | Column, bit: int) -> Column:
-    return F.shiftright(col(mask), bit).bitwiseAND(F.lit(1))

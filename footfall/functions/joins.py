@@ -28,3 +28,8 @@ def worked_out(df: DataFrame, max_rows: int = MAX_GROUPS) -> DataFrame:
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def once_per_customer(table: DataFrame, *columns: str) -> DataFrame:
+    """Distinct rows under the partitioning by customer that the next join needs anyway."""
+    return table.select("cust_key", *columns).repartition("cust_key").distinct()

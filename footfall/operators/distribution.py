@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall import settings as S
-from footfall.functions.joins import broadcast_if, is_small, worked_out
+from footfall.functions.joins import is_small, once_per_customer, worked_out
 from footfall.operators import spans as SP
 from footfall.operators.features import named, with_open_bits, with_span_bits
 from footfall.operators.population import non_employees
@@ -41,7 +41,7 @@ def persona_event_dist(tables: RetailTables, events: DataFrame, first: int, last
         )
         .where("discount_ind = 0 and fl_ind = 1")
         .join(non_employees(tables.customers), "cust_key", "left_semi")
-        .join(tables.personas.select("cust_key", "persona"), "cust_key")
+        .join(once_per_customer(tables.personas, "persona"), "cust_key")
     )
     customers = with_open_bits(customers, spans, date(first, 1, 1), small)
     pairs = [f"struct('{e}' as event, coalesce({e}, 0L) as shopped, coalesce({e}_open, 0L) as open)" for e in S.EVENT_NAMES]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from footfall import settings as S
 from footfall.functions.columns import guarded_ratio
 from footfall.functions.dates import date_sql, months_between
+from footfall.functions.joins import once_per_customer
 from footfall.operators.features import (
     ALL_GROUPS,
     STATS,
@@ -63,8 +64,8 @@ def feature_matrix(
     Repeated persona or loyalty rows are dropped while these tables are still narrow.
     """
     profile = customer_profile(tables, events, feature_end, ALL_GROUPS, (target_start, target_end))
-    personas = _once(tables.personas, "persona")
-    loyalty = _once(tables.loyalty, "loyalty_tender_ind", "loyalty_nontender_ind")
+    personas = once_per_customer(tables.personas, "persona")
+    loyalty = once_per_customer(tables.loyalty, "loyalty_tender_ind", "loyalty_nontender_ind")
     joined = profile.join(personas, "cust_key").join(loyalty, "cust_key", "left")
     features = feature_columns(target_start, feature_end)
     return joined.select(
@@ -73,11 +74,6 @@ def feature_matrix(
     )
 
 
-def _once(table: DataFrame, *columns: str) -> DataFrame:
-    """Distinct rows under the partitioning by customer that the next join needs anyway."""
-    return table.select("cust_key", *columns).repartition("cust_key").distinct()
-
-
 def tenure_recency(
     tables: RetailTables, events: DataFrame, target_start: date, feature_end: date
 ) -> DataFrame:

@@ -412,6 +412,17 @@ def transform_by_rule(c: Context) -> DataFrame:
     return SCALE.cap_months(SCALE.transform_by_rule(c.matrix, S.FEATURE_COLUMNS, S.LOG_FEATURES, -0.5))
 
 
+@query
+def min_max_log(c: Context) -> DataFrame:
+    """Tenure on the three log scales."""
+    tenure = c.matrix.select("cust_key", F.col("tenure_total_months").alias("tenure"))
+    scaled = tenure
+    for log in ("log1p", "log", "floored"):
+        one = SCALE.min_max_log(scaled, "tenure", log)
+        scaled = one.withColumnRenamed("tenure_scaled", f"tenure_{log}")
+    return scaled
+
+
 @query
 def score_deciles(c: Context) -> DataFrame:
     return RANK.percent_ranks(c.scored, ["persona"], "prob")
@@ -448,6 +459,16 @@ def low_variance(c: Context) -> DataFrame:
     return PROF.low_variance(c.matrix, S.FEATURE_COLUMNS, 0.05)
 
 
+@query
+def low_variance_pivot(c: Context) -> DataFrame:
+    return _personas_named(PROF.variance_pivot(PROF.low_variance(c.matrix, S.FEATURE_COLUMNS, 0.05)))
+
+
+@query
+def value_counts(c: Context) -> DataFrame:
+    return PROF.value_counts(c.matrix, "target_shopped_ind")
+
+
 @query
 def keep_features(c: Context) -> DataFrame:
     return SEL.keep_features(PROF.nonnull_features(c.matrix, S.FEATURE_COLUMNS))
@@ -463,6 +484,11 @@ def rank_importance(c: Context) -> DataFrame:
     return _personas_named(SEL.rank_importance(c.importances))
 
 
+@query
+def rank_from_top(c: Context) -> DataFrame:
+    return SEL.rank_from_top(c.importances, of=35)
+
+
 @query
 def top_stratified(c: Context) -> DataFrame:
     quotas = {1: 51, 2: 45, 3: {"continuous": 32, "binary": 13, "ordinal": 11}, 4: 55, 5: 71}

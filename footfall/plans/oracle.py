@@ -579,6 +579,17 @@ def _sampling_and_scaling() -> None:
         f"{IDS} {kinds}",
         f"select cust_key, persona, target_shopped_ind, {', '.join(f'{by_rule(f)} as {f}' for f in FEATURES)} from matrix",
     )
+    whole = "floor(tenure_total_months)"
+    logs = {"log1p": f"ln(1 + {whole})", "log": f"ln(nullif({whole}, 0))", "floored": f"case when {whole} <= 0 then -1 else ln(nullif({whole}, 0)) end"}
+    on_unit = ", ".join(
+        f"({v} - min({v}) over ()) / (max({v}) over () - min({v}) over ()) as tenure_{n}" for n, v in logs.items()
+    )
+    _add(
+        "min_max_log",
+        WITH_MATRIX,
+        f"cust_key:i tenure:f {_kinds([f'tenure_{n}' for n in logs], 'f')}",
+        f"select cust_key, tenure_total_months as tenure, {on_unit} from matrix",
+    )
     _add(
         "score_deciles",
         WITH_MATRIX + [SCORED],
@@ -626,6 +637,20 @@ def _profiling_and_selection() -> None:
         """select *, dense_rank() over (partition by persona order by variance) as rank from (select persona, feature,
         round(var_samp(value), 9) as variance from long_matrix group by 1, 2) where variance < 0.05""",
     )
+    low = """select persona, feature, round(var_samp(value), 9) as variance from long_matrix group by 1, 2
+      having round(var_samp(value), 9) < 0.05"""
+    _add(
+        "low_variance_pivot",
+        WITH_LONG,
+        f"feature:s {_kinds(PERSONA_NAMES, 'f')}",
+        _pivot("variance", f"({low})", "feature"),
+    )
+    _add(
+        "value_counts",
+        WITH_MATRIX,
+        "target_shopped_ind:i n:i",
+        "select target_shopped_ind, count(*) as n from matrix group by 1",
+    )
     counted = "select persona, feature, count(value) as n_nonnull from long_matrix group by 1, 2"
     dropped = sorted({(p, f) for p in S.PERSONAS for f in S.DROPPED_EVERYWHERE + S.DROPPED_BY_PERSONA[p]})
     _add("nonnull_features", WITH_LONG, "persona:i feature:s n_nonnull:i", counted)
@@ -645,6 +670,13 @@ def _profiling_and_selection() -> None:
         f"feature_type:s feature:s {_kinds(PERSONA_NAMES, 'i')}",
         _pivot("r", ranked, "feature_type, feature"),
     )
+    _add(
+        "rank_from_top",
+        with_importances,
+        "persona:i feature:s importance:f feature_type:s rank:f",
+        """select *, 35 - (rank() over (partition by persona order by importance)
+        + (count(*) over (partition by persona, importance) - 1) / 2.0::double) as rank from importances""",
+    )
     quotas = """
     totals(persona, n) as (values (1, 51), (2, 45), (4, 55), (5, 71)),
     given(persona, feature_type, q) as (values (3, 'continuous', 32), (3, 'binary', 13), (3, 'ordinal', 11)),
