@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import simhash
+from footfall.llm import bpe, quality_rules, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,44 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def vocabulary_path(name: str) -> str:
+    """Place of a public vocabulary file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secrets")
+    base = F.filter(spans, lambda s: s["kind"] < len(secrets.BASE))
+    counts = [F.size(secrets.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.spelled(base), 256).alias("base_sha256"), secrets.spelled(spans).alias("spans"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return entries.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        (~quality_rules.keeps("base-1")).alias("base_failed"),
+        (quality_rules.keeps("base-1") & quality_rules.keeps("web-1")).alias("kept"),
+        "failed",
+    )
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary or vocabulary_path("word_bpe_49k.json"), ["doc_id"])
+
+
 QUERIES = {
+    "op4_secrets": op4_secrets,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
 }
 
