@@ -18,6 +18,7 @@ from hashlib import sha256
 import ahocorasick
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from footfall.llm.common import map_texts
 
@@ -192,8 +193,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """Replace the array of ids by the text they stand for; null arrays are empty."""
-    from pyspark.sql import functions as F
-
     column = text
 
     def make():
@@ -204,6 +203,19 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     return map_texts(joined, ids, make, f"{text} string", [c for c in docs.columns if c not in (text, ids)])
 
 
+def summary(coded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
+    """Kept columns, ids, n_tokens, ids_sha256 and decoded_sha256, the text decoded from the ids."""
+    both = coded.withColumn("_ids", F.col(ids)).select(*keep, ids, "_ids")
+    decoded = decode(both, path, "_ids", "_text")
+    return decoded.select(
+        *keep,
+        ids,
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids, " "), 256).alias("ids_sha256"),
+        F.sha2("_text", 256).alias("decoded_sha256"),
+    )
+
+
 def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """Count and digest of each text's ids, and the digest of what they decode to.
 

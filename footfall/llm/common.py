@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one step inside a task works on; a longer text is a step of its own.
@@ -21,15 +22,32 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is `spark.checkpoint.dir`. Where that is unset a local session gets a temporary
     folder; any other session must name one, since executors do not share local disks.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set where it is not set yet."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="footfall-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet into the shared folder and read them back.
+
+    The table goes with the checkpoints of the session: whoever clears that folder clears it too.
+    """
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/footfall-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.parquet(place)
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, quality_rules, secrets, simhash
+from footfall.llm import bpe, decontam, pii, quality_rules, secrets, simhash
+
+
+#: Only for the registered queries; a run on real data passes its own secret.
+PSEUDONYM_KEY = b"footfall demonstration key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +55,21 @@ def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary or vocabulary_path("word_bpe_49k.json"), ["doc_id"])
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str, key: bytes = PSEUDONYM_KEY) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
 QUERIES = {
     "op4_secrets": op4_secrets,
+    "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}

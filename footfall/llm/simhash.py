@@ -164,5 +164,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return marked.join(labels, "fp", "left").select(key, "fp", "component")
 
 
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of each group of near-duplicates: the row with the least key.
+
+    Rows that share key and text count as one; of rows without a key the group keeps one where it
+    has no row with a key.
+    """
+    columns = docs.columns
+    groups = near_duplicates(docs, key, text, **how).select(F.col(key).alias("_key"), F.col("fp").alias("_fp"), F.col("component").alias("_group"))
+    lost = groups.where("_key <> _group").select("_key").distinct()
+    kept = docs.where(F.col(key).isNotNull()).join(lost, F.col(key) == F.col("_key"), "left_anti")
+    bare = docs.where(F.col(key).isNull())
+    if bare.limit(1).count():
+        # texts without a key are compared by fingerprint with the groups that have no key at all
+        alone = groups.where("_key is null and _group is null").select("_fp").distinct()
+        marked = map_texts(bare.withColumn("_searched", F.col(text)), "_searched", lambda: lambda texts: {"_fp": [fingerprint(t) for t in texts]}, "_fp bigint", columns)
+        kept = kept.unionByName(marked.join(alone, "_fp", "left_semi").dropDuplicates(["_fp"]).select(*columns))
+    return kept.dropDuplicates([key, text] if key != text else [key])
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
