@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontam, pii, quality_rules, secrets, simhash
+from footfall.llm import bpe, decontam, html_extract, pii, quality_rules, secrets, simhash
 
 
 #: Only for the registered queries; a run on real data passes its own secret.
@@ -28,6 +28,10 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secrets")
@@ -64,6 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str, key: bytes = PSEUDONYM_KEY) -> Da
 
 
 QUERIES = {
+    "op3_html": op3_html,
     "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
