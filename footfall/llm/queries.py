@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontam, html_extract, pii, quality_rules, secrets, simhash
+from footfall.llm import bpe, decontam, html_extract, pii, quality_mil, quality_rules, secrets, simhash, toxicity
+from footfall.llm.common import fold
 
 
 #: Only for the registered queries; a run on real data passes its own secret.
@@ -28,6 +29,19 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model, cuts = toxicity.learn(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, model, ["doc_id", "lang"])
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        toxicity.flag(scored, cuts).alias("flagged"),
+    )
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
@@ -55,6 +69,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_mil.learn(docs, labels, fold(F.col("doc_id"), 4) != 2)
+    scored = quality_mil.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary or vocabulary_path("word_bpe_49k.json"), ["doc_id"])
 
@@ -68,10 +89,12 @@ def op10_pii(spark: SparkSession, sf_dir: str, key: bytes = PSEUDONYM_KEY) -> Da
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_html": op3_html,
     "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_mil": op7_quality_mil,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
