@@ -79,9 +79,9 @@ class Adagrad:
 
     def rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
         """Step of some rows of a table; repeated rows add up."""
-        where, inverse = np.unique(at, return_inverse=True)
-        total = np.zeros((len(where), grads.shape[1]), grads.dtype)
-        np.add.at(total, inverse, grads)
+        order = np.argsort(at, kind="stable")
+        where, first = np.unique(at[order], return_index=True)
+        total = np.add.reduceat(grads[order], first, axis=0) if len(first) else grads
         self.sums[name][where] += total * total
         self.parameters[name][where] -= self.rate * total / np.sqrt(self.sums[name][where])
 

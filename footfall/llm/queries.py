@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontam, html_extract, pii, quality_mil, quality_rules, secrets, simhash, toxicity
+from footfall.llm import bpe, decontam, html_extract, lm, pii, quality_mil, quality_rules, secrets, simhash, toxicity
 from footfall.llm.common import fold
 
 
@@ -42,6 +42,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    made = lm.score(docs, ~held_out, vocabulary or vocabulary_path("word_bpe_49k.json"))
+    return made.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
@@ -90,6 +97,7 @@ def op10_pii(spark: SparkSession, sf_dir: str, key: bytes = PSEUDONYM_KEY) -> Da
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm": op2_lm,
     "op3_html": op3_html,
     "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,

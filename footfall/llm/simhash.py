@@ -165,22 +165,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each group of near-duplicates: the row with the least key.
+    """One row of each group of near-duplicates: the one with the least key.
 
-    Rows that share key and text count as one; of rows without a key the group keeps one where it
-    has no row with a key.
+    Rows whose key is null or not unique are told apart by their fingerprint, worked out again for
+    these rows alone: of rows with equal key and fingerprint one stays, and where a group has only
+    null keys one row per fingerprint stays.
     """
     columns = docs.columns
-    groups = near_duplicates(docs, key, text, **how).select(F.col(key).alias("_key"), F.col("fp").alias("_fp"), F.col("component").alias("_group"))
-    lost = groups.where("_key <> _group").select("_key").distinct()
-    kept = docs.where(F.col(key).isNotNull()).join(lost, F.col(key) == F.col("_key"), "left_anti")
-    bare = docs.where(F.col(key).isNull())
-    if bare.limit(1).count():
-        # texts without a key are compared by fingerprint with the groups that have no key at all
-        alone = groups.where("_key is null and _group is null").select("_fp").distinct()
-        marked = map_texts(bare.withColumn("_searched", F.col(text)), "_searched", lambda: lambda texts: {"_fp": [fingerprint(t) for t in texts]}, "_fp bigint", columns)
-        kept = kept.unionByName(marked.join(alone, "_fp", "left_semi").dropDuplicates(["_fp"]).select(*columns))
-    return kept.dropDuplicates([key, text] if key != text else [key])
+    groups = near_duplicates(docs, key, text, **how)
+    groups = cut(groups.select(F.col(key).alias("_key"), F.col("fp").alias("_fp"), F.col("component").alias("_group")))
+    odd = cut(groups.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _key is null").select("_key"))
+    gone = groups.where("_key <> _group").select("_key").union(odd).distinct()
+    kept = docs.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("_key"), "left_anti")
+    if odd.limit(1).count():
+        first = groups.where("_key <=> _group").select("_key", "_fp")
+        rows = docs.join(odd, F.col(key).eqNullSafe(F.col("_key")), "left_semi").withColumn("_searched", F.col(text))
+        marked = map_texts(rows, "_searched", lambda: lambda texts: {"_at": [fingerprint(t) for t in texts]}, "_at bigint", columns)
+        same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_fp"))
+        kept = kept.unionByName(marked.join(first, same, "left_semi").dropDuplicates([key, "_at"]).select(*columns))
+    return kept
 
 
 def hex16(fp: Column) -> Column:
