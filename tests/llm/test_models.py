@@ -1,0 +1,157 @@
+"""Toxicity and quality models: gradients, planted signals, held-out accuracy, odd rows."""
+
+import random
+from zlib import crc32
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from footfall.llm import quality_mil, toxicity
+from footfall.llm.common import fold
+from footfall.llm.nets import Words, labelled_sample, sigmoid
+
+ODD = [(1, None, "en"), (1, None, "en"), (None, "some words", None), (2, "", "xx"), (3, "word " * 20_000, "en"), (4, "🙂 ünï\x00", "fr")]
+
+
+def planted(n, seed):
+    draw = random.Random(seed)
+    words = [f"{a}{b}{c}" for a in "bdklmt" for b in "aeiou" for c in "nrst"]
+    rows = []
+    for _ in range(n):
+        text = [draw.choice(words) for _ in range(draw.randint(5, 120))]
+        bad = draw.random() < 0.4
+        if bad:
+            text[draw.randrange(len(text))] = "vex" + draw.choice(words)
+        rows.append((" ".join(text), int(bad)))
+    return rows
+
+
+def test_toxicity_learns_a_family_of_words():
+    model = toxicity.fit(planted(600, 1))
+    test = planted(300, 2)
+    scores = model.scorer()([t for t, _ in test])
+    assert np.mean((scores >= 0.5) == [y for _, y in test]) > 0.97
+
+
+def test_toxicity_batches_do_not_matter():
+    model = toxicity.fit(planted(60, 1), epochs=1)
+    texts = [t for t, _ in planted(40, 3)] + ["", "one", "a b"]
+    together = model.scorer()(texts)
+    alone = np.array([model.scorer()([t])[0] for t in texts])
+    assert np.allclose(together, alone, atol=1e-6)
+
+
+def test_convolution_against_brute_force():
+    model = toxicity.fit(planted(30, 1), epochs=1)
+    text = "some words of a text"
+    ids = [toxicity.buckets(w) for w in toxicity.tokens(text)]
+    e = [model.p["embedding"][i].sum(0) for i in ids] + [np.zeros(toxicity.SIZE)] * toxicity.PAD
+    pooled, column = [], 0
+    for width in toxicity.WIDTHS:
+        blocks = [model.p["filters"][:, column + j * toxicity.FILTERS : column + (j + 1) * toxicity.FILTERS] for j in range(width)]
+        column += width * toxicity.FILTERS
+        windows = [sum(e[t + j] @ blocks[j] for j in range(width) if t + j < len(e)) for t in range(len(e))]
+        pooled.append(np.max(windows, axis=0))
+    pooled = np.maximum(np.concatenate(pooled) + model.p["bias"], 0)
+    assert np.isclose(sigmoid(pooled @ model.p["out"] + model.p["base"][0]), model.scorer()([text])[0], atol=1e-5)
+
+
+def test_thresholds():
+    scores = np.array([0.1, 0.4, 0.6, 0.9, 0.2, 0.3])
+    cuts = toxicity.thresholds(scores, [0, 0, 1, 1, 0, 1], ["a", "a", "a", "a", "b", "b"])
+    assert 0.4 < cuts["a"] <= 0.6 and 0.2 < cuts["b"] <= 0.3 and "" in cuts
+    assert toxicity.thresholds(np.empty(0), [], []) == {"": 0.5}
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_mil])
+def test_odd_rows(spark, module):
+    model = module.fit(planted(40, 1), epochs=1)
+    docs = spark.createDataFrame([(*r, "clash") for r in ODD], "doc_id long, text string, lang string, score string")
+    out = module.score(docs, model, ["doc_id"]).collect()
+    assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
+    empty = {r.score for r in out if r.doc_id in (1, 2)}
+    assert len(empty) == 1
+    assert module.score(docs.limit(0), model, ["doc_id"]).count() == 0
+    assert 0 <= module.fit([]).scorer()([""])[0] <= 1
+    assert 0 <= module.fit([("a", 1)]).scorer()(["a"])[0] <= 1
+
+
+def test_sample(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(50)] + [(None, "x"), (3, None), (7, "t7")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (41, None)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, per_class=8)
+    assert rows == labelled_sample(docs.orderBy(F.desc("doc_id")), labels, "toxic", fold(F.col("doc_id"), 5) != 0, per_class=8)
+    keys = {int(t[1:]) for t, _ in rows}
+    assert len(keys) == 16 and all(crc32(str(k).encode()) % 5 for k in keys) and all(y == int(t[1:]) % 2 for t, y in rows)
+
+
+def test_mil_gradients():
+    """The step against differences of the loss."""
+    model = quality_mil.Model(3)
+    for k in model.p:
+        model.p[k] = model.p[k].astype(np.float64)
+    texts = ["A few Words, here " * 40, "OTHER!! WORDS!! " * 9, "x"]
+    labels, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    words = Words(quality_mil.buckets, 4)
+    bags = quality_mil.Bags(words, texts)
+    rows = np.array(words.made)
+
+    def loss():
+        table = model.words(rows)
+        table[0] = 0
+        z = model.forward(table, bags)["logit"]
+        return float((weight * (np.log1p(np.exp(z)) - labels * z)).sum() / len(labels))
+
+    class Record:
+        def step(self, grads):
+            self.grads = grads
+
+        def rows(self, name, at, grads):
+            self.at, self.table = at, grads
+
+    seen = Record()
+    model.step(seen, bags, rows, labels, weight)
+    draw = np.random.default_rng(0)
+    for name, grad in seen.grads.items():
+        for _ in range(4):
+            at = tuple(draw.integers(0, s) for s in model.p[name].shape)
+            model.p[name][at] += 1e-3
+            up = loss()
+            model.p[name][at] -= 2e-3
+            down = loss()
+            model.p[name][at] += 1e-3
+            assert abs((up - down) / 2e-3 - grad[at]) < 2e-3 * max(1, abs(grad[at])), name
+    bucket = int(rows[1][0])
+    want = seen.table[seen.at == bucket].sum(0)
+    for c in range(3):
+        model.p["embedding"][bucket, c] += 1e-3
+        up = loss()
+        model.p["embedding"][bucket, c] -= 2e-3
+        down = loss()
+        model.p["embedding"][bucket, c] += 1e-3
+        assert abs((up - down) / 2e-3 - want[c]) < 2e-3
+
+
+def test_mil_attention():
+    model = quality_mil.fit(planted(20, 1), epochs=1)
+    weights = quality_mil.attention(model, "word " * 500)
+    assert len(weights) == -(-501 // quality_mil.PASSAGE) and abs(sum(weights) - 1) < 1e-5
+
+
+def test_mil_batches_do_not_matter():
+    model = quality_mil.fit(planted(60, 1), epochs=1)
+    texts = [t for t, _ in planted(40, 3)] + ["", "one", "ONE!! " * 100]
+    assert np.allclose(model.scorer()(texts), [model.scorer()([t])[0] for t in texts], atol=1e-5)
+
+
+@pytest.mark.parametrize("name, label, least", [("op1_toxicity", "toxic", 0.97), ("op7_quality_mil", "quality", 0.97)])
+def test_held_out_accuracy(spark, name, label, least):
+    from footfall.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    made = queries.QUERIES[name](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    assert len(made) > 300
+    assert np.mean([r.predicted == r[label] for r in made]) > least
+    ones = [r for r in made if r[label] == 0 and name.startswith("op7") or r[label] == 1 and name.startswith("op1")]
+    assert np.mean([r.predicted == r[label] for r in ones]) > 0.85
