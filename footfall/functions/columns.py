@@ -38,3 +38,10 @@ def hash_key(seed: int, *keys: str | Column) -> Column:
 def hash_number(digest: str | Column, digits: int = 13) -> Column:
     """The leading hex digits of a digest as a long in [0, 16**digits)."""
     return F.conv(F.substring(col(digest), 1, digits), 16, 10).cast("bigint")
+
+
+def known_group(column: str, groups: list) -> Column:
+    """The column, with an error on a group that has no place in a pivot; null stays null."""
+    known = F.col(column).isNull() | F.col(column).isin(groups)
+    message = F.concat(F.lit(f"{column} is not one of {groups}: "), F.col(column).cast("string"))
+    return F.when(known, F.col(column)).otherwise(F.raise_error(message)).alias(column)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall import settings as S
+from footfall.functions.columns import known_group
 from footfall.functions.joins import is_small, once_per_customer, worked_out
 from footfall.operators import spans as SP
 from footfall.operators.features import named, with_open_bits, with_span_bits
@@ -25,13 +26,15 @@ def persona_event_dist(tables: RetailTables, events: DataFrame, first: int, last
     shopped here, as long as the customer was acquired by the end of the span.
     """
     spans = worked_out(SP.number_spans(SP.spans_in_years(SP.event_spans(events), first, last)))
+    # beyond 63 spans an event has further masks, each under a name of its own
+    names = [row.name for row in spans.select("name").distinct().orderBy("name").collect()]
     small = is_small(events)  # one row per day; spans and their days are no more than that
     years = f"year(sale_dt) between {first} and {last}"
     days = customer_days(tables.trans, by_day=years).join(tables.funnel.select("cust_key", "acq_dt"), "cust_key")
     # spans start in the years as well, so a shopped span day is always inside them
-    masks = {e: f"bit_or(if(fl_ind = 1 and {years}, {e}_bits, null))" for e in S.EVENT_NAMES}
+    masks = {e: f"bit_or(if(fl_ind = 1 and {years}, {e}_bits, null))" for e in names}
     customers = (
-        with_span_bits(days, spans, small)
+        with_span_bits(days, spans, small, names)
         .groupBy("cust_key")
         .agg(
             F.max("acq_dt").alias("acq_dt"),
@@ -43,20 +46,20 @@ def persona_event_dist(tables: RetailTables, events: DataFrame, first: int, last
         .join(non_employees(tables.customers), "cust_key", "left_semi")
         .join(once_per_customer(tables.personas, "persona"), "cust_key")
     )
-    customers = with_open_bits(customers, spans, date(first, 1, 1), small)
-    pairs = [f"struct('{e}' as event, coalesce({e}, 0L) as shopped, coalesce({e}_open, 0L) as open)" for e in S.EVENT_NAMES]
+    customers = with_open_bits(customers, spans, date(first, 1, 1), small, names)
+    pairs = [f"struct('{e}' as name, coalesce({e}, 0L) as shopped, coalesce({e}_open, 0L) as open)" for e in names]
     alike = (
         customers.selectExpr("persona", f"inline(array({', '.join(pairs)}))")
-        .groupBy("persona", "event", "open", F.col("shopped").bitwiseAND(F.col("open")).alias("shopped"))
+        .groupBy("persona", "name", "open", F.col("shopped").bitwiseAND(F.col("open")).alias("shopped"))
         .agg(F.count("*").alias("n"))
     )
     counted = (
         alike.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(SP.MAX_BITS))))
         .where("getbit(open, bit) = 1")
-        .groupBy("persona", "event", "bit")
+        .groupBy("persona", "name", "bit")
         .agg(F.sum("n").alias("n_existing"), F.expr("sum(if(getbit(shopped, bit) = 1, n, 0L))").alias("n_shopped"))
     )
-    return counted.join(spans, ["event", "bit"]).select(
+    return counted.join(spans, ["name", "bit"]).select(
         "persona", "event", F.col("yr").alias("year"), "start_dt", "end_dt", "n_shopped", "n_existing"
     )
 
@@ -69,7 +72,8 @@ def shopped_share(dist: DataFrame, year: int | None = None) -> DataFrame:
     """Event by persona: shopped share over all years, or in one year."""
     chosen = dist if year is None else dist.where(F.col("year") == year)
     share = F.try_divide(F.sum("n_shopped").cast("double"), F.sum("n_existing").cast("double"))
-    return chosen.groupBy("event").pivot("persona", S.PERSONAS).agg(share)
+    known = chosen.withColumn("persona", known_group("persona", S.PERSONAS))
+    return known.groupBy("event").pivot("persona", S.PERSONAS).agg(share)
 
 
 def chi_square(dist: DataFrame, by: list[str], outcomes: list[str]) -> DataFrame:
@@ -116,8 +120,8 @@ def _outcome_rows(outcomes: list[str]):
 def chi_square_p_value(tested: DataFrame) -> float:
     """Upper-tail probability of a one-row result, from the library Spark ships with."""
     row = tested.first()
-    law = tested.sparkSession._jvm.org.apache.commons.math3.distribution.ChiSquaredDistribution(float(row.dof))
-    return 1.0 - law.cumulativeProbability(float(row.statistic))
+    gamma = tested.sparkSession._jvm.org.apache.commons.math3.special.Gamma
+    return gamma.regularizedGammaQ(row.dof / 2.0, row.statistic / 2.0)  # keeps tails below 1e-16
 
 
 def label_rate(df: DataFrame, group: str = "persona", target: str = "target_shopped_ind") -> DataFrame:

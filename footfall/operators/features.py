@@ -44,15 +44,17 @@ def lookback_spans(events: DataFrame, feature_end: date) -> DataFrame:
     return worked_out(SP.number_years(spans, feature_end.year - 4))
 
 
-def with_span_bits(days: DataFrame, numbered: DataFrame, small: bool) -> DataFrame:
+def with_span_bits(days: DataFrame, numbered: DataFrame, small: bool, names: list[str] = S.EVENT_NAMES) -> DataFrame:
     """Adds, per event, the bits of the spans a sale day falls in (null on other days)."""
-    bits = broadcast_if(small, SP.span_bits(numbered))
+    bits = broadcast_if(small, SP.span_bits(numbered, names))
     return days.join(bits, F.col("sale_dt") == F.col("span_day"), "left").drop("span_day")
 
 
-def with_open_bits(customers: DataFrame, numbered: DataFrame, first_day: date, small: bool) -> DataFrame:
+def with_open_bits(
+    customers: DataFrame, numbered: DataFrame, first_day: date, small: bool, names: list[str] = S.EVENT_NAMES
+) -> DataFrame:
     """Adds, per event, the bits of the spans that end on or after the acquisition date."""
-    bits = broadcast_if(small, SP.open_bits(numbered, first_day))
+    bits = broadcast_if(small, SP.open_bits(numbered, first_day, names))
     on = F.expr(SP.clamp_day_sql("acq_dt", first_day)) == F.col("span_day")
     return customers.join(bits, on, "left").drop("span_day")
 
@@ -60,11 +62,12 @@ def with_open_bits(customers: DataFrame, numbered: DataFrame, first_day: date, s
 # --- SQL text of the aggregates over customer-days ---------------------------------
 
 
-def spend_share_aggregates() -> dict[str, str]:
-    """Spend on each event's days, and in total, over days the calendar knows."""
-    spend = {f"{e.short_event}_event_spend": f"sum(if({e.event} = 1, fl_spend, 0L))" for e in S.MODELLED_EVENTS}
-    spend["calendar_spend"] = "sum(if(event_dt is not null, fl_spend, null))"
-    spend["calendar_items"] = "sum(if(event_dt is not null, fl_items, null))"
+def spend_share_aggregates(days: str = "true") -> dict[str, str]:
+    """Spend on each event's days, and in total, over days the calendar knows and ``days`` admits."""
+    known = f"event_dt is not null and {days}"
+    spend = {f"{e.short_event}_event_spend": f"sum(if({e.event} = 1 and {days}, fl_spend, 0L))" for e in S.MODELLED_EVENTS}
+    spend["calendar_spend"] = f"sum(if({known}, fl_spend, null))"
+    spend["calendar_items"] = f"sum(if({known}, fl_items, null))"
     return spend
 
 
@@ -111,7 +114,7 @@ def named(expressions: dict[str, str]) -> list[Column]:
 
 # --- the one pass ---------------------------------------------------------------------
 
-SPEND, SHOPPED, LAST_YEAR, STATS = "spend", "shopped", "last_year", "stats"
+SPEND, SPEND_LY, SHOPPED, LAST_YEAR, STATS = "spend", "spend_ly", "shopped", "last_year", "stats"
 ALL_GROUPS = (SPEND, SHOPPED, LAST_YEAR, STATS)
 
 
@@ -128,7 +131,7 @@ def customer_profile(
     counts of ``stats``, one narrow scan of the look-back.  Everything after that is
     joined and grouped by customer under a single partitioning.
     """
-    small = bool({SPEND, SHOPPED, LAST_YEAR} & set(groups)) and is_small(events)
+    small = bool({SPEND, SPEND_LY, SHOPPED, LAST_YEAR} & set(groups)) and is_small(events)
     in_window = lookback_sql("sale_dt", feature_end, 4)
     needed = in_window
     if target is not None:
@@ -157,10 +160,12 @@ def customer_profile(
         "acq_dt": "max(acq_dt)",
         "days_in_window": "count_if(in_window)",
     }
-    if SPEND in groups or LAST_YEAR in groups:
+    if {SPEND, SPEND_LY, LAST_YEAR} & set(groups):
         rows = with_event_flags(rows, events, small, "left")
     if SPEND in groups:
         aggregates |= spend_share_aggregates()
+    if SPEND_LY in groups:  # under the names of `SPEND`, of which it takes the place
+        aggregates |= spend_share_aggregates(lookback_sql("sale_dt", feature_end, 1))
     if LAST_YEAR in groups:
         recent = f"event_dt is not null and fl_items > 0 and {lookback_sql('sale_dt', feature_end, 1)}"
         aggregates |= shopped_last_year_aggregates(recent)
@@ -192,12 +197,8 @@ def pct_spend_in_event(tables: RetailTables, events: DataFrame, feature_end: dat
 
 def pct_spend_in_event_ly(tables: RetailTables, events: DataFrame, feature_end: date) -> DataFrame:
     """The same share over the last year only."""
-    recent = tables.trans.where(lookback_sql("sale_dt", feature_end, 1))
-    days = post_acquisition(customer_days(recent), tables.funnel)
-    spend = with_event_flags(days, events, is_small(events)).groupBy("cust_key").agg(*named(spend_share_aggregates()))
-    population = customer_profile(tables, events, feature_end, ())
-    kept = spend.where("calendar_items > 0").join(population, "cust_key", "left_semi")
-    return kept.select("cust_key", *named(spend_share_columns()))
+    profile = customer_profile(tables, events, feature_end, (SPEND_LY,))
+    return profile.where("calendar_items > 0").select("cust_key", *named(spend_share_columns()))
 
 
 def pct_trips_in_event(tables: RetailTables, events: DataFrame, feature_end: date) -> DataFrame:

@@ -9,22 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall import settings as S
 from footfall.operators.profiling import nonnull_features
 from footfall.operators.sampling import poisson_weight, stratified_folds
 from footfall.operators.selection import as_lists
-from footfall.sources.staging import checkpoint_dir
+from footfall.sources.staging import checkpoint_dir, materialize
 
 TARGET = "target_shopped_ind"
 LABEL = "label"
@@ -90,14 +92,23 @@ def _ready(df: DataFrame) -> None:
     checkpoint_dir(df.sparkSession)  # tree ensembles cut their own lineage there
 
 
-def fit_models(df: DataFrame, features: FeatureLists, make: Callable[[int, int], Estimator]) -> dict[int, Model]:
+def side_by_side(jobs: list[Callable], parallelism: int) -> list:
+    """Results of jobs that each start Spark jobs of their own, a few at a time."""
+    session = SparkSession.active()
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(session)(lambda job: job()), jobs)
+
+
+def fit_models(df: DataFrame, features: FeatureLists, make: Callable[[int, int], Estimator], parallelism: int = 5) -> dict[int, Model]:
     """One fitted model per persona; ``make(persona, n_rows)`` gives the estimator."""
     _ready(df)
-    models = {}
-    for persona, names in features.items():
+
+    def fit(persona: int, names: list[str]) -> Model:
         with cached(persona_vectors(df, persona, names)) as rows:
-            models[persona] = make(persona, rows.count()).fit(rows)
-    return models
+            return make(persona, rows.count()).fit(rows)
+
+    found = side_by_side([partial(fit, p, names) for p, names in features.items()], parallelism)
+    return dict(zip(features, found, strict=True))
 
 
 def score(df: DataFrame, features: FeatureLists, models: dict[int, Model]) -> DataFrame:
@@ -130,32 +141,37 @@ def importances(df: DataFrame, features: FeatureLists, models: dict[int, Model])
 def grid_search(
     df: DataFrame,
     features: FeatureLists,
-    estimator: Estimator,
+    make: Callable[[dict[str, float], int, int], Estimator],
     grid: list[dict[str, float]],
     n_folds: int = 5,
     seed: int = S.SPLIT_SEED,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """(persona, params, mean_test_score, std_test_score, rank_test_score): negative log
-    loss over stratified folds, for every parameter set of ``grid``."""
+    loss over stratified folds, for every parameter set of ``grid``.
+
+    ``make(point, persona, n_rows)`` gives the estimator of a parameter set, with the rows
+    it will be fitted on, so that penalties on summed losses can be searched as well.
+    Folds are dealt once and stored; nothing is fitted beyond the folds.
+    """
     _ready(df)
-    folded = stratified_folds(df, n_folds, seed)
-    maps = [{estimator.getParam(name): value for name, value in point.items()} for point in grid]
+    folded = materialize(stratified_folds(df, n_folds, seed), "folds")
     loss = MulticlassClassificationEvaluator(metricName="logLoss", labelCol=LABEL, probabilityCol="probability")
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=maps,
-        evaluator=loss,
-        numFolds=n_folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
     results = []
     for persona, names in features.items():
         with cached(persona_vectors(folded, persona, names, "fold")) as rows:
-            found = search.fit(rows)
-        for point, mean, std in zip(grid, found.avgMetrics, found.stdMetrics):
-            results.append((persona, {k: float(v) for k, v in point.items()}, -float(mean), float(std)))
+            sizes = {r.fold: r["count"] for r in rows.groupBy("fold").count().collect()}
+            total = sum(sizes.values())
+
+            def one(point: dict[str, float], fold: int, persona=persona, rows=rows, left=total, sizes=sizes) -> float:
+                model = make(point, persona, left - sizes[fold]).fit(rows.where(F.col("fold") != fold))
+                return -loss.evaluate(model.transform(rows.where(F.col("fold") == fold)))
+
+            tries = [(i, fold) for i in range(len(grid)) for fold in sorted(sizes)]
+            scores = side_by_side([partial(one, grid[i], fold) for i, fold in tries], parallelism)
+        for i, point in enumerate(grid):
+            of_point = np.array([s for (k, _), s in zip(tries, scores, strict=True) if k == i])
+            results.append((persona, {k: float(v) for k, v in point.items()}, float(of_point.mean()), float(of_point.std())))
     table = df.sparkSession.createDataFrame(
         results, "persona int, params map<string,double>, mean_test_score double, std_test_score double"
     )
@@ -163,6 +179,16 @@ def grid_search(
     return table.withColumn("rank_test_score", F.rank().over(order))
 
 
+def searchable(run_seed: int = 2301, trees: int = 200, boosts: int = 500, max_iter: int = 1000) -> dict[str, Callable]:
+    """Estimators by parameter set, as `grid_search` takes them."""
+    return {
+        "rf": lambda x, p, n: random_forest(int(x["depth"]), trees=trees, seed=run_seed + p),
+        "gbt": lambda x, p, n: gradient_boosting(boosts, depth=int(x["depth"]), subsample=x.get("subsample", 1.0), seed=5301 + p),
+        "enet": lambda x, p, n: elastic_net(x["alpha"], x["l1_ratio"], max_iter),
+        "l1": lambda x, p, n: l1_logistic(n, x["C"], max_iter),
+    }
+
+
 def best_params(results: DataFrame) -> DataFrame:
     """The parameters ranked first, one row per persona."""
     return results.where("rank_test_score = 1").groupBy("persona").agg(F.min_by("params", "std_test_score").alias("params"))
@@ -176,6 +202,7 @@ def bootstrap_coefs(
     l1_ratio: float = 0.4,
     seed: int = 4040,
     max_iter: int = 1000,
+    parallelism: int = 8,
 ) -> DataFrame:
     """(persona, replicate, feature, coef): elastic-net fits on resampled rows.
 
@@ -184,8 +211,12 @@ def bootstrap_coefs(
     results = []
     for persona, names in features.items():
         with cached(persona_vectors(df, persona, names)) as rows:
-            for replicate in range(n_resample):
+            rows.count()
+
+            def one(replicate: int, rows=rows) -> list[float]:
                 weighted = rows.withColumn("weight", poisson_weight(seed, replicate)).where("weight > 0")
-                model = elastic_net(alpha, l1_ratio, max_iter).setWeightCol("weight").fit(weighted)
-                results += [(persona, replicate, f, float(c)) for f, c in zip(names, model.coefficients.toArray())]
+                return elastic_net(alpha, l1_ratio, max_iter).setWeightCol("weight").fit(weighted).coefficients.toArray().tolist()
+
+            fitted = side_by_side([partial(one, r) for r in range(n_resample)], parallelism)
+        results += [(persona, r, f, c) for r, coefs in enumerate(fitted) for f, c in zip(names, coefs, strict=True)]
     return df.sparkSession.createDataFrame(results, "persona int, replicate int, feature string, coef double")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall import settings as S
+from footfall.functions.columns import known_group
 
 CONTINUOUS_ABOVE, ORDINAL_ABOVE = 8, 2
 ROUNDING = 9  # digits that are the same however a sum was split over tasks
@@ -55,52 +57,91 @@ def key_alignment(left: DataFrame, right: DataFrame, key: str = "cust_key") -> D
     )
 
 
+def _kind(n_distinct: str):
+    return (
+        F.when(F.col(n_distinct) > CONTINUOUS_ABOVE, "continuous")
+        .when(F.col(n_distinct) > ORDINAL_ABOVE, "ordinal")
+        .otherwise("binary")
+    )
+
+
 def feature_types(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, n_distinct, feature_type): more than 8 values continuous, more than 2
-    ordinal, else binary.  ``n_distinct`` stops at 9.
+    ordinal, else binary.  Nulls are no values; what differs beyond nine decimals is one.
+
+    Values are made distinct inside the tasks before (feature, value) pairs are shuffled.
+    Where the type alone is wanted `feature_kinds` moves less.
+    """
+    structs = [f"struct('{f}' as feature, round(cast({f} as double), {ROUNDING}) as value)" for f in features]
+    values = df.select(_rows(structs)).distinct().groupBy("feature").agg(F.count("value").cast("int").alias("n_distinct"))
+    return values.withColumn("feature_type", _kind("n_distinct"))
+
+
+def feature_kinds(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, feature_type) as `feature_types` has it.
 
-    Every value sets one of 64 bits by its hash; more than 8 bits prove more than 8
-    values.  Only the features that this leaves open, which have few values, are counted
-    exactly.  So no column with many values is ever shuffled for a distinct count.
+    Every value that is not null sets one of 64 bits by its hash; more than 8 bits prove
+    more than 8 values.  Only the features that this leaves open, which have few values,
+    are counted.
     """
-    bits = [F.expr(f"bit_count(bit_or(shiftleft(1L, cast(pmod(xxhash64({f}), 64) as int)))) as {f}") for f in features]
-    seen = df.agg(*bits).first()
+    mask = "bit_count(bit_or(if({0} is null, null, shiftleft(1L, cast(pmod(xxhash64(round(cast({0} as double), 9)), 64) as int))))) as {0}"
+    seen = df.agg(*[F.expr(mask.format(f)) for f in features]).first()
     settled = [f for f in features if (seen[f] or 0) > CONTINUOUS_ABOVE]
     unsettled = [f for f in features if f not in settled]
-    counts = df.sparkSession.createDataFrame([(f, CONTINUOUS_ABOVE + 1) for f in settled], "feature string, n_distinct int")
-    if unsettled:
-        structs = [f"struct('{f}' as feature, cast({f} as double) as value)" for f in unsettled]
-        values = df.select(_rows(structs)).distinct().groupBy("feature").agg(F.count("value").alias("n"))
-        exact = values.select("feature", F.least(F.col("n"), F.lit(CONTINUOUS_ABOVE + 1)).cast("int").alias("n_distinct"))
-        counts = counts.unionByName(exact)
-    kind = (
-        F.when(F.col("n_distinct") > CONTINUOUS_ABOVE, "continuous")
-        .when(F.col("n_distinct") > ORDINAL_ABOVE, "ordinal")
-        .otherwise("binary")
-    )
-    return counts.withColumn("feature_type", kind)
+    kinds = df.sparkSession.createDataFrame([(f, "continuous") for f in settled], "feature string, feature_type string")
+    return kinds.unionByName(feature_types(df, unsettled).drop("n_distinct")) if unsettled else kinds
+
+
+def _moments(columns: list[str], means: dict, by: str):
+    """Arrow batches to sums over pairs: one row per group and pair for a whole task."""
+    k = len(columns)
+    upper = np.triu_indices(k, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            groups = np.array(batch.column(0).to_pylist(), dtype=object)
+            values = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i in range(k)], axis=1)
+            for group in {g for g in groups if g is not None}:
+                x = values[groups == group] - means[group]
+                there = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
+                square = x * x
+                sums = np.stack([there.T @ there, x.T @ there, there.T @ x, square.T @ there, there.T @ square, x.T @ x])
+                held[group] = held[group] + sums if group in held else sums
+        for group, sums in held.items():
+            arrays = [pa.array([group] * len(upper[0]), pa.int32()), pa.array(upper[0], pa.int32()), pa.array(upper[1], pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(s[upper]) for s in sums], [by, "i", "j", *MOMENTS])
+
+    return run
+
+
+MOMENTS = ["n", "x", "y", "xx", "yy", "xy"]
 
 
-def correlations(df: DataFrame, features: list[str], by: str = "persona", groups: list[int] = S.PERSONAS) -> DataFrame:
+def correlations(df: DataFrame, features: list[str], by: str = "persona") -> DataFrame:
     """(group, feature_1, feature_2, corr): absolute Pearson correlation of every pair.
 
-    One pass per persona builds the feature products as vectors on the executors; a
-    features x features matrix comes back.  Pairs with a constant feature have no
-    correlation and are left out.
+    Each pair uses the rows where both are there.  One pass finds the mean of every
+    feature and group; a second sums the products of the distances from it inside the
+    tasks, as matrices, and Spark adds up one row per task, group and pair.  Pairs with a
+    feature that is constant over their rows, or with fewer than two rows, have no
+    correlation and are left out; so are rows without a group.
     """
-    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(df.select(by, *features))
-    pairs = []
-    for group in groups:
-        rows = vectors.where(F.col(by) == group).select("features")
-        if len(rows.take(2)) < 2:
-            continue
-        matrix = abs(Correlation.corr(rows, "features").first()[0].toArray())
-        for i, first in enumerate(features):
-            for j, second in enumerate(features):
-                if i != j and matrix[i, j] == matrix[i, j]:
-                    pairs.append((group, first, second, round(float(matrix[i, j]), ROUNDING)))
-    schema = f"{by} int, feature_1 string, feature_2 string, corr double"
-    return df.sparkSession.createDataFrame(pairs, schema)
+    numbers = df.select(F.col(by).cast("int").alias(by), *[F.col(f).cast("double").alias(f) for f in features])
+    centres = numbers.where(F.col(by).isNotNull()).groupBy(by).agg(*[F.avg(f).alias(f) for f in features]).collect()
+    means = {row[by]: np.array([row[f] or 0.0 for f in features]) for row in centres}
+    sums = ", ".join(f"{m} double" for m in MOMENTS)
+    parts = numbers.mapInArrow(_moments(features, means, by), f"{by} int, i int, j int, {sums}")
+    total = parts.groupBy(by, "i", "j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    spread = lambda square, one: f"({square} - {one} * {one} / n)"
+    # what is left of the squares of a constant feature is rounding
+    varies = [f"{spread(s, o)} > 1e-13 * {s}" for s, o in (("xx", "x"), ("yy", "y"))]
+    corr = f"round(abs(xy - x * y / n) / sqrt({spread('xx', 'x')} * {spread('yy', 'y')}), {ROUNDING})"
+    found = total.where("n >= 2 and xx > 0 and yy > 0 and " + " and ".join(varies)).selectExpr(by, "i", "j", f"least({corr}, 1D) as corr")
+    names = F.array(*[F.lit(f) for f in features])
+    both = found.union(found.select(by, "j", "i", "corr"))
+    return both.select(by, F.get(names, F.col("i")).alias("feature_1"), F.get(names, F.col("j")).alias("feature_2"), "corr")
 
 
 def high_corr_pairs(corr: DataFrame, lower_bound: float = 0.8, by: str = "persona") -> DataFrame:
@@ -112,7 +153,7 @@ def high_corr_pairs(corr: DataFrame, lower_bound: float = 0.8, by: str = "person
 
 def corr_pivot(high: DataFrame, by: str = "persona", groups: list[int] = S.PERSONAS) -> DataFrame:
     """Pair by persona, with the sum over personas."""
-    pivoted = high.groupBy("feature_1", "feature_2").pivot(by, groups).agg(F.max("corr"))
+    pivoted = high.withColumn(by, known_group(by, groups)).groupBy("feature_1", "feature_2").pivot(by, groups).agg(F.max("corr"))
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(str(g)), F.lit(0.0)) for g in groups])
     return pivoted.withColumn("sum", total)
 
@@ -131,7 +172,7 @@ def low_variance(df: DataFrame, features: list[str], upper_bound: float = 0.05,
 
 
 def variance_pivot(low: DataFrame, by: str = "persona", groups: list[int] = S.PERSONAS) -> DataFrame:
-    return low.groupBy("feature").pivot(by, groups).agg(F.max("variance"))
+    return low.withColumn(by, known_group(by, groups)).groupBy("feature").pivot(by, groups).agg(F.max("variance"))
 
 
 def nonnull_features(df: DataFrame, features: list[str], by: str = "persona") -> DataFrame:

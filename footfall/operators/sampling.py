@@ -19,6 +19,7 @@ from footfall.functions.columns import hash_key, hash_number
 from footfall.functions.joins import worked_out
 
 PREFIX_DIGITS = 4  # 65,536 prefixes
+POISSON_TERMS = 18  # more draws are less likely than the last digit of the digest
 
 
 def _match(by: list[str]):
@@ -181,7 +182,7 @@ def poisson_weight(seed: int, replicate: int, key: str = "cust_key") -> Column:
     """
     u = hash_number(hash_key(seed, F.lit(replicate), key)) / F.lit(float(16**13))
     below, term, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(12):
+    for k in range(POISSON_TERMS):
         below += term
         weight = weight + F.when(u >= below, 1).otherwise(0)
         term /= k + 1

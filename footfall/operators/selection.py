@@ -10,26 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall import settings as S
+from footfall.functions.columns import known_group
 
 Quota = int | dict[str, int]
 
 
-def dropped_features(spark) -> DataFrame:
-    """(persona, feature) of the hand-picked features to leave out."""
-    dropped = [(p, f) for p in S.PERSONAS for f in S.DROPPED_EVERYWHERE + S.DROPPED_BY_PERSONA[p]]
-    return spark.createDataFrame(dropped, "persona int, feature string").distinct()
-
-
 def keep_features(available: DataFrame) -> DataFrame:
-    """Features per persona, less the hand-picked ones."""
-    return available.join(F.broadcast(dropped_features(available.sparkSession)), ["persona", "feature"], "left_anti")
+    """Features per persona, less those left out by hand: some for every persona, some for one."""
+    everywhere = available.where(~F.col("feature").isin(S.DROPPED_EVERYWHERE))
+    dropped = [(p, f) for p, names in S.DROPPED_BY_PERSONA.items() for f in names]
+    own = available.sparkSession.createDataFrame(dropped, "persona int, feature string").distinct()
+    return everywhere.join(F.broadcast(own), ["persona", "feature"], "left_anti")
 
 
 def rank_importance(importances: DataFrame) -> DataFrame:
     """Rank (ties take the lowest) within persona and feature type, personas as columns."""
     order = Window.partitionBy("persona", "feature_type").orderBy(F.col("importance").desc())
     ranked = importances.withColumn("rank", F.rank().over(order))
-    return ranked.groupBy("feature_type", "feature").pivot("persona", S.PERSONAS).agg(F.max("rank"))
+    return ranked.withColumn("persona", known_group("persona", S.PERSONAS)).groupBy("feature_type", "feature").pivot("persona", S.PERSONAS).agg(F.max("rank"))
 
 
 def rank_from_top(importances: DataFrame, of: int = 35) -> DataFrame:
@@ -74,24 +72,26 @@ def top_stratified(importances: DataFrame, top_n: Quota | dict[int, Quota]) -> D
     return chosen.select(*importances.columns)
 
 
-def _per_persona(top_n: Quota | dict[int, Quota]) -> dict[int, Quota]:
-    if isinstance(top_n, dict) and all(isinstance(k, int) for k in top_n):
-        return top_n
-    return {p: top_n for p in S.PERSONAS}
+def _by_persona(top_n: Quota | dict[int, Quota]) -> bool:
+    return isinstance(top_n, dict) and all(isinstance(k, int) for k in top_n)
 
 
 def _number_column(top_n: Quota | dict[int, Quota], persona: str) -> Column:
-    numbers = {p: q for p, q in _per_persona(top_n).items() if isinstance(q, int)}
+    """One number for every persona of the data, or the number of each persona."""
+    if isinstance(top_n, int):
+        return F.lit(top_n).cast("bigint")
+    numbers = {p: q for p, q in top_n.items() if isinstance(q, int)} if _by_persona(top_n) else {}
     return _lookup(numbers, F.col(persona))
 
 
 def _given_column(top_n: Quota | dict[int, Quota]) -> Column:
+    """Numbers given by feature type, for every persona or for one."""
     chosen = F.lit(None).cast("bigint")
-    for p, q in _per_persona(top_n).items():
-        if isinstance(q, dict):
-            for kind, n in q.items():
-                here = (F.col("persona") == p) & (F.col("feature_type") == kind)
-                chosen = F.when(here, F.lit(n).cast("bigint")).otherwise(chosen)
+    for p, q in (top_n.items() if _by_persona(top_n) else [(None, top_n)]):
+        for kind, n in q.items() if isinstance(q, dict) else ():
+            here = F.col("feature_type") == kind
+            here = here if p is None else here & (F.col("persona") == p)
+            chosen = F.when(here, F.lit(n).cast("bigint")).otherwise(chosen)
     return chosen
 
 
@@ -163,7 +163,7 @@ def narrow_by_persona(df: DataFrame, selected: dict[int, list[str]], ids: list[s
 
 def feature_membership(selected: DataFrame) -> DataFrame:
     """Feature by persona, 1 where selected; features nobody selected have no row."""
-    return selected.groupBy("feature").pivot("persona", S.PERSONAS).agg(F.max(F.lit(1))).na.fill(0)
+    return selected.withColumn("persona", known_group("persona", S.PERSONAS)).groupBy("feature").pivot("persona", S.PERSONAS).agg(F.max(F.lit(1))).na.fill(0)
 
 
 def membership_by_type(selected: DataFrame, types: DataFrame) -> DataFrame:

@@ -60,26 +60,32 @@ def spans_in_years(spans: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def number_spans(spans: DataFrame) -> DataFrame:
-    """Adds ``bit``: the position of a span among its event's spans, in date order."""
+    """Adds ``bit``, the position of a span among its event's spans in date order, and ``name``.
+
+    A mask holds MAX_BITS + 1 spans.  The first of an event goes by the event's name, further
+    ones by the name and their number, and ``bit`` starts anew in each.
+    """
     order = Window.partitionBy("event").orderBy("start_dt", "end_dt")
-    return spans.withColumn("bit", F.row_number().over(order) - 1)
+    placed = spans.withColumn("_place", F.row_number().over(order) - 1).withColumn("_mask", F.floor(F.col("_place") / (MAX_BITS + 1)))
+    name = F.when(F.col("_mask") == 0, F.col("event")).otherwise(F.concat_ws("_", "event", "_mask"))
+    return placed.select(*spans.columns, (F.col("_place") % (MAX_BITS + 1)).alias("bit"), name.alias("name"))
 
 
 def number_years(spans: DataFrame, first_year: int) -> DataFrame:
     """Adds ``bit``: the year counted from ``first_year``, shared by spans of one year."""
-    return spans.withColumn("bit", F.col("yr") - first_year)
+    return spans.withColumn("bit", F.col("yr") - first_year).withColumn("name", F.col("event"))
 
 
 def _masks(days: DataFrame, names: list[str], suffix: str) -> DataFrame:
     """A bit per span and event; `number_spans` and `number_years` keep bits below 63."""
     checked = f"if(bit between 0 and {MAX_BITS}, shiftleft(1L, bit), raise_error('too many spans of one event'))"
-    masks = [F.expr(f"coalesce(bit_or(if(event = '{e}', mask, null)), 0L) as {e}{suffix}") for e in names]
+    masks = [F.expr(f"coalesce(bit_or(if(name = '{e}', mask, null)), 0L) as {e}{suffix}") for e in names]
     return days.withColumn("mask", F.expr(checked)).groupBy("span_day").agg(*masks)
 
 
 def span_bits(numbered: DataFrame, names: list[str] = S.EVENT_NAMES, suffix: str = "_bits") -> DataFrame:
     """Per day and event, the bits of the spans that contain the day."""
-    days = numbered.select("event", "bit", F.explode(F.sequence("start_dt", "end_dt")).alias("span_day"))
+    days = numbered.select("name", "bit", F.explode(F.sequence("start_dt", "end_dt")).alias("span_day"))
     return _masks(days, names, suffix)
 
 
@@ -92,7 +98,7 @@ def open_bits(
     span ends on or after it.  Days after the last span have no row.
     """
     later = numbered.where(F.col("end_dt") >= as_date(first_day))
-    days = later.select("event", "bit", F.explode(F.sequence(as_date(first_day), F.col("end_dt"))).alias("span_day"))
+    days = later.select("name", "bit", F.explode(F.sequence(as_date(first_day), F.col("end_dt"))).alias("span_day"))
     return _masks(days, names, suffix)
 
 

@@ -39,7 +39,6 @@ CALENDAR_END = date(2019, 12, 31)
 FIRST_YEAR, LAST_YEAR = 2013, 2017
 N_SAMPLE = 500
 SCORE_SEED = 7
-TREE_FEATURES = [c for c in S.FEATURE_COLUMNS if not c.endswith("_shop_ly_ind")]
 
 # Decimals that results are compared with.  Shares have ten decimals, a hundred times a
 # share has eight: cutting these at six would meet exact ties, which engines round apart.
@@ -93,12 +92,12 @@ class Context:
 
     @property
     def observed(self) -> DataFrame:
-        return CAL.observed_days(self.tables.trans)
+        return CAL.observed_days(self.daily)
 
     @cached_property
     def daily(self) -> DataFrame:
-        """Sale lines per day."""
-        return self.tables.trans.groupBy("sale_dt").agg(F.count("*").alias("n_lines"))
+        """Sale lines per day, from one scan of the sales."""
+        return materialize(self.tables.trans.groupBy("sale_dt").agg(F.count("*").alias("n_lines")), "daily")
 
     def feature_matrix(self) -> DataFrame:
         start, end, feature_end = self.window
@@ -112,7 +111,7 @@ class Context:
     def importances(self) -> DataFrame:
         """A stand-in importance that any engine can work out: the log of the variance."""
         spread = PROF.variances(self.matrix, S.FEATURE_COLUMNS)
-        types = PROF.feature_types(self.matrix, S.FEATURE_COLUMNS).select("feature", "feature_type")
+        types = PROF.feature_kinds(self.matrix, S.FEATURE_COLUMNS)
         rounded = spread.select("persona", "feature", F.round(F.log1p("variance"), 6).alias("importance"))
         return rounded.join(F.broadcast(types), "feature").select("persona", "feature", "importance", "feature_type")
 
@@ -252,7 +251,8 @@ def event_dates_lookback(c: Context) -> DataFrame:
 
 @query
 def post_acq_trans(c: Context) -> DataFrame:
-    return POP.post_acquisition(c.tables.trans, c.tables.funnel)
+    # a stored funnel: both sides of the join come straight from a shuffle, so that a heavy customer is split
+    return POP.post_acquisition(c.tables.trans, materialize(c.tables.funnel, "funnel"))
 
 
 @query
@@ -529,7 +529,7 @@ def feature_membership(c: Context) -> DataFrame:
 
 @query
 def membership_by_type(c: Context) -> DataFrame:
-    return SEL.membership_by_type(_chosen(c), PROF.feature_types(c.matrix, S.FEATURE_COLUMNS))
+    return SEL.membership_by_type(_chosen(c), PROF.feature_kinds(c.matrix, S.FEATURE_COLUMNS))
 
 
 def _personas_named(df: DataFrame) -> DataFrame:

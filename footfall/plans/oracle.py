@@ -241,8 +241,8 @@ long_matrix as (
 
 TYPES = """
 types as (
-  select feature, least(count(distinct value), 9) as n_distinct,
-    case when count(distinct value) > 8 then 'continuous' when count(distinct value) > 2 then 'ordinal' else 'binary' end
+  select feature, count(distinct round(value, 9)) as n_distinct,
+    case when count(distinct round(value, 9)) > 8 then 'continuous' when count(distinct round(value, 9)) > 2 then 'ordinal' else 'binary' end
       as feature_type
   from long_matrix group by 1)
 """

@@ -120,7 +120,7 @@ def select_features(run: Run, sets: dict[str, DataFrame]) -> dict[str, DataFrame
     forests = ML.fit_models(
         train, kept, lambda p, n: ML.random_forest(run.forest_depth[p], trees=run.n_trees, seed=202741)
     )
-    types = PROF.feature_types(train, features).select("feature", "feature_type")
+    types = PROF.feature_kinds(train, features)
     importances = ML.importances(train, kept, forests).join(F.broadcast(types), "feature")
     importances = _store(importances.select("persona", "feature", "importance", "feature_type"), run.path("feature_importances"))
 

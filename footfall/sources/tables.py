@@ -72,5 +72,10 @@ def save_models(models: dict[int, MLWritable], path: str) -> None:
         model.write().overwrite().save(f"{path}/persona={persona}")
 
 
-def load_models(model_class: type[MLReadable], path: str, personas: list[int] = S.PERSONAS) -> dict:
+def load_models(spark: SparkSession, model_class: type[MLReadable], path: str) -> dict:
+    """The models of all personas that have a folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [f.getPath().getName() for f in found]
+    personas = sorted(int(n.partition("=")[2]) for n in names if n.startswith("persona="))
     return {persona: model_class.load(f"{path}/persona={persona}") for persona in personas}

@@ -1,6 +1,7 @@
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from retail_fixture import line, tables
 
 from footfall import settings as S
@@ -174,6 +175,26 @@ def test_persona_event_dist(spark, events):
     assert got[(1, 2016)] == (2, 2, 0) and got[(1, 2014)] == (0, 1, 1) and got[(2, 2016)] == (0, 1, 1)
 
 
+def test_more_spans_than_one_mask_holds(spark, events):
+    """100 spans of one day: the first of every odd week since 2013."""
+    name = S.EVENT_NAMES[0]
+    every = F.when((F.datediff("event_dt", F.lit("2013-01-05")) % 14 == 0) & (F.col("event_dt") < "2016-11-01"), 1).otherwise(0)
+    many = events.withColumn(name, every)
+    first = date(2013, 1, 5)
+    days = [first + timedelta(days=14 * i) for i in range(100)]
+    assert days[-1] < date(2016, 11, 1) <= days[-1] + timedelta(days=14)
+    lines = [line(1, str(days[i])) for i in (0, 62, 63, 64, 99)] + [line(2, str(days[70]))]
+    t = tables(spark, lines, {1: "2013-01-01", 2: str(days[65])}, personas={1: 1, 2: 1})
+    dist = D.persona_event_dist(t, many, 2013, 2017).where(F.col("event") == name).collect()
+    got = {r.start_dt: (r.n_shopped, r.n_existing) for r in dist}
+    assert got == {d: ((i in (0, 62, 63, 64, 99)) + (i == 70), 1 + (i >= 65)) for i, d in enumerate(days)}
+
+
+def test_small_p_values(spark):
+    two = spark.createDataFrame([(1, 300, 20), (2, 30, 200)], "persona int, n_shopped long, n_notshopped long")
+    assert 0 < D.chi_square_p_value(D.chi_square(two, ["persona"], ["n_shopped", "n_notshopped"])) < 1e-40
+
+
 def test_chi_square(spark):
     equal = [(p, e, 5, 5) for p in (1, 2) for e in ("a", "b")]
     df = spark.createDataFrame(equal, "persona int, event string, n_shopped long, n_notshopped long")

@@ -59,12 +59,26 @@ def test_importance_and_l1(planted, features):
 
 def test_grid_search_ranks(planted, features):
     grid = [{"regParam": 0.001, "elasticNetParam": 0.4}, {"regParam": 5.0, "elasticNetParam": 1.0}]
-    found = ML.grid_search(planted, features, ML.elastic_net(max_iter=10), grid, n_folds=3)
+    make = lambda x, p, n: ML.elastic_net(x["regParam"], x["elasticNetParam"], 10)
+    found = ML.grid_search(planted, features, make, grid, n_folds=3)
     best = {r.persona: r.params for r in ML.best_params(found).collect()}
     assert best == {1: grid[0], 2: grid[0]}
     assert all(r.mean_test_score < 0 and r.std_test_score >= 0 for r in found.collect())
 
 
+def test_penalties_on_summed_losses_can_be_searched(planted, features):
+    seen = []
+    makers = ML.searchable(max_iter=10)
+
+    def make(point, persona, n):
+        seen.append(n)
+        return makers["l1"](point, persona, n)
+
+    found = ML.grid_search(planted, features, make, [{"C": 0.001}, {"C": 1.0}], n_folds=3)
+    assert {r.persona: r.params for r in ML.best_params(found).collect()} == {1: {"C": 1.0}, 2: {"C": 1.0}}
+    assert min(seen) > 390 and max(seen) < 410  # two thirds of a persona's 600 rows
+
+
 def test_bootstrap(planted, features):
     coefs = ML.bootstrap_coefs(planted, features, n_resample=3, alpha=0.05, l1_ratio=1.0, max_iter=20).collect()
     assert len(coefs) == 3 * 7

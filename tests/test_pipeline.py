@@ -71,5 +71,5 @@ def test_whole_run(spark, folder):
     sample = spark.read.parquet(run.path("sample"))
     assert train.count() == int(0.7 * sample.count()) and train.count() + test.count() == sample.count()
     assert "log_fl_total_spend" in train.columns and "fl_total_spend" not in train.columns
-    models = IO.load_models(LogisticRegressionModel, run.path("models/enet"))
+    models = IO.load_models(spark, LogisticRegressionModel, run.path("models/enet"))
     assert sorted(models) == S.PERSONAS and models[1].numFeatures <= 20

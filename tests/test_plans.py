@@ -73,3 +73,19 @@ def test_load_delimited(spark, stored):
     IO.load_delimited(spark, path, stored.personas.schema, "loaded_personas")
     assert sorted(spark.table("loaded_personas").collect()) == sorted(stored.personas.collect())
     spark.sql("drop table loaded_personas")
+
+
+def test_calendar_scans_the_sales_once(spark):
+    from footfall.plans import catalog as C
+
+    context = C.Context(spark, "/root/testdata/sf0.001")
+    before = context.daily.inputFiles()
+    for build in (C.event_calendar, C.event_rollups, C.calendar_454):
+        text = plan(build(context))
+        assert "lineitem" not in text and "orders.parquet" not in text
+        assert context.daily.inputFiles() == before  # the one scan was stored
+
+
+def test_last_year_spend_is_one_pass(stored, events):
+    text = plan(FE.pct_spend_in_event_ly(stored, events, FEATURE_END))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*spend_gross", text)) == 1

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from footfall.operators import evaluation as EV
@@ -10,11 +11,43 @@ def test_feature_types(spark):
     df = spark.createDataFrame(rows, "many double, nine int, eight int, three int, two int, one int")
     got = {r.feature: (r.n_distinct, r.feature_type) for r in PR.feature_types(df, df.columns).collect()}
     assert got == {
-        "many": (9, "continuous"), "nine": (9, "continuous"), "eight": (8, "ordinal"),
+        "many": (200, "continuous"), "nine": (9, "continuous"), "eight": (8, "ordinal"),
         "three": (3, "ordinal"), "two": (2, "binary"), "one": (1, "binary"),
     }
 
 
+def test_nulls_are_no_values(spark):
+    rows = [(None if i % 9 == 8 else float(i % 9), None, i % 3 or None) for i in range(90)]
+    df = spark.createDataFrame(rows, "eight double, none int, two int")
+    got = {r.feature: (r.n_distinct, r.feature_type) for r in PR.feature_types(df, df.columns).collect()}
+    assert got == {"eight": (8, "ordinal"), "none": (0, "binary"), "two": (2, "binary")}
+    assert {r.feature: r.feature_type for r in PR.feature_kinds(df, df.columns).collect()} == {k: v for k, (_, v) in got.items()}
+
+
+def test_correlations_skip_null_pairs_and_keep_all_personas(spark):
+    draw = np.random.default_rng(1)
+    x = draw.normal(1e6, 1, (400, 3))
+    x[:, 1] += x[:, 0] - 1e6
+    x[draw.random((400, 3)) < 0.2] = np.nan
+    rows = [(7 if i % 2 else 1, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)] + [(9, 1.0, 2.0, 3.0), (None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "persona int, a double, b double, c double").repartition(5)
+    got = {(r.persona, r.feature_1, r.feature_2): r["corr"] for r in PR.correlations(df, ["a", "b", "c"]).collect()}
+    assert len(got) == 12
+    for persona in (1, 7):
+        part = x[(np.arange(400) % 2 == 1) == (persona == 7)]
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            both = part[~np.isnan(part[:, i]) & ~np.isnan(part[:, j])]
+            want = abs(np.corrcoef(both[:, i], both[:, j])[0, 1])
+            assert abs(got[persona, "abc"[i], "abc"[j]] - want) < 1e-6
+    with pytest.raises(Exception, match="persona is not one of"):
+        PR.corr_pivot(PR.high_corr_pairs(PR.correlations(df, ["a", "b", "c"]), 0.0)).collect()
+
+
+def test_keep_features_of_any_persona(spark):
+    available = spark.createDataFrame([(7, "wellness_pct_shopped"), (7, "other"), (1, "other")], "persona int, feature string")
+    assert sorted(map(tuple, SE.keep_features(available).collect())) == [(1, "other"), (7, "other")]
+
+
 def test_correlations_and_variances(spark):
     rows = [(1, float(i), float(-i) + (i % 2) * 0.1, float((i * 7) % 11), 3.0) for i in range(50)]
     df = spark.createDataFrame(rows, "persona int, a double, b double, c double, constant double")
