@@ -39,6 +39,9 @@ CALENDAR_END = date(2019, 12, 31)
 FIRST_YEAR, LAST_YEAR = 2013, 2017
 N_SAMPLE = 500
 SCORE_SEED = 7
+# What the registered model queries take less of than the full run (`plans/pipeline.py`): 1000
+# iterations, 500 trees and 100 resamples are thousands of Spark jobs for each query.
+ITERATIONS, BOOSTS, RESAMPLES = 100, 50, 5
 
 # Decimals that results are compared with.  Shares have ten decimals, a hundred times a
 # share has eight: cutting these at six would meet exact ties, which engines round apart.
@@ -105,7 +108,32 @@ class Context:
 
     @property
     def matrix(self) -> DataFrame:
-        return _once((self._app, "matrix", self.sf_dir), lambda: materialize(self.feature_matrix(), "matrix"))
+        return _once((self._app, "matrix", self.sf_dir, self.version), lambda: materialize(self.feature_matrix(), "matrix"))
+
+    @cached_property
+    def version(self) -> tuple:
+        """Sizes and times of the input files, so that changed data is worked out anew."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        seen = []
+        for name in ("customer", "lineitem", "orders", "part"):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+            seen += [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in path.getFileSystem(conf).listStatus(path)]
+        return tuple(seen)
+
+    @property
+    def sets(self) -> dict[str, DataFrame]:
+        """Train and test rows of the stratified split, as they are and on the scale of the train rows."""
+
+        def make() -> dict[str, DataFrame]:
+            split = materialize(SAMP.stratified_split(self.matrix, S.TRAIN_SIZE, S.SPLIT_SEED), "split")
+            scaling = SCALE.fit_standard_scaling(split.where("is_train"), S.FEATURE_COLUMNS)
+            scaled = materialize(scaling.transform(split), "scaled")
+            found = {}
+            for kind, rows in (("unscaled", split), ("scaled", scaled)):
+                found |= {f"{kind}_train": rows.where("is_train"), f"{kind}_test": rows.where("not is_train")}
+            return found
+
+        return _once((self._app, "sets", self.sf_dir, self.version), make)
 
     @property
     def importances(self) -> DataFrame:
@@ -537,7 +565,7 @@ def _personas_named(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(names)
 
 
-# --- models and evaluation: sizes that suit a check, on all rows -------------------------
+# --- models and evaluation: fitted on the train rows, scored on the test rows -------------
 
 
 @query
@@ -545,60 +573,64 @@ def nonnull_features(c: Context) -> DataFrame:
     return PROF.nonnull_features(c.matrix, S.FEATURE_COLUMNS)
 
 
-def _fit(c: Context, make, features: list[str] = S.FEATURE_COLUMNS):
-    usable = ML.usable_features(c.matrix, features)
-    return usable, ML.fit_models(c.matrix, usable, make)
+def _held_out(c: Context, kind: str, make) -> DataFrame:
+    """Scores of the test rows by models of the train rows."""
+    train, test = c.sets[f"{kind}_train"], c.sets[f"{kind}_test"]
+    usable = ML.usable_features(train, S.FEATURE_COLUMNS)
+    return ML.score(test, usable, ML.fit_models(train, usable, make))
 
 
-def _fit_and_score(c: Context, make, features: list[str] = S.FEATURE_COLUMNS) -> DataFrame:
-    usable, models = _fit(c, make, features)
-    return EVAL.score_metrics(materialize(ML.score(c.matrix, usable, models), "scored"))
+def _metrics(c: Context, kind: str, make) -> DataFrame:
+    return EVAL.score_metrics(materialize(_held_out(c, kind, make), "scored"))
 
 
-def _small_forest(impurity: str = "gini"):
-    return lambda persona, n: ML.random_forest(5, impurity, trees=20, seed=2301 + persona)
+def _forest(impurity: str = "gini", seed: int = 2301):
+    return lambda persona, n: ML.random_forest(S.FOREST_DEPTH.get(persona, 11), impurity, seed=seed + persona)
 
 
 @query
 def rf_importance(c: Context) -> DataFrame:
-    usable, models = _fit(c, _small_forest())
-    return ML.importances(c.matrix, usable, models)
+    train = c.sets["unscaled_train"]
+    usable = ML.usable_features(train, S.FEATURE_COLUMNS)
+    return ML.importances(train, usable, ML.fit_models(train, usable, _forest()))
 
 
 @query
 def fit_rf(c: Context) -> DataFrame:
-    gini = _fit_and_score(c, _small_forest("gini")).withColumn("impurity", F.lit("gini"))
-    entropy = _fit_and_score(c, _small_forest("entropy")).withColumn("impurity", F.lit("entropy"))
+    gini = _metrics(c, "unscaled", _forest("gini")).withColumn("impurity", F.lit("gini"))
+    entropy = _metrics(c, "unscaled", _forest("entropy", 2351)).withColumn("impurity", F.lit("entropy"))
     return gini.unionByName(entropy)
 
 
 @query
 def fit_enet(c: Context) -> DataFrame:
-    return _fit_and_score(c, lambda persona, n: ML.elastic_net(max_iter=20))
+    return _metrics(c, "scaled", lambda persona, n: ML.elastic_net(max_iter=ITERATIONS))
 
 
 @query
 def fit_l1(c: Context) -> DataFrame:
-    return _fit_and_score(c, lambda persona, n: ML.l1_logistic(n, max_iter=20))
+    return _metrics(c, "scaled", lambda persona, n: ML.l1_logistic(n, max_iter=ITERATIONS))
 
 
 @query
 def fit_gbt(c: Context) -> DataFrame:
-    return _fit_and_score(c, lambda persona, n: ML.gradient_boosting(trees=5, subsample=0.7, seed=5301 + persona))
+    """Stochastic boosting with fewer, larger steps than the full run takes."""
+    return _metrics(c, "unscaled", lambda persona, n: ML.gradient_boosting(trees=BOOSTS, rate=10 / BOOSTS, subsample=0.7, seed=5301 + persona))
 
 
 @query
 def bootstrap_coefs(c: Context) -> DataFrame:
-    usable = ML.usable_features(c.matrix, S.FEATURE_COLUMNS)
-    return SEL.bootstrap_summary(ML.bootstrap_coefs(c.matrix, usable, n_resample=2, max_iter=10))
+    train = c.sets["scaled_train"]
+    return SEL.bootstrap_summary(ML.bootstrap_coefs(train, ML.usable_features(train, S.FEATURE_COLUMNS), RESAMPLES, max_iter=ITERATIONS))
 
 
 @query
 def grid_search(c: Context) -> DataFrame:
-    usable = ML.usable_features(c.matrix, S.FEATURE_COLUMNS)
-    grid = [{"regParam": alpha, "elasticNetParam": 0.4} for alpha in (0.001, 0.1)]
-    found = ML.grid_search(c.matrix, usable, ML.elastic_net(max_iter=5), grid, n_folds=3)
-    alpha, l1_ratio = F.col("params")["regParam"], F.col("params")["elasticNetParam"]
+    """The elastic net over all its strengths of penalty, five folds."""
+    train = c.sets["scaled_train"]
+    grid = [{"alpha": a, "l1_ratio": r} for a in S.ENET_ALPHAS for r in (0.4,)]
+    found = ML.grid_search(train, ML.usable_features(train, S.FEATURE_COLUMNS), ML.searchable(max_iter=ITERATIONS)["enet"], grid)
+    alpha, l1_ratio = F.col("params")["alpha"], F.col("params")["l1_ratio"]
     return found.select("*", alpha.alias("alpha"), l1_ratio.alias("l1_ratio")).drop("params")
 
 
@@ -617,8 +649,7 @@ def best_params(c: Context) -> DataFrame:
 
 @query
 def score_customers(c: Context) -> DataFrame:
-    usable, models = _fit(c, lambda persona, n: ML.elastic_net(max_iter=20))
-    return ML.score(c.matrix, usable, models)
+    return _held_out(c, "scaled", lambda persona, n: ML.elastic_net(max_iter=ITERATIONS))
 
 
 @query

@@ -38,11 +38,14 @@ class Run:
     split_seed: int = S.SPLIT_SEED
     train_size: float = S.TRAIN_SIZE
     log_features: list[str] = field(default_factory=lambda: list(S.LOG_FEATURES))
+    search: tuple[str, ...] = ()  # models whose parameters are searched instead of taken from here
+    grids: dict[str, list[dict[str, float]]] = field(default_factory=lambda: default_grids())
+    n_folds: int = 5
     n_resample: int = 100
     n_trees: int = 200
     n_boosts: int = 500
     max_iter: int = 1000
-    forest_depth: dict[int, int] = field(default_factory=lambda: {1: 11, 2: 10, 3: 11, 4: 12, 5: 9})
+    forest_depth: dict[int, int] = field(default_factory=lambda: dict(S.FOREST_DEPTH))
     top_forest: dict[int, SEL.Quota] = field(
         default_factory=lambda: {
             1: 51,
@@ -98,6 +101,14 @@ def sample_and_split(run: Run, matrix: DataFrame) -> dict[str, DataFrame]:
     return result
 
 
+def persona_distribution(run: Run, tables: RetailTables, events: DataFrame) -> DataFrame:
+    """Shoppers by persona and event in the years before the modelled one, their shares and the test of independence."""
+    dist = _store(DIST.add_not_shopped(DIST.persona_event_dist(tables, events, run.year - 4, run.year)), run.path("persona_event_dist"))
+    _store(DIST.shopped_share(dist), run.path("persona_event_pct"))
+    tested = _store(DIST.chi_square(dist, ["persona", "event"], ["n_shopped", "n_notshopped"]), run.path("persona_event_test"))
+    return tested.withColumn("p_value", F.lit(DIST.chi_square_p_value(tested)))
+
+
 def explore(run: Run, sets: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Profile, high correlations and low variances of the training set."""
     train, scaled = sets["unscaled_train"], sets["scaled_train"]
@@ -141,6 +152,30 @@ def select_features(run: Run, sets: dict[str, DataFrame]) -> dict[str, DataFrame
     return chosen
 
 
+def default_grids() -> dict[str, list[dict[str, float]]]:
+    """The parameter sets of each kind of model."""
+    boost = [{"depth": d} for d in S.BOOST_DEPTHS]
+    return {
+        "rf_gini": [{"depth": d} for d in S.FOREST_DEPTHS],
+        "rf_entropy": [{"depth": d} for d in S.FOREST_DEPTHS],
+        "enet": [{"alpha": a, "l1_ratio": r} for a in S.ENET_ALPHAS for r in S.ENET_L1_RATIOS],
+        "l1": [{"C": c} for c in S.L1_CS],
+        "gbt": boost,
+        "gbt_sub": [{**b, "subsample": 0.7} for b in boost],
+    }
+
+
+def searched(run: Run, name: str, train: DataFrame, features: ML.FeatureLists) -> ML.Callable:
+    """Searches a model's grid on the train rows, stores the results, and makes the best per persona."""
+    kinds = ML.searchable(trees=run.n_trees, boosts=run.n_boosts, max_iter=run.max_iter)
+    impurity, seed = ("entropy", 2351) if name == "rf_entropy" else ("gini", 2301)
+    forest = lambda x, p, n: ML.random_forest(int(x["depth"]), impurity, run.n_trees, seed + p)
+    make = {"enet": kinds["enet"], "l1": kinds["l1"], "gbt": kinds["gbt"], "gbt_sub": kinds["gbt"]}.get(name, forest)
+    found = _store(ML.grid_search(train, features, make, run.grids[name], run.n_folds, run.split_seed), run.path(f"search/{name}"))
+    best = {row.persona: row.params for row in ML.best_params(found).collect()}
+    return lambda p, n: make(best[p], p, n)
+
+
 def model_makers(run: Run) -> dict[str, tuple[str, type, ML.Callable]]:
     """Name: which data, the class that loads the model, and how to make it per persona."""
     from pyspark.ml.classification import (
@@ -173,6 +208,8 @@ def fit_and_score(run: Run, chosen: dict[str, DataFrame], names: list[str] | Non
             continue
         train, test = chosen[f"{kind}_train"], chosen[f"{kind}_test"]
         features = ML.usable_features(train, [c for c in train.columns if c not in S.ID_COLUMNS])
+        if name in run.search:
+            make = searched(run, name, train, features)
         models = ML.fit_models(train, features, make)
         IO.save_models(models, run.path(f"models/{name}"))
         scored = _store(ML.score(test, features, models), run.path(f"scored/{name}"))
@@ -187,4 +224,5 @@ def run_all(run: Run, tables: RetailTables, events: DataFrame, models: list[str]
     matrix = build_features(run, tables, events)
     sets = sample_and_split(run, matrix)
     explore(run, sets)
+    persona_distribution(run, tables, events)
     return fit_and_score(run, select_features(run, sets), models)

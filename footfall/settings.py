@@ -333,3 +333,11 @@ DROPPED_BY_PERSONA = {
     4: ["log_fl_total_trips", "fall_fashion_pct_shopped", "wellness_shop_ly_ind", "food_pct_spend"],
     5: ["log_fl_total_trips", "food_pct_spend"],
 }
+
+# Forest depth per persona, and the grids of the searches.
+FOREST_DEPTH = {1: 11, 2: 10, 3: 11, 4: 12, 5: 9}
+ENET_ALPHAS = [1e-5, 1e-4, 1e-3, 1e-2, 1e-1]
+ENET_L1_RATIOS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+FOREST_DEPTHS = list(range(5, 20))
+BOOST_DEPTHS = list(range(2, 7))
+L1_CS = [1e-3, 1e-2, 1e-1, 1.0, 1e1, 1e2, 1e3]

@@ -60,7 +60,8 @@ def test_whole_run(spark, folder):
     run = P.Run(
         out=f"{folder}/run", sample_size=1000, n_resample=2, n_trees=5, n_boosts=2, max_iter=10,
         forest_depth={p: 3 for p in S.PERSONAS}, top_forest={p: 20 for p in S.PERSONAS},
-        top_logistic={p: 20 for p in S.PERSONAS},
+        top_logistic={p: 20 for p in S.PERSONAS}, search=("enet",), n_folds=2,
+        grids={"enet": [{"alpha": 0.01, "l1_ratio": 1.0}, {"alpha": 100.0, "l1_ratio": 1.0}]},
     )
     assert run.slug == "annpub17"
     events = C.default_event_calendar(spark, date(2019, 12, 31)).persist()
@@ -71,5 +72,23 @@ def test_whole_run(spark, folder):
     sample = spark.read.parquet(run.path("sample"))
     assert train.count() == int(0.7 * sample.count()) and train.count() + test.count() == sample.count()
     assert "log_fl_total_spend" in train.columns and "fl_total_spend" not in train.columns
+    results = spark.read.parquet(run.path("search/enet"))
+    assert results.count() == 2 * len(S.PERSONAS) and spark.read.parquet(run.path("persona_event_test")).count() == 1
     models = IO.load_models(spark, LogisticRegressionModel, run.path("models/enet"))
     assert sorted(models) == S.PERSONAS and models[1].numFeatures <= 20
+    assert {m.getRegParam() for m in models.values()} <= {0.01, 100.0}
+
+
+def test_the_planted_depth_is_fitted(spark, tmp_path):
+    """The label is whether two signs agree, which a single split cannot see."""
+    import random
+
+    draw = random.Random(3)
+    rows = []
+    for key in range(800):
+        a, b = draw.uniform(-1, 1), draw.uniform(-1, 1)
+        rows.append((key, 1 + key % 2, int((a > 0) == (b > 0)), a, b))
+    train = spark.createDataFrame(rows, "cust_key long, persona int, target_shopped_ind int, a double, b double")
+    run = P.Run(out=str(tmp_path), n_trees=15, n_folds=2, search=("rf_gini",), grids={"rf_gini": [{"depth": 1}, {"depth": 5}]})
+    make = P.searched(run, "rf_gini", train, {1: ["a", "b"], 2: ["a", "b"]})
+    assert [make(p, 400).getMaxDepth() for p in (1, 2)] == [5, 5]
