@@ -25,9 +25,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Tables written by each application, until `remove_stored` takes them away.
+_written: dict[str, list[str]] = {}
+
+
+def remove_stored(spark: SparkSession) -> int:
+    """Deletes the tables that `materialize` wrote for this application; how many there were.
+
+    For the end of a run or a session: results that still read them become invalid.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes the table once and reads it back; Parquet keeps pruning and pushdown."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/footfall-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)

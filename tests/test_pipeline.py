@@ -1,5 +1,6 @@
 import tempfile
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.ml.classification import LogisticRegressionModel
@@ -51,6 +52,14 @@ def test_delimited_files(spark, folder):
     assert spark.read.parquet(f"{folder}/by_persona").where("persona = 3").count() == 10
 
 
+def test_stored_tables_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(staging, "_written", {})
+    paths = [staging.materialize(spark.range(3), name).inputFiles()[0].removeprefix("file://") for name in ("a", "b")]
+    assert all(Path(p).exists() for p in paths)
+    assert staging.remove_stored(spark) == 2 and staging.remove_stored(spark) == 0
+    assert not any(Path(p).parent.exists() for p in paths)
+
+
 def test_checkpoint_folder_comes_from_the_session(spark, folder):
     table = staging.materialize(spark.range(5), "five")
     assert table.count() == 5 and staging.checkpoint_dir(spark) in table.inputFiles()[0]
