@@ -28,18 +28,19 @@ RULES = (
     Rule("few_words", "n_words < 20"),
     Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("duplicate_lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     Rule("shouting", "10 * n_capitals > 6 * n_letters"),
     Rule("exclamations", "10 * n_marks > 3 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
+    Rule("stuttering", "10 * n_same_next > 3 * n_words"),
 )
 
 #: Versioned policies: the names of the rules that reject.
 POLICIES = {
     "base-1": ("few_words", "repeated_windows"),
-    "web-1": ("few_words", "repeated_windows", "symbols", "duplicate_lines", "shouting", "exclamations", "long_words"),
+    "web-1": ("few_words", "repeated_windows", "symbols", "duplicate_lines", "shouting", "exclamations", "long_words", "stuttering"),
 }
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_marks"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_marks", "n_same_next"]
 
 
 def mask(policy: str, rules: tuple[Rule, ...] = RULES, without: str = "") -> int:
@@ -107,6 +108,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         _count(body, r"\p{Lu}").alias("n_capitals"),
         _count(body, r"\p{L}").alias("n_letters"),
         _count(body, "!").alias("n_marks"),
+        F.size(F.filter("_words", lambda w, i: w.eqNullSafe(F.get("_words", i - 1)))).cast("long").alias("n_same_next"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from itertools import pairwise
 
 import corpus_pipeline as P
 import pytest
@@ -24,10 +25,11 @@ def kept_by_rules(text):
         m["n_words"] < 20
         or 100 * m["n_repeat_words"] > 30 * m["n_words"]
         or 10 * m["n_symbols"] > 3 * m["n_words"]
-        or (len(lines) >= 4 and 10 * m["n_dup_lines"] > 3 * len(lines))
+        or (len(lines) >= 4 and 2 * m["n_dup_lines"] > len(lines))
         or 10 * sum(c.isupper() for c in text) > 6 * letters
         or 10 * text.count("!") > 3 * m["n_words"]
         or m["word_chars"] > 20 * m["n_words"]
+        or 10 * sum(a == b for a, b in pairwise(text.encode().split())) > 3 * m["n_words"]
     )
 
 

@@ -57,6 +57,21 @@ def test_policy_and_ablation(spark):
     assert table["shouting"][0] == 2
 
 
+def test_stuttering(spark):
+    texts = ["a a a a a b b b b b c c c c c d d d d d e e e e e", " ".join(f"w{i}" for i in range(30)), None]
+    rows = Q.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r.doc_id: r.n_same_next for r in rows} == {0: 20, 1: 0, 2: 0}
+    assert {r.doc_id: r.failed >> 7 & 1 for r in rows} == {0: 1, 1: 0, 2: 0}
+
+
+def test_clean_documents_stay(spark):
+    folder = "/root/testdata/sf0.1"
+    entries = Q.ledger(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    judged = entries.where(Q.keeps("base-1")).select("quality", Q.keeps("web-1").alias("kept"))
+    counts = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert (1, False) not in counts and counts.get((0, True), 0) < 0.02 * counts[0, False]
+
+
 def test_empty(spark):
     assert Q.ledger(spark.createDataFrame([], "doc_id int, text string")).count() == 0
 
