@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontam, html_extract, lm, pii, quality_mil, quality_rules, secrets, simhash, toxicity
+from footfall.llm import bpe, decontam, html_extract, lm, oracle, pii, quality_mil, quality_rules, secrets, simhash, toxicity
 from footfall.llm.common import fold
 
 
@@ -108,4 +108,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracle.ORACLES
