@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontam, jaccard, pii, quality_rules
+from footfall.llm import bpe, decontam, pii, quality_rules, simhash
 from footfall.llm.common import stored
 from footfall.llm.queries import PSEUDONYM_KEY, table, vocabulary_path
 
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles reach similarity 0.8: the one with the least doc_id."""
-    return jaccard.first_of_each(docs.select(*COLUMNS), width=5, similarity=0.8)
+    """One document of each group of fingerprints of four-word shingles linked at 4 bits or fewer: the one with the least doc_id."""
+    return simhash.first_of_each(docs.select(*COLUMNS), width=4, distance=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
