@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontam, html_extract, lm, oracle, pii, quality_mil, quality_rules, secrets, simhash, toxicity
-from footfall.llm.common import fold
+from footfall.llm import bpe, decontam, html_extract, lm, oracle, pii, quality_mil, quality_rules, secrets, simhash, token_output, toxicity
+from footfall.llm.common import fold, shared_folder
 
 
 #: Only for the registered queries; a run on real data passes its own secret.
@@ -95,6 +97,13 @@ def op10_pii(spark: SparkSession, sf_dir: str, key: bytes = PSEUDONYM_KEY) -> Da
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
+def op12_token_output(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    place = f"{shared_folder(spark)}/footfall-tokens-{uuid.uuid4().hex}"
+    token_output.write(table(spark, sf_dir, "documents"), place, vocabulary or vocabulary_path("byte_bpe_50k.json"))
+    found = token_output.read(spark, place, ids=False)
+    return found.withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm": op2_lm,
@@ -106,6 +115,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
+    "op12_token_output": op12_token_output,
 }
 
 ORACLES = oracle.ORACLES
