@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontam, html_extract, lm, oracle, pii, quality_mil, quality_rules, secrets, simhash, token_output, toxicity
-from footfall.llm.common import fold, shared_folder
+from footfall.llm import bpe, decontam, html_extract, lm, merkle, oracle, pii, quality_mil, quality_rules, secrets, simhash, token_output, toxicity
+from footfall.llm.common import fold, shared_folder, stored
 
 
 #: Only for the registered queries; a run on real data passes its own secret.
@@ -104,6 +104,30 @@ def op12_token_output(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return found.withColumnRenamed("key", "doc_id")
 
 
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    values = {c: F.col(c) for c in LEAF_COLUMNS}
+    lowered = merkle.leaf(*(values | {"text": F.translate("text", UPPER, LOWER)}).values())
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*values.values()).alias("leaf"), F.when(tampered, lowered).alias("changed"))
+    made = merkle.manifest(stored(leaves), "doc_id", "lang")
+    root = F.lit(made.root.hex() if made.root else None).cast("string")
+    path = F.col("path")
+    found = made.proofs().select(
+        "doc_id",
+        merkle.spelled(F.col("leaf")).alias("leaf"),
+        merkle.spelled(F.col("subroot")).alias("subroot"),
+        root.alias("root"),
+        merkle.proof(path).alias("proof_sha256"),
+        merkle.spelled(merkle.folded(F.coalesce("changed", "leaf"), path)).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm": op2_lm,
@@ -116,6 +140,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
     "op12_token_output": op12_token_output,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES = oracle.ORACLES
