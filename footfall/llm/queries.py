@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontam, html_extract, lm, merkle, oracle, pii, quality_mil, quality_rules, secrets, simhash, token_output, toxicity
+from footfall.llm import bpe, decontam, html_extract, lm, merkle, oracle, pii, prefix_trie, quality_mil, quality_rules, secrets, simhash, token_output, toxicity
 from footfall.llm.common import fold, shared_folder, stored
 
 
@@ -97,6 +97,13 @@ def op10_pii(spark: SparkSession, sf_dir: str, key: bytes = PSEUDONYM_KEY) -> Da
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(prefix_trie.turns_of(table(spark, sf_dir, "conversations")))
+    nodes = prefix_trie.prefix_nodes(*prefix_trie.spliced(turns))
+    names = {"seq": "conv_id", "parent": "parent_conv_id", "n_seqs": "n_convs", "saved_bytes": "saved_tokens"}
+    return nodes.withColumnsRenamed(names)
+
+
 def op12_token_output(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     place = f"{shared_folder(spark)}/footfall-tokens-{uuid.uuid4().hex}"
     token_output.write(table(spark, sf_dir, "documents"), place, vocabulary or vocabulary_path("byte_bpe_50k.json"))
@@ -139,6 +146,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_output": op12_token_output,
     "op13_merkle": op13_merkle,
 }
