@@ -23,7 +23,12 @@ PAYLOAD = (np.uint64(1) << SHIFT) - np.uint64(1)
 STRIDE = 64
 
 
+SMALL = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64)).astype(np.uint8)
+
+
 def _classes(ids: np.ndarray) -> np.ndarray:
+    if ids.max(initial=0) < len(SMALL):
+        return SMALL[ids]
     return np.searchsorted(LIMITS, ids).astype(np.uint8)
 
 
@@ -32,17 +37,19 @@ def _selectors(classes: np.ndarray) -> np.ndarray:
     longest = int(COUNTS.max())
     n = len(classes)
     padded = np.concatenate([classes, np.zeros(longest, np.uint8)])
+    ranked = np.array([ESCAPE, *sorted(range(1, 16), key=lambda s: COUNTS[s])], np.uint8)
     best = np.zeros(n, np.uint8)
     spans = {1: padded}  # widest class among the next 2 ** i values
     while 2 * max(spans) <= longest:
         w = max(spans)
         spans[2 * w] = np.maximum(spans[w][:-w], spans[w][w:])
-    for selector in sorted(range(1, 16), key=lambda s: COUNTS[s]):
+    for rank, selector in enumerate(ranked[1:], 1):
         k = int(COUNTS[selector])
         w = 1 << k.bit_length() - 1
         widest = np.maximum(spans[w][:n], spans[w][k - w : k - w + n])
-        best[widest <= np.searchsorted(ASCENDING, WIDTHS[selector])] = selector
-    return best
+        fits = widest <= np.uint8(np.searchsorted(ASCENDING, WIDTHS[selector]))
+        np.maximum(best, fits.view(np.uint8) * np.uint8(rank), out=best)
+    return ranked[best]
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

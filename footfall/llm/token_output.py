@@ -13,9 +13,14 @@ and a lost task leaves nothing behind. `index` is a table with the place of each
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +35,45 @@ END = "\nS8BEND\n"  # eight bytes, so that files stay word-aligned
 HEAD = 6
 NULL = np.uint64(1) << np.uint64(63)
 #: Ids after which a block ends, with the document that reaches them; blocks of a file.
-BLOCK_IDS = 1 << 20
-FILE_BLOCKS = 16
-#: Pieces of text whose ids a task remembers, and their longest length.
-PIECES, PIECE_CHARS = 200_000, 48
+BLOCK_IDS = 1 << 18
+FILE_BLOCKS = 64
+#: Pieces of text whose ids a worker remembers, and their longest length.
+PIECES, PIECE_CHARS = 600_000, 48
 #: A text falls apart at single blanks between letters, digits and ASCII punctuation: no token crosses such a place.
-SEAM = re.compile(r"(?<=[\w!-/:-@\[-`{-~]) (?=[\w!-/:-@\[-`{-~])")
+EDGE = r"[\w!-/:-@\[-`{-~]"
+SEAM = re.compile(f"(?<={EDGE}) (?={EDGE})")
+PIECE = re.compile(f"\n?{EDGE}(?:.*{EDGE})?")
+MARKS = ",.;:!?"
+EMPTY = np.empty(0, "<u4")
+
+
+class Known:
+    """Ids of pieces of text: one array of all, and where each piece's begin."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.index.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def places(self, pieces: Iterable[str], n: int) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, n)
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces one after the other, how many each has)."""
+        sizes = self.sizes[places]
+        begins = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(self.starts[places] - begins, sizes) + np.arange(sizes.sum())], sizes
+
+    def keep(self, pieces: Iterable[str]) -> None:
+        held = [p for p in pieces if p in self.index]
+        flat, sizes = self.ids(self.places(held, len(held)))
+        self.__init__()
+        self.add(held, flat, sizes)
 
 
 class Encoder:
@@ -46,9 +84,6 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
-        import json
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
@@ -59,26 +94,62 @@ class Encoder:
         split = made["pre_tokenizer"] or {}
         own = [t for t in made["added_tokens"] if " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
         self.by_pieces = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not made["normalizer"] and not own
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in made["added_tokens"]) or r"\b\B")
+        self.known = Known()
+        self.line_end = self.library.token_to_id("\u010a")  # how the vocabulary writes it
+        self.marks = [f"\n{m}" for m in MARKS]  # under names that no piece has
+        self.known.add(self.marks, np.concatenate(self._encode(list(MARKS))), np.ones(len(MARKS), np.int64))
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(array("I", e.ids), "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember the ids of plain pieces: those behind a blank, and those behind a line end, which begin with it.
+
+        A mark after a letter or digit is a token of its own, and so is a line end beside plain
+        edges; so many pieces are encoded as one text, and line ends part their ids.
+        """
+        marked = [p for p in new if p[-1] in MARKS and p[-2:-1] < "\u0250" and p[-2:-1].isalnum()]
+        cores = [p[:-1] for p in marked]
+        new = list((new.difference(marked).union(cores)).difference(self.known.index))
+        behind, begun = [p for p in new if p[0] != "\n"], [p for p in new if p[0] == "\n"]
+        ids = self._encode([" " + "\n ".join(behind) + "\n" if behind else "", "".join(begun)])
+        ends = [np.flatnonzero(x == self.line_end) for x in ids]
+        self.known.add(behind, ids[0][ids[0] != self.line_end], np.diff(ends[0], prepend=-1) - 1)
+        self.known.add(begun, ids[1], np.diff(ends[1], append=len(ids[1])))
+        pairs = np.stack([self.known.places(cores, len(cores)), self.known.places([f"\n{p[-1]}" for p in marked], len(marked))], 1)
+        flat, sizes = self.known.ids(pairs.ravel())
+        self.known.add(marked, flat, sizes.reshape(-1, 2).sum(1))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_pieces:
-            return [np.frombuffer(b, "<u4") for b in self._encode(texts)]
-        if len(self.known) > PIECES:
-            self.known = {}
-        cut = [SEAM.split(t) for t in texts]
-        known = self.known
-        new = {p for pieces in cut for p in pieces[1:]} - known.keys()
-        short = [p for p in new if len(p) <= PIECE_CHARS]
-        known |= zip(short, self._encode([" " + p for p in short]), strict=True)
-        long = [p for p in new if len(p) > PIECE_CHARS]
-        if long:
-            known = known | dict(zip(long, self._encode([" " + p for p in long]), strict=True))
+            return self._encode(texts)
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        seen = set().union(*cut)
+        if len(self.known.index) > PIECES:
+            self.known.keep([*self.marks, *seen.difference(self.marks)])
+        new = seen.difference(self.known.index)
+        rough = {p for p in new if len(p) > PIECE_CHARS or not PIECE.fullmatch(p) or self.special.search(p)} | seen.intersection(self.marks)
+        self._learn(new - rough)
+        whole = [i for i, pieces in enumerate(cut) if rough.isdisjoint(pieces)]
+        counts = np.array([len(cut[i]) - 1 for i in whole], np.int64)
+        places = self.known.places(chain.from_iterable(islice(cut[i], 1, None) for i in whole), int(counts.sum()))
+        flat, sizes = self.known.ids(places)
+        edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        rest = {i: flat[a:b] for i, a, b in zip(whole, edges[:-1], edges[1:], strict=True)}
+        if len(whole) < len(texts):  # where not every blank and line end is a seam
+            cut = [pieces if i in rest else SEAM.split(texts[i]) for i, pieces in enumerate(cut)]
+            own = list({p for i, pieces in enumerate(cut) if i not in rest for p in pieces[1:]})
+            own = dict(zip(own, self._encode([" " + p for p in own]), strict=True))
+            rest |= {i: np.concatenate([EMPTY, *map(own.__getitem__, pieces[1:])]) for i, pieces in enumerate(cut) if i not in rest}
         first = self._encode([pieces[0] for pieces in cut])
-        return [np.frombuffer(f + b"".join([known[p] for p in pieces[1:]]), "<u4") for f, pieces in zip(first, cut, strict=True)]
+        return [np.concatenate([f, rest[i]]) for i, f in enumerate(first)]
+
+
+@lru_cache(1)
+def encoder(vocabulary: str) -> Encoder:
+    """The worker's own, which goes on from task to task."""
+    return Encoder(vocabulary)
 
 
 def block(keys: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -121,7 +192,7 @@ def write(docs: DataFrame, place: str, vocabulary: str, key: str = "doc_id", tex
     tail = np.array([] if end is None else [end], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode = encoder(vocabulary)
         keys, ids, held = [], [], 0
 
         def made():

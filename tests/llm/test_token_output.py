@@ -54,7 +54,7 @@ def test_slices():
 
 ODD = [
     "", " ", "  two  blanks ", "a b", "don't  you're 's 't", " 's", "tab\tand\nline\r\n  end", "x  y   z", "é äb", "\x1c \x1f a \x85 b", "​ ﻿ c",
-    "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b c", "日本 語 テスト", "नमस्ते दुनिया", "١٢ ٣", "½ ² a", "_ _a_ b", "🙂 🙂🙂 a", "'ll 've", "a 'll", "a ' b", "1 2 3a 4,5 6", "A" * 3000 + " " + "b c" * 2000, "　 a　b",
+    "a\nb,\nc.\n\nd e\n f \ng, h", "line\n", "x\n<|endoftext|>\n <|endoftext|> <|endoftext|>\n y", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b c", "日本 語 テスト", "नमस्ते दुनिया", "١٢ ٣", "½ ² a", "_ _a_ b", "🙂 🙂🙂 a", "'ll 've", "a 'll", "a ' b", "1 2 3a 4,5 6", "A" * 3000 + " " + "b c" * 2000, "　 a　b",
 ]
 
 
@@ -63,7 +63,7 @@ def test_pieces_give_the_ids_of_whole_texts():
     library = Tokenizer.from_file(VOCABULARY)
     encode = token_output.Encoder(VOCABULARY)
     assert encode.by_pieces
-    signs = [*"ab Z09 _-'.,  \n\t", " ", "é", "é", "ß", "中", "🙂", "‍", "\x1d", "²", " ", "'s", "ǅ", "١"]
+    signs = [*"ab Z09 _-'.,  \n\n\t", "<|endoftext|>", "word word, line.\nNext", " ", "é", "é", "ß", "中", "🙂", "‍", "\x1d", "²", " ", "'s", "ǅ", "١"]
     texts = ODD + ["".join(draw.choices(signs, k=draw.randint(0, 60))) for _ in range(4000)]
     for part in (texts[:100], texts[100:]):
         for text, found in zip(part, encode(part), strict=True):
