@@ -50,13 +50,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(place)
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def steps(batches: Iterator[pa.RecordBatch], column: str, chars: int = STEP_CHARS, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of bounded text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         first = held = 0
         for row, size in enumerate(sizes):
-            if row > first and (held + size > STEP_CHARS or row - first >= STEP_ROWS):
+            if row > first and (held + size > chars or row - first >= rows):
                 yield batch.slice(first, row - first)
                 first, held = row, 0
             held += size

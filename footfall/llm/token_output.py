@@ -20,10 +20,11 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,9 @@ NULL = np.uint64(1) << np.uint64(63)
 BLOCK_IDS = 1 << 18
 FILE_BLOCKS = 64
 #: Pieces of text whose ids a worker remembers, and their longest length.
-PIECES, PIECE_CHARS = 600_000, 48
+PIECES, PIECE_CHARS = 400_000, 48
+#: Bytes of text that are cut into pieces at once.
+STEP_BYTES = 6_000_000
 #: A text falls apart at single blanks between letters, digits and ASCII punctuation: no token crosses such a place.
 EDGE = r"[\w!-/:-@\[-`{-~]"
 SEAM = re.compile(f"(?<={EDGE}) (?={EDGE})")
@@ -63,6 +66,10 @@ class Known:
     def places(self, pieces: Iterable[str], n: int) -> np.ndarray:
         return np.fromiter(map(self.index.__getitem__, pieces), np.int64, n)
 
+    def found(self, pieces: np.ndarray) -> np.ndarray:
+        """Their places, -1 for those not known."""
+        return np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+
     def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces one after the other, how many each has)."""
         sizes = self.sizes[places]
@@ -94,16 +101,16 @@ class Encoder:
         split = made["pre_tokenizer"] or {}
         own = [t for t in made["added_tokens"] if " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
         self.by_pieces = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not made["normalizer"] and not own
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in made["added_tokens"]) or r"\b\B")
+        self.special = [t["content"] for t in made["added_tokens"]]
         self.known = Known()
+        self.marks = [f" {m}" for m in MARKS]  # no piece has a blank
         self.line_end = self.library.token_to_id("\u010a")  # how the vocabulary writes it
-        self.marks = [f"\n{m}" for m in MARKS]  # under names that no piece has
         self.known.add(self.marks, np.concatenate(self._encode(list(MARKS))), np.ones(len(MARKS), np.int64))
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(array("I", e.ids), "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Remember the ids of plain pieces: those behind a blank, and those behind a line end, which begin with it.
 
         A mark after a letter or digit is a token of its own, and so is a line end beside plain
@@ -111,39 +118,48 @@ class Encoder:
         """
         marked = [p for p in new if p[-1] in MARKS and p[-2:-1] < "\u0250" and p[-2:-1].isalnum()]
         cores = [p[:-1] for p in marked]
-        new = list((new.difference(marked).union(cores)).difference(self.known.index))
+        new = set(new).difference(marked).union(cores).difference(self.known.index)
         behind, begun = [p for p in new if p[0] != "\n"], [p for p in new if p[0] == "\n"]
         ids = self._encode([" " + "\n ".join(behind) + "\n" if behind else "", "".join(begun)])
         ends = [np.flatnonzero(x == self.line_end) for x in ids]
         self.known.add(behind, ids[0][ids[0] != self.line_end], np.diff(ends[0], prepend=-1) - 1)
         self.known.add(begun, ids[1], np.diff(ends[1], append=len(ids[1])))
-        pairs = np.stack([self.known.places(cores, len(cores)), self.known.places([f"\n{p[-1]}" for p in marked], len(marked))], 1)
+        pairs = np.stack([self.known.places(cores, len(cores)), self.known.places([f" {p[-1]}" for p in marked], len(marked))], 1)
         flat, sizes = self.known.ids(pairs.ravel())
         self.known.add(marked, flat, sizes.reshape(-1, 2).sum(1))
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_pieces:
-            return self._encode(texts)
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        seen = set().union(*cut)
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        if not self.by_pieces or not len(texts):
+            return self._encode(texts.to_pylist())
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        counts = pc.list_value_length(pieces).to_numpy()
+        coded = pc.dictionary_encode(pieces.flatten())
+        codes, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known.index) > PIECES:
-            self.known.keep([*self.marks, *seen.difference(self.marks)])
-        new = seen.difference(self.known.index)
-        rough = {p for p in new if len(p) > PIECE_CHARS or not PIECE.fullmatch(p) or self.special.search(p)} | seen.intersection(self.marks)
-        self._learn(new - rough)
-        whole = [i for i, pieces in enumerate(cut) if rough.isdisjoint(pieces)]
-        counts = np.array([len(cut[i]) - 1 for i in whole], np.int64)
-        places = self.known.places(chain.from_iterable(islice(cut[i], 1, None) for i in whole), int(counts.sum()))
-        flat, sizes = self.known.ids(places)
-        edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        rest = {i: flat[a:b] for i, a, b in zip(whole, edges[:-1], edges[1:], strict=True)}
-        if len(whole) < len(texts):  # where not every blank and line end is a seam
-            cut = [pieces if i in rest else SEAM.split(texts[i]) for i, pieces in enumerate(cut)]
-            own = list({p for i, pieces in enumerate(cut) if i not in rest for p in pieces[1:]})
+            self.known.keep([*self.marks, *names])
+        places = self.known.found(names)
+        new = np.flatnonzero(places < 0)
+        special = [t for t in self.special if pc.any(pc.match_substring(coded.dictionary, t)).as_py()]
+        self._learn([p for p in names[new] if len(p) <= PIECE_CHARS and PIECE.fullmatch(p) and not any(t in p for t in special)])
+        places[new] = self.known.found(names[new])
+
+        begins = np.cumsum(counts) - counts
+        plain = np.minimum.reduceat(places[codes], begins) >= 0
+        used = np.repeat(plain, counts)
+        used[begins] = False
+        flat, sizes = self.known.ids(places[codes[used]])
+        ends = np.cumsum(np.where(plain, counts - 1, 0))
+        edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
+        first = pc.list_element(pieces, 0).to_pylist()
+        rest = [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        rough = np.flatnonzero(~plain).tolist()  # where not every blank and line end is a seam
+        if rough:
+            cut = [SEAM.split(t) for t in texts.take(pa.array(rough)).to_pylist()]
+            own = list({p for part in cut for p in part[1:]})
             own = dict(zip(own, self._encode([" " + p for p in own]), strict=True))
-            rest |= {i: np.concatenate([EMPTY, *map(own.__getitem__, pieces[1:])]) for i, pieces in enumerate(cut) if i not in rest}
-        first = self._encode([pieces[0] for pieces in cut])
-        return [np.concatenate([f, rest[i]]) for i, f in enumerate(first)]
+            for i, part in zip(rough, cut, strict=True):
+                first[i], rest[i] = part[0], np.concatenate([EMPTY, *map(own.__getitem__, part[1:])])
+        return [np.concatenate(x) for x in zip(self._encode(first), rest, strict=True)]
 
 
 @lru_cache(1)
@@ -199,8 +215,8 @@ def write(docs: DataFrame, place: str, vocabulary: str, key: str = "doc_id", tex
             return pa.RecordBatch.from_arrays([pa.array([block(keys, ids)], pa.binary())], ["block"])
 
         for batch in batches:
-            for part in steps([batch], "text"):
-                for k, found in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+            for part in steps([batch], "text", STEP_BYTES, batch.num_rows):
+                for k, found in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     keys.append(k)
                     ids.append(np.concatenate([found, tail]))
                     held += len(ids[-1])
