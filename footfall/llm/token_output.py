@@ -41,7 +41,9 @@ FILE_BLOCKS = 64
 #: Pieces of text whose ids a worker remembers, and their longest length.
 PIECES, PIECE_CHARS = 400_000, 48
 #: Bytes of text that are cut into pieces at once.
-STEP_BYTES = 6_000_000
+STEP_BYTES = 4_000_000
+#: Pieces that the library sees as one text; it needs some hundred bytes a token meanwhile.
+TOGETHER = 20_000
 #: A text falls apart at single blanks between letters, digits and ASCII punctuation: no token crosses such a place.
 EDGE = r"[\w!-/:-@\[-`{-~]"
 SEAM = re.compile(f"(?<={EDGE}) (?={EDGE})")
@@ -60,7 +62,7 @@ class Known:
     def add(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         self.index.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int64)])
         self.flat = np.concatenate([self.flat, flat])
 
     def places(self, pieces: Iterable[str], n: int) -> np.ndarray:
@@ -120,10 +122,14 @@ class Encoder:
         cores = [p[:-1] for p in marked]
         new = set(new).difference(marked).union(cores).difference(self.known.index)
         behind, begun = [p for p in new if p[0] != "\n"], [p for p in new if p[0] == "\n"]
-        ids = self._encode([" " + "\n ".join(behind) + "\n" if behind else "", "".join(begun)])
-        ends = [np.flatnonzero(x == self.line_end) for x in ids]
-        self.known.add(behind, ids[0][ids[0] != self.line_end], np.diff(ends[0], prepend=-1) - 1)
-        self.known.add(begun, ids[1], np.diff(ends[1], append=len(ids[1])))
+        for at in range(0, len(behind), TOGETHER):
+            part = behind[at : at + TOGETHER]
+            ids = self._encode([" " + "\n ".join(part) + "\n"])[0]
+            self.known.add(part, ids[ids != self.line_end], np.diff(np.flatnonzero(ids == self.line_end), prepend=-1) - 1)
+        for at in range(0, len(begun), TOGETHER):
+            part = begun[at : at + TOGETHER]
+            ids = self._encode(["".join(part)])[0]
+            self.known.add(part, ids, np.diff(np.flatnonzero(ids == self.line_end), append=len(ids)))
         pairs = np.stack([self.known.places(cores, len(cores)), self.known.places([f" {p[-1]}" for p in marked], len(marked))], 1)
         flat, sizes = self.known.ids(pairs.ravel())
         self.known.add(marked, flat, sizes.reshape(-1, 2).sum(1))
