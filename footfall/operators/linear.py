@@ -28,7 +28,7 @@ from footfall.sources.staging import materialize
 
 TARGET = "target_shopped_ind"
 #: Models whose sums travel in one row, and rows of sums that one task adds up.
-BLOCK, FANIN = 16, 32
+BLOCK, FANIN = 32, 32
 #: Largest violation of the optimality conditions of a finished fit.
 TOLERANCE = 1e-7
 
@@ -170,7 +170,7 @@ def _tree(sums: DataFrame, parts: int) -> DataFrame:
     return sums
 
 
-def newton_steps(w: np.ndarray, gradient: np.ndarray, second: np.ndarray, l1: np.ndarray, l2: np.ndarray, sweeps: int = 300) -> np.ndarray:
+def newton_steps(w: np.ndarray, gradient: np.ndarray, second: np.ndarray, l1: np.ndarray, l2: np.ndarray, sweeps: int = 100) -> np.ndarray:
     """The minimum of each model's quadratic approximation at w plus its penalty, by coordinate descent on all models."""
     q = w.shape[1]
     at, slope = w.copy(), gradient.copy()  # slope: gradient of the quadratic at `at`
@@ -190,7 +190,7 @@ def newton_steps(w: np.ndarray, gradient: np.ndarray, second: np.ndarray, l1: np
             slope += step[:, None] * second[:, j, :]
             moved = np.maximum(moved, np.abs(step) * np.sqrt(curve[:, j]))
         first = np.maximum(moved, 1e-300) if first is None else first
-        if (moved <= 1e-6 * first).all():
+        if (moved <= 1e-4 * first).all():
             break
     return at
 

@@ -756,6 +756,24 @@ def _evaluation() -> None:
         from (select *, rank() over (partition by persona order by prob)
           + (count(*) over (partition by persona, prob) - 1) / 2.0::double as r from scored) group by 1""",
     )
+    margin = " ".join(
+        f"when {p} then {w[-1]!r}::double + " + " + ".join(f"({v!r}::double) * {f}::double" for f, v in zip(C.FIXED_FEATURES, w, strict=False))
+        for p, w in C.FIXED_COEFS.items()
+    )
+    _add(
+        "score_fixed",
+        WITH_MATRIX,
+        "cust_key:i persona:i y:i pred:i prob:f",
+        f"""select *, (prob > 0.5)::int as pred from
+        (select cust_key, persona, target_shopped_ind as y, 1 / (1 + exp(-(case persona {margin} end))) as prob from matrix)""",
+    )
+    _add(
+        "export_order",
+        WITH_MATRIX,
+        "row_number:i persona:s target_shopped_ind:s cust_key:s",
+        """select row_number() over (order by persona::varchar desc, target_shopped_ind::varchar desc, cust_key::varchar) as row_number,
+        persona::varchar as persona, target_shopped_ind::varchar as target_shopped_ind, cust_key::varchar as cust_key from matrix""",
+    )
     _add("confusion_matrix", parts, "persona:i y:i pred:i n:i", "select persona, y, pred, count(*) as n from scored group by all")
     _add(
         "percentile_cutoff",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from footfall import settings as S
 from footfall.operators import distribution as DIST
 from footfall.operators import evaluation as EVAL
+from footfall.operators import linear as LIN
 from footfall.operators import models as ML
 from footfall.operators import profiling as PROF
 from footfall.operators import sampling as SAMP
@@ -38,7 +39,7 @@ class Run:
     split_seed: int = S.SPLIT_SEED
     train_size: float = S.TRAIN_SIZE
     log_features: list[str] = field(default_factory=lambda: list(S.LOG_FEATURES))
-    search: tuple[str, ...] = ()  # models whose parameters are searched instead of taken from here
+    search: tuple[str, ...] = ("enet", "l1")  # models whose parameters are searched instead of taken from here
     grids: dict[str, list[dict[str, float]]] = field(default_factory=lambda: default_grids())
     n_folds: int = 5
     n_resample: int = 100
@@ -136,7 +137,7 @@ def select_features(run: Run, sets: dict[str, DataFrame]) -> dict[str, DataFrame
     importances = _store(importances.select("persona", "feature", "importance", "feature_type"), run.path("feature_importances"))
 
     with_square = {p: names + ["months_since_last_squared"] for p, names in kept.items()}
-    coefs = ML.bootstrap_coefs(scaled, with_square, run.n_resample, max_iter=run.max_iter)
+    coefs = LIN.bootstrap_coefs(scaled, with_square, run.n_resample, max_passes=run.max_iter)
     summary = _store(SEL.bootstrap_summary(coefs), run.path("bootstrapped_coefs"))
 
     forest = SEL.as_lists(SEL.top_stratified(importances, run.top_forest))
@@ -171,7 +172,11 @@ def searched(run: Run, name: str, train: DataFrame, features: ML.FeatureLists) -
     impurity, seed = ("entropy", 2351) if name == "rf_entropy" else ("gini", 2301)
     forest = lambda x, p, n: ML.random_forest(int(x["depth"]), impurity, run.n_trees, seed + p)
     make = {"enet": kinds["enet"], "l1": kinds["l1"], "gbt": kinds["gbt"], "gbt_sub": kinds["gbt"]}.get(name, forest)
-    found = _store(ML.grid_search(train, features, make, run.grids[name], run.n_folds, run.split_seed), run.path(f"search/{name}"))
+    if name in ("enet", "l1"):
+        results = LIN.grid_search(train, features, run.grids[name], run.n_folds, run.split_seed, run.max_iter)
+    else:
+        results = ML.grid_search(train, features, make, run.grids[name], run.n_folds, run.split_seed)
+    found = _store(results, run.path(f"search/{name}"))
     best = {row.persona: row.params for row in ML.best_params(found).collect()}
     return lambda p, n: make(best[p], p, n)
 

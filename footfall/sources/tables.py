@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.util import MLReadable, MLWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from footfall import settings as S
 from footfall.sources.retail import RetailTables
+from footfall.sources.staging import materialize
 
 TABLE_NAMES = {f: f for f in RetailTables.__dataclass_fields__}
 
@@ -57,6 +58,26 @@ def export_matrix(matrix: DataFrame, path: str, single_file: bool = False) -> No
     write_delimited(ordered, path, single_file=single_file)
 
 
+def read_in_order(spark: SparkSession, path: str, *names: str, sep: str = "|") -> DataFrame:
+    """Delimited part files as text columns, with ``row_number`` 1, 2, ... through the files in the order of their numbers.
+
+    Rows are counted per file and split; nothing is sorted. ``names`` must be in the header.
+    """
+    rows = spark.read.option("header", True).option("sep", sep).csv(path)
+    missing = set(names) - set(rows.columns)
+    if missing:
+        raise ValueError(f"no such columns in {path}: {sorted(missing)}")
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("_part")
+    piece = F.regexp_extract("_metadata.file_name", r"-c(\d+)", 1).cast("long").alias("_piece")
+    seen = rows.select("*", part, piece, F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    seen = materialize(seen, "export")
+    place = ["_part", "_piece", "_block"]
+    counts = seen.groupBy(*place).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)  # a row per file and split
+    starts = counts.select(*place, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return seen.join(starts, place).withColumn("row_number", F.col("_at") + F.col("_shift")).drop(*place, "_at", "_shift")
+
+
 def load_delimited(spark: SparkSession, path: str, schema: StructType | str, table: str, sep: str = "|") -> None:
     """Loads a delimited file into a catalog table."""
     read_delimited(spark, path, schema, sep).write.mode("overwrite").saveAsTable(table)
