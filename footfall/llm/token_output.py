@@ -58,12 +58,14 @@ class Known:
     def __init__(self):
         self.index: dict[str, int] = {}
         self.flat, self.starts, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.again = np.empty(0, bool)  # asked for after the batch that brought them
 
     def add(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         self.index.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes.astype(np.int64)])
         self.flat = np.concatenate([self.flat, flat])
+        self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
 
     def places(self, pieces: Iterable[str], n: int) -> np.ndarray:
         return np.fromiter(map(self.index.__getitem__, pieces), np.int64, n)
@@ -79,7 +81,9 @@ class Known:
         return self.flat[np.repeat(self.starts[places] - begins, sizes) + np.arange(sizes.sum())], sizes
 
     def keep(self, pieces: Iterable[str]) -> None:
-        held = [p for p in pieces if p in self.index]
+        """Forget all but these and what was asked for again since the last time; most pieces come only once."""
+        held = [*pieces, *(p for p, at in self.index.items() if self.again[at])]
+        held = list(dict.fromkeys(p for p in held if p in self.index))
         flat, sizes = self.ids(self.places(held, len(held)))
         self.__init__()
         self.add(held, flat, sizes)
@@ -142,8 +146,9 @@ class Encoder:
         coded = pc.dictionary_encode(pieces.flatten())
         codes, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known.index) > PIECES:
-            self.known.keep([*self.marks, *names])
+            self.known.keep(self.marks)
         places = self.known.found(names)
+        self.known.again[places[places >= 0]] = True
         new = np.flatnonzero(places < 0)
         special = [t for t in self.special if pc.any(pc.match_substring(coded.dictionary, t)).as_py()]
         self._learn([p for p in names[new] if len(p) <= PIECE_CHARS and PIECE.fullmatch(p) and not any(t in p for t in special)])
