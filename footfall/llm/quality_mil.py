@@ -19,23 +19,33 @@ from footfall.llm.nets import Adagrad, Words, labelled_sample, sigmoid
 BUCKETS, SIZE, STATS, HIDDEN, GATE = 1 << 14, 12, 4, 16, 12
 #: Words of a passage; the last one of a text may be shorter.
 PASSAGE = 48
+#: Longer words are cut into pieces of this many characters, each a word of the passage.
+PIECE = 64
 EPOCHS, BATCH, RATE = 8, 64, 0.05
 
 
 def buckets(word: str) -> list[int]:
     """Hashes of a word's shape, of its signs, of its length and of its end."""
-    cased = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
+    cased = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     shape = re.sub(r"(.)\1+", r"\1\1", cased)
-    signs = "".join(c for c in word[:64] if not c.isalnum())
+    signs = "".join(c for c in word if not c.isalnum())
     parts = ("s" + shape, "g" + signs, f"n{min(len(word), 30)}", "e" + word[-3:].lower())
     return [crc32(p.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for p in parts]
 
 
+def pieces(text: str) -> list[str]:
+    """The words of a text; a long one in consecutive pieces, so that every character of it is read."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[a : a + PIECE] for w in words for a in range(0, len(w), PIECE)]
+
+
 class Bags:
     """Word rows of some texts, cut into passages; a text without words is one empty passage."""
 
     def __init__(self, words: Words, texts: list[str]):
-        split = [t.split() for t in texts]
+        split = [pieces(t) for t in texts]
         self.ids, starts = words.ids(split, 1)  # one padding word ends each text and is part of its last passage
         sizes = np.diff(np.append(starts, len(self.ids)))
         per_text = -(-sizes // PASSAGE)

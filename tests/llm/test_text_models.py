@@ -145,6 +145,33 @@ def test_mil_batches_do_not_matter():
     assert np.allclose(model.scorer()(texts), [model.scorer()([t])[0] for t in texts], atol=1e-5)
 
 
+def test_mil_reads_the_whole_of_long_words():
+    model = quality_mil.fit(planted(60, 1), epochs=1)
+    same = "x" * 64
+    texts = [same + a + "," * 200 + "end" for a in ("y" * 300, "4" * 300)]
+    first, second = model.scorer()(texts)
+    assert first != second
+    assert quality_mil.pieces(f"a {'b' * 130}\nc") == ["a", "b" * 64, "b" * 64, "bb", "c"]
+    assert "".join(quality_mil.pieces(texts[0])) == texts[0] and quality_mil.pieces("") == []
+
+
+def test_mil_against_a_plain_forward_pass():
+    model = quality_mil.fit(planted(60, 1), epochs=1)
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    for text in [t for t, _ in planted(10, 4)] + ["", "One two! " * 70]:
+        words = [*quality_mil.pieces(text), None]  # the word that ends a text has no embedding
+        total, weight = np.zeros(quality_mil.HIDDEN), 0.0
+        for a in range(0, len(words), quality_mil.PASSAGE):
+            passage = words[a : a + quality_mil.PASSAGE]
+            mean = sum((p["embedding"][quality_mil.buckets(w)].sum(0) for w in passage if w is not None), np.zeros(quality_mil.SIZE)) / len(passage)
+            n, twice = len(passage), sum(x == y for x, y in zip(passage, passage[1:], strict=False))
+            x = np.concatenate([mean, [len(set(passage)) / n, twice / n, np.log1p(n) / 4, n < 8]])
+            h = np.tanh(x @ p["encode"] + p["encode_0"])
+            e = np.exp((np.tanh(h @ p["see"]) * sigmoid(h @ p["gate"])) @ p["weigh"])
+            total, weight = total + e * h, weight + e
+        assert np.isclose(sigmoid(total / weight @ p["out"] + p["base"][0]), model.scorer()([text])[0], atol=1e-5)
+
+
 @pytest.mark.parametrize("name, label, least", [("op1_toxicity", "toxic", 0.97), ("op7_quality_mil", "quality", 0.97)])
 def test_held_out_accuracy(spark, name, label, least):
     from footfall.llm import queries
