@@ -97,6 +97,15 @@ def map_texts(
     return source.mapInArrow(run, out)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a scratch column that no column of the table has."""
+    held = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def parse_ddl(ddl: str):
     from pyspark.sql.types import StructType
 

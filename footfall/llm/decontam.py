@@ -4,11 +4,15 @@ Scores are scaled so that a passage with all words of an item scores 1 for it. A
 the threshold only if it collects enough from its own rarest words; that bound is tested for all
 passages of a batch at once. Passages that pass it run block-max WAND over the whole index, which
 returns every item above the threshold, and the shingles of its question and answer are compared.
+
+Items of similar length share postings and passages, and an item is verified in windows of twice its
+own length, so that a hit does not depend on what other items are in the index.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import arrow_type, map_texts, steps
+from footfall.llm.common import arrow_type, fresh, map_texts, steps
 
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -51,31 +55,16 @@ class Statistics:
         return float(np.log1p((self.n - df + 0.5) / (df + 0.5)))
 
 
-class Index:
-    """Postings by term, in blocks with their greatest impact."""
+class Postings:
+    """Postings by term of items of similar length, in blocks with their greatest impact."""
 
-    def __init__(self, items: list[tuple[object, str]], statistics: Statistics, threshold: float = THRESHOLD):
-        self.threshold = threshold
-        self.keys, self.texts, impacts = [], [], []
-        for key, text in items:
-            words = words_of(text or "")
-            if words:
-                self.keys.append(key)
-                self.texts.append(words)
-        self.terms: dict[str, int] = {}
-        for words in self.texts:
-            tf: dict[str, int] = {}
-            for w in words:
-                tf[w] = tf.get(w, 0) + 1
-            norm = K1 * (1 - B + B * len(words) / statistics.mean)
-            raw = {w: statistics.idf(w) * n * (K1 + 1) / (n + norm) for w, n in tf.items()}
-            total = sum(raw.values())
-            impacts.append({self.terms.setdefault(w, len(self.terms)): x / total for w, x in raw.items()})
-        self.longest = max(map(len, self.texts), default=0)
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+    def __init__(self, numbers: list[int], impacts: list[dict[int, float]], longest: int, n_terms: int, threshold: float):
+        #: the items' numbers in the index; here items go by their place in this list
+        self.numbers, self.impacts, self.longest, self.threshold = numbers, impacts, longest, threshold
+        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         #: per term, the items of which it is one of the rarest words
-        rare: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        self.need = np.zeros(len(self.keys))
+        rare: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        self.need = np.zeros(len(numbers))
         for item, weights in enumerate(impacts):
             held = 0.0
             for term, x in sorted(weights.items(), key=lambda p: (-p[1], p[0])):
@@ -85,39 +74,43 @@ class Index:
                     rare[term].append((item, x))
             # the other words give at most 1 - held
             self.need[item] = threshold - (1 - held) - 1e-9
-        self.postings = [(np.array([i for i, _ in p]), np.array([x for _, x in p])) for p in lists]
-        self.blocks = [np.array([x[a : a + BLOCK].max() for a in range(0, len(x), BLOCK)]) for _, x in self.postings]
-        self.best = [float(x.max()) for _, x in self.postings]
-        self.rare_n = np.array([len(r) for r in rare] + [0])
-        self.rare_at = np.concatenate([[0], np.cumsum(self.rare_n[:-1])]) if rare else np.zeros(1, int)
-        self.rare_item = np.array([i for r in rare for i, _ in r], np.int64)
-        self.rare_gain = np.array([x for r in rare for _, x in r])
+        self.postings = {t: (np.array([i for i, _ in p]), np.array([x for _, x in p])) for t, p in lists.items()}
+        self.blocks = {t: np.array([x[a : a + BLOCK].max() for a in range(0, len(x), BLOCK)]) for t, (_, x) in self.postings.items()}
+        self.best = {t: float(x.max()) for t, (_, x) in self.postings.items()}
+        # one place more, for words that no item has
+        self.rare_n = np.zeros(n_terms + 1, np.int64)
+        for term, held in rare.items():
+            self.rare_n[term] = len(held)
+        self.rare_at = np.cumsum(self.rare_n) - self.rare_n
+        self.rare_item = np.array([i for t in sorted(rare) for i, _ in rare[t]], np.int64)
+        self.rare_gain = np.array([x for t in sorted(rare) for _, x in rare[t]])
 
     def passages(self, ids: np.ndarray) -> np.ndarray:
-        """Starts of the passages that may hold an item: windows of twice the longest item, half overlapping.
+        """Starts of the passages that may hold an item: three times the longest item, each begun its length after the last.
 
+        Every window of twice an item's length is whole in the passage in whose first third it begins.
         Term ids are -1 for words that no item has.
         """
         step = self.longest
         hits = np.flatnonzero(self.rare_n[ids])
         if not len(hits):
             return hits
-        # each word is in the passage that starts at its step and in the one before
-        window = np.concatenate([hits // step, hits // step - 1])
-        term = np.tile(ids[hits], 2)
+        # each word is in the passage that starts at its step and in the two before
+        window = np.concatenate([hits // step - back for back in range(3)])
+        term = np.tile(ids[hits], 3)
         window, term = window[window >= 0], term[window >= 0]
         once = np.unique(window * len(self.rare_n) + term)
         window, term = np.divmod(once, len(self.rare_n))
         n = self.rare_n[term]
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         place = np.repeat(self.rare_at[term], n) + offset
-        pair, where = np.unique(np.repeat(window, n) * len(self.keys) + self.rare_item[place], return_inverse=True)
+        pair, where = np.unique(np.repeat(window, n) * len(self.numbers) + self.rare_item[place], return_inverse=True)
         gain = np.bincount(where, self.rare_gain[place])
-        return np.unique(pair[gain >= self.need[pair % len(self.keys)]] // len(self.keys)) * step
+        return np.unique(pair[gain >= self.need[pair % len(self.numbers)]] // len(self.numbers)) * step
 
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
         """(item, score) of every item at or above the threshold, by block-max WAND."""
-        cursor = {t: 0 for t in terms}
+        cursor = {t: 0 for t in terms if t in self.postings}
         found = []
         live = list(cursor)
         while live:
@@ -149,25 +142,67 @@ class Index:
             live = [t for t in live if cursor[t] < len(self.postings[t][0])]
         return found
 
+
+class Index:
+    """Test items, their words, and postings for each class of lengths (up to a power of two)."""
+
+    def __init__(self, items: list[tuple[object, str]], statistics: Statistics, threshold: float = THRESHOLD):
+        self.threshold = threshold
+        self.keys, self.texts, impacts = [], [], []
+        self.terms: dict[str, int] = {}
+        for key, text in items:
+            words = words_of(text or "")
+            if not words:
+                continue
+            self.keys.append(key)
+            self.texts.append(words)
+            tf: dict[str, int] = {}
+            for w in words:
+                tf[w] = tf.get(w, 0) + 1
+            norm = K1 * (1 - B + B * len(words) / statistics.mean)
+            raw = {w: statistics.idf(w) * n * (K1 + 1) / (n + norm) for w, n in tf.items()}
+            total = sum(raw.values())
+            impacts.append({self.terms.setdefault(w, len(self.terms)): x / total for w, x in raw.items()})
+        classes: dict[int, list[int]] = defaultdict(list)
+        for i, words in enumerate(self.texts):
+            classes[(len(words) - 1).bit_length()].append(i)
+        self.classes = [
+            Postings(held, [impacts[i] for i in held], max(len(self.texts[i]) for i in held), len(self.terms), threshold) for _, held in sorted(classes.items())
+        ]
+
     def hits(self, text: str) -> list[tuple[object, float, float, float]]:
-        """(item, score, question overlap, answer overlap), the best passage of each verified item."""
-        if not self.longest:
-            return []
+        """(item, score, question overlap, answer overlap), the best window of each verified item."""
         words = words_of(text)
         get = self.terms.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         best: dict[int, tuple[float, float, float]] = {}
-        for start in self.passages(ids).tolist():
-            passage = words[start : start + 2 * self.longest]
-            terms = sorted(set(ids[start : start + 2 * self.longest].tolist()) - {-1})
-            held = None
-            for item, score in self.wand(terms):
-                held = shingles(passage) if held is None else held
-                overlap, question, answer = overlaps(self.texts[item], held)
-                if overlap >= OVERLAP and min(question, answer) >= PART_OVERLAP:
-                    best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, question, answer))
+        for part in self.classes:
+            for start in part.passages(ids).tolist():
+                end = start + 3 * part.longest
+                held = None
+                for place, _ in part.wand(sorted(set(ids[start:end].tolist()) - {-1})):
+                    held = shingles(words[start:end]) if held is None else held
+                    item = part.numbers[place]
+                    if verified(overlaps(self.texts[item], held)):  # no window holds more than the passage
+                        for found in self._windows(item, part.impacts[place], words, ids, start, start + part.longest):
+                            best[item] = max(best.get(item, found), found)
         return [(self.keys[i], *x) for i, x in sorted(best.items())]
 
+    def _windows(self, item: int, impacts: dict[int, float], words: list[str], ids: np.ndarray, first: int, until: int) -> Iterator[tuple[float, float, float]]:
+        """(score, question overlap, answer overlap) of the windows that hold the item: twice its length, begun at each half of it."""
+        size = len(self.texts[item])
+        step = (size + 1) // 2
+        for start in range(-(-first // step) * step, min(until, len(words)), step):
+            score = sum(impacts.get(t, 0.0) for t in set(ids[start : start + 2 * size].tolist()))
+            if score >= self.threshold - 1e-9:
+                parts = overlaps(self.texts[item], shingles(words[start : start + 2 * size]))
+                if verified(parts):
+                    yield score, *parts[1:]
+
+
+def verified(parts: tuple[float, float, float]) -> bool:
+    return parts[0] >= OVERLAP and min(parts[1:]) >= PART_OVERLAP
+
 
 def overlaps(item: list[str], held: set[tuple[str, ...]]) -> tuple[float, float, float]:
     """Shares of the shingles of the item, its first half (question) and second half (answer) that a passage holds."""
@@ -179,39 +214,43 @@ def overlaps(item: list[str], held: set[tuple[str, ...]]) -> tuple[float, float,
     return whole, *(whole if h is None else h for h in halves)
 
 
-def indexes(items: DataFrame, key: str = "item_id", text: str = "text", threshold: float = THRESHOLD) -> list[Index]:
-    """The test items in as many indexes of at most INDEX_CHARS characters as they need.
+def indexes(items: DataFrame, key: str = "item_id", text: str = "text", threshold: float = THRESHOLD) -> Iterator[Index]:
+    """The test items in as many indexes of about INDEX_CHARS characters as they need, one at a time.
 
-    Test sets are small next to the documents, and they come to the driver as what is sent to all
-    tasks in bounded pieces. Repeated rows count once; null keys and items without words are left out.
+    The driver holds the items of one index and the frequencies of their words; counts over all items
+    are made in Spark. Repeated rows count once; null keys and items without words are left out. An
+    empty test set makes one empty index.
     """
     size = items.agg(F.sum(F.length(text))).first()[0] or 0
     shards = 1 + int(size) // INDEX_CHARS
-    held = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).distinct()
-    frequency: dict[str, int] = {}
-    lengths = n = 0
-    pieces = []
+    held = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
+    held = held.withColumn("shard", F.pmod(F.xxhash64("key", "text"), F.lit(shards)).cast("int"))
+
+    def split() -> Callable:
+        def work(texts: list[str]) -> dict[str, object]:
+            words = [words_of(t) for t in texts]
+            return {"n": [len(w) for w in words], "words": [list(dict.fromkeys(w)) for w in words]}
+
+        return work
+
+    worded = map_texts(held, "text", split, "n bigint, words array<string>", ["shard"]).where("n > 0")
+    n, lengths = worded.agg(F.count(F.lit(1)), F.sum("n")).first()
+    counted = worded.select("shard", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.collect_set("shard").alias("shards"))
     for shard in range(shards):
-        rows = [tuple(r) for r in held.where(F.pmod(F.xxhash64(key, text), F.lit(shards)) == shard).collect()]
-        pieces.append(sorted(rows))
-        for _, t in rows:
-            words = words_of(t)
-            n, lengths = n + bool(words), lengths + len(words)
-            for w in set(words):
-                frequency[w] = frequency.get(w, 0) + 1
-    whole = Statistics(n, lengths / max(1, n), frequency)
-    return [Index(rows, whole, threshold) for rows in pieces]
+        rows = [tuple(r) for r in held.where(F.col("shard") == shard).select("key", "text").collect()]
+        frequency = {r.word: r.df for r in counted.where(F.array_contains("shards", shard)).select("word", "df").toLocalIterator()}
+        yield Index(sorted(rows), Statistics(n, (lengths or 0) / max(1, n), frequency), threshold)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """(key, item, score, question_overlap, answer_overlap) of each document and test item that it holds.
 
     Whole texts are searched; one document can give several rows. Null and empty texts give none;
-    an empty test set gives none; repeated rows give repeated hits.
+    an empty test set gives none; repeated rows give repeated hits; other columns are not read.
     """
     schema = docs.select(key).schema.add(items.select(item).schema[0]).add("score", "double").add("question_overlap", "double").add("answer_overlap", "double")
     kinds = [arrow_type(f.dataType) for f in schema.fields]
-    found = docs.select(key, text).limit(0).select(key)
+    found = None
     for index in indexes(items, item, threshold=threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -224,21 +263,26 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.names)
 
         hits = docs.select(key, text).mapInArrow(run, schema)
-        found = hits if len(found.columns) == 1 else found.unionAll(hits)
+        found = hits if found is None else found.unionAll(hits)
     return found
 
 
 def flagged(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", threshold: float = THRESHOLD, flag: str = "contaminated") -> DataFrame:
-    """Every row as it is, with whether it holds a test item."""
+    """Every row as it is, with whether it holds a test item.
+
+    Null and empty texts, and every text where the test set is empty, hold none. Repeated rows stay.
+    A column of the rows named like the flag is replaced; all others keep name and value.
+    """
     kept = docs.drop(flag)
-    for i, index in enumerate(indexes(items, item, threshold=threshold)):
+    columns = kept.columns
+    parts = []
+    for index in indexes(items, item, threshold=threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        name = f"{flag}_{i}"
+        searched = fresh(kept, "searched")
+        parts.append(fresh(kept, "holds"))
 
-        def make(shared=shared, name=name) -> Callable:
+        def make(shared=shared, name=parts[-1]) -> Callable:
             return lambda texts: {name: [bool(shared.value.hits(t)) for t in texts]}
 
-        copy = kept.withColumn("_searched", F.col(text))
-        kept = map_texts(copy, "_searched", make, f"{name} boolean", kept.columns)
-    parts = [c for c in kept.columns if c.startswith(f"{flag}_")]
-    return kept.withColumn(flag, F.greatest(*parts) if len(parts) > 1 else F.col(parts[0])).drop(*parts)
+        kept = map_texts(kept.withColumn(searched, F.col(text)), searched, make, f"{parts[-1]} boolean", kept.columns)
+    return kept.select(*columns, (F.greatest(*parts) if len(parts) > 1 else F.col(parts[0])).alias(flag))

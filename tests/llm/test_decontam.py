@@ -29,56 +29,76 @@ def index_of(items):
     return D.Index(items, D.Statistics(len(items), sum(sizes) / len(sizes), frequency))
 
 
-def scores(index, terms):
+def scores(part, terms):
     out = {}
     for t in terms:
-        for i, x in zip(*index.postings[t], strict=True):
+        for i, x in zip(*part.postings.get(t, ((), ())), strict=True):
             out[int(i)] = out.get(int(i), 0) + x
-    return {i: s for i, s in out.items() if s >= index.threshold - 1e-9}
+    return {i: s for i, s in out.items() if s >= part.threshold - 1e-9}
 
 
 def test_wand_finds_all_above_the_threshold():
     items, docs = corpus()
     index = index_of(items)
-    for threshold in (0.1, 0.3, 0.6):
-        index.threshold = threshold
-        for _, text, _ in docs:
-            words = D.words_of(text)
-            for a in range(0, len(words), 40):
-                terms = sorted({index.terms[w] for w in words[a : a + 80] if w in index.terms})
-                got = index.wand(terms)
-                want = scores(index, terms)
-                assert [i for i, _ in got] == sorted(want)
-                assert all(abs(s - want[i]) < 1e-9 for i, s in got)
+    assert len(index.classes) == 3 and sum(len(part.numbers) for part in index.classes) == len(items)
+    for part in index.classes:
+        for threshold in (0.1, 0.3, 0.6):
+            part.threshold = threshold
+            for _, text, _ in docs:
+                words = D.words_of(text)
+                for a in range(0, len(words), 40):
+                    terms = sorted({index.terms[w] for w in words[a : a + 80] if w in index.terms})
+                    got = part.wand(terms)
+                    want = scores(part, terms)
+                    assert [i for i, _ in got] == sorted(want)
+                    assert all(abs(s - want[i]) < 1e-9 for i, s in got)
 
 
 def test_first_test_loses_nothing():
     items, docs = corpus(6)
     index = index_of(items)
-    for _, text, _ in docs:
-        words = D.words_of(text)
-        ids = D.np.array([index.terms.get(w, -1) for w in words], D.np.int64)
-        kept = set(index.passages(ids).tolist())
-        for start in range(0, len(words), index.longest):
-            terms = set(ids[start : start + 2 * index.longest].tolist()) - {-1}
-            if scores(index, terms):
-                assert start in kept
+    for part in index.classes:
+        for _, text, _ in docs:
+            words = D.words_of(text)
+            ids = D.np.array([index.terms.get(w, -1) for w in words], D.np.int64)
+            kept = set(part.passages(ids).tolist())
+            for start in range(0, len(words), part.longest):
+                terms = set(ids[start : start + 3 * part.longest].tolist()) - {-1}
+                if scores(part, terms):
+                    assert start in kept
 
 
 def brute(text, items):
-    """Items whose shingles stand in any window of the text."""
+    """Items whose own score and shingles stand in a window of twice their length, begun at each half of it."""
     words = D.words_of(text)
-    n = max(len(D.words_of(t)) for _, t in items)
+    alone = index_of(items)
     found = set()
-    for start in range(0, max(1, len(words)), n):
-        held = D.shingles(words[start : start + 2 * n])
-        for key, t in items:
-            whole, question, answer = D.overlaps(D.words_of(t), held)
-            if whole >= D.OVERLAP and min(question, answer) >= D.PART_OVERLAP:
-                found.add(key)
+    for part in alone.classes:
+        for i, impacts in zip(part.numbers, part.impacts, strict=True):
+            item = alone.texts[i]
+            for start in range(0, len(words), (len(item) + 1) // 2):
+                window = words[start : start + 2 * len(item)]
+                score = sum(impacts.get(alone.terms.get(w, -1), 0) for w in set(window))
+                if score >= D.THRESHOLD - 1e-9 and D.verified(D.overlaps(item, D.shingles(window))):
+                    found.add(alone.keys[i])
     return found
 
 
+def test_a_hit_depends_on_its_item_alone():
+    draw = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    short, long = draw.sample(vocabulary, 12), draw.choices(vocabulary, k=3000)
+    apart = short[:6] + draw.choices(vocabulary, k=1000) + short[6:]
+    near = draw.choices(vocabulary, k=700) + short + draw.choices(vocabulary, k=700)
+    for items in ([(1, " ".join(short))], [(1, " ".join(short)), (2, " ".join(long))]):
+        index = index_of(items)
+        assert index.hits(" ".join(apart)) == []
+        assert [h[0] for h in index.hits(" ".join(near))] == [1]
+        assert [h[0] for h in index.hits(" ".join(near + long))] == [h[0] for h in items]
+        for at in range(0, 60, 7):  # wherever it stands
+            assert [h[0] for h in index.hits(" ".join(near[:at] + short))] == [1]
+
+
 def test_against_brute_force(spark):
     items, docs = corpus(7)
     frame = spark.createDataFrame([(k, t, "x") for k, t, _ in docs] + [(None, None, None), (7, "", "y")], "doc_id long, text string, item_id string")
@@ -91,6 +111,10 @@ def test_against_brute_force(spark):
     assert all(p in got[k] for k, _, p in docs if p is not None)
     flags = D.flagged(frame, tests)
     assert flags.columns == ["doc_id", "text", "item_id", "contaminated"] and flags.count() == len(docs) + 2
+    clash = frame.selectExpr("*", "'a' as contaminated_0", "true as contaminated_x", "1 as _holds", "2 as _searched", "3 as contaminated")
+    rows = D.flagged(clash, tests).collect()
+    assert {(r.contaminated_0, r.contaminated_x, r._holds, r._searched) for r in rows} == {("a", True, 1, 2)}
+    assert {r.doc_id for r in rows if r.contaminated} == set(got)
     assert {r.doc_id for r in flags.where("contaminated").collect()} == set(got)
 
 
