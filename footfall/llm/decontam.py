@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,28 +86,30 @@ class Postings:
         self.rare_item = np.array([i for t in sorted(rare) for i, _ in rare[t]], np.int64)
         self.rare_gain = np.array([x for t in sorted(rare) for _, x in rare[t]])
 
-    def passages(self, ids: np.ndarray) -> np.ndarray:
-        """Starts of the passages that may hold an item: three times the longest item, each begun its length after the last.
+    def passages(self, ids: np.ndarray, text: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+        """(text, start) of the passages that may hold an item: three times the longest item, each begun its length after the last.
 
         Every window of twice an item's length is whole in the passage in whose first third it begins.
-        Term ids are -1 for words that no item has.
+        All words of some texts come at once: their term ids (-1: no item has it), texts and places there.
         """
-        step = self.longest
+        step, known = self.longest, len(self.rare_n)
         hits = np.flatnonzero(self.rare_n[ids])
         if not len(hits):
-            return hits
+            return []
+        term, own = ids[hits], place[hits] // step
+        per_text = int(own.max()) + 1
+        first = text[hits] * per_text
         # each word is in the passage that starts at its step and in the two before
-        window = np.concatenate([hits // step - back for back in range(3)])
-        term = np.tile(ids[hits], 3)
-        window, term = window[window >= 0], term[window >= 0]
-        once = np.unique(window * len(self.rare_n) + term)
-        window, term = np.divmod(once, len(self.rare_n))
+        keys = [(first + own) * known + term]
+        keys += [(first[own >= back] + own[own >= back] - back) * known + term[own >= back] for back in (1, 2)]
+        window, term = np.divmod(np.unique(np.concatenate(keys)), known)
         n = self.rare_n[term]
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = np.repeat(self.rare_at[term], n) + offset
-        pair, where = np.unique(np.repeat(window, n) * len(self.numbers) + self.rare_item[place], return_inverse=True)
-        gain = np.bincount(where, self.rare_gain[place])
-        return np.unique(pair[gain >= self.need[pair % len(self.numbers)]] // len(self.numbers)) * step
+        at = np.repeat(self.rare_at[term], n) + offset
+        pair, where = np.unique(np.repeat(window, n) * len(self.numbers) + self.rare_item[at], return_inverse=True)
+        gain = np.bincount(where, self.rare_gain[at])
+        found = np.unique(pair[gain >= self.need[pair % len(self.numbers)]] // len(self.numbers))
+        return list(zip((found // per_text).tolist(), (found % per_text * step).tolist(), strict=True))
 
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
         """(item, score) of every item at or above the threshold, by block-max WAND."""
@@ -171,22 +174,29 @@ class Index:
         ]
 
     def hits(self, text: str) -> list[tuple[object, float, float, float]]:
-        """(item, score, question overlap, answer overlap), the best window of each verified item."""
-        words = words_of(text)
-        get = self.terms.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        best: dict[int, tuple[float, float, float]] = {}
+        return self.hits_of([text])[0]
+
+    def hits_of(self, texts: list[str]) -> list[list[tuple[object, float, float, float]]]:
+        """Per text (item, score, question overlap, answer overlap), the best window of each verified item."""
+        split = [words_of(t) for t in texts]
+        sizes = [len(words) for words in split]
+        begins = np.cumsum(sizes) - sizes
+        ids = np.concatenate([np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words)) for words in split] or [np.empty(0, np.int64)])
+        text = np.repeat(np.arange(len(texts)), sizes)
+        place = np.arange(len(ids)) - np.repeat(begins, sizes)
+        best: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
         for part in self.classes:
-            for start in part.passages(ids).tolist():
+            for t, start in part.passages(ids, text, place):
+                words, own = split[t], ids[begins[t] : begins[t] + sizes[t]]
                 end = start + 3 * part.longest
                 held = None
-                for place, _ in part.wand(sorted(set(ids[start:end].tolist()) - {-1})):
+                for at, _ in part.wand(sorted(set(own[start:end].tolist()) - {-1})):
                     held = shingles(words[start:end]) if held is None else held
-                    item = part.numbers[place]
+                    item = part.numbers[at]
                     if verified(overlaps(self.texts[item], held)):  # no window holds more than the passage
-                        for found in self._windows(item, part.impacts[place], words, ids, start, start + part.longest):
-                            best[item] = max(best.get(item, found), found)
-        return [(self.keys[i], *x) for i, x in sorted(best.items())]
+                        for found in self._windows(item, part.impacts[at], words, own, start, start + part.longest):
+                            best[t][item] = max(best[t].get(item, found), found)
+        return [[(self.keys[i], *x) for i, x in sorted(held.items())] for held in best]
 
     def _windows(self, item: int, impacts: dict[int, float], words: list[str], ids: np.ndarray, first: int, until: int) -> Iterator[tuple[float, float, float]]:
         """(score, question overlap, answer overlap) of the windows that hold the item: twice its length, begun at each half of it."""
@@ -256,9 +266,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for part in steps(batches, text):
-                rows = []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    rows += [(k, *hit) for hit in shared.value.hits(t)] if t else []
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                rows = [(k, *hit) for k, hits in zip(part.column(0).to_pylist(), shared.value.hits_of(texts), strict=True) for hit in hits]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.names)
 
@@ -282,7 +291,7 @@ def flagged(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "
         parts.append(fresh(kept, "holds"))
 
         def make(shared=shared, name=parts[-1]) -> Callable:
-            return lambda texts: {name: [bool(shared.value.hits(t)) for t in texts]}
+            return lambda texts: {name: [bool(hits) for hits in shared.value.hits_of(texts)]}
 
         kept = map_texts(kept.withColumn(searched, F.col(text)), searched, make, f"{parts[-1]} boolean", kept.columns)
     return kept.select(*columns, (F.greatest(*parts) if len(parts) > 1 else F.col(parts[0])).alias(flag))
