@@ -8,10 +8,12 @@ find. All of it is SQL functions; the fitted table has 68 x 68 numbers, whatever
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm.common import fresh
 
 # The base patterns, the group that is measured and its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -29,42 +31,88 @@ SIDE = len(ALPHABET) + 1
 THRESHOLD = 0.7
 
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: Items that one inner fold goes through. A fold copies its state at every step, so states stay short.
+PART = 64
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scan(items: Column, add: Callable[[Column, Column], Column], give: Callable[[Column, Column], Column]) -> Column:
+    """The spans that `give` makes of each item and of the running value before it, from left to right.
+
+    The running value starts at 0 and `add` moves it on by an item. Parts of the array are summed,
+    then the values before the parts, and then each part is gone through, all with short states.
+    """
+    none = F.array().cast(SPANS)
+    numbers = F.array().cast("array<int>")
+
+    def cut_up(held: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(held) / PART).cast("int")), lambda i: F.slice(held, i * PART + 1, PART))
+        return F.transform(parts, lambda p: F.struct(p.alias("items")))
+
+    def before(parts: Column) -> Column:
+        # (value, values before each part)
+        start = F.struct(F.lit(0).alias("at"), numbers.alias("befores"))
+        step = lambda s, p: F.struct(F.aggregate(p["items"], s["at"], add).alias("at"), F.concat(s["befores"], F.array(s["at"])).alias("befores"))
+        return F.aggregate(parts, start, step, lambda s: s["befores"])
+
+    def through(part: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), none.alias("found"))
+        step = lambda s, item: F.struct(add(s["at"], item).alias("at"), F.concat(s["found"], give(s["at"], item)).alias("found"))
+        return F.aggregate(part["items"], start, step, lambda s: s["found"])
+
+    return _bound(items, lambda held: _bound(cut_up(held), lambda parts: _bound(before(parts), lambda at: F.flatten(F.transform(parts, lambda p, i: through(p, F.get(at, i)))))))
 
 
 def _spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
     """Matches from left to right with their code points, those with a long enough group."""
+    none = F.array().cast(SPANS)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.split(text, pattern, -1)
     parts = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.length(part["whole"])
-        found = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["value"].alias("value"))
-        grown = F.when(F.length(part["value"]) >= least, F.concat(state["found"], F.array(found))).otherwise(state["found"])
-        return F.struct(end.alias("at"), grown.cast(SPANS).alias("found"))
+    def end(at: Column, part: Column) -> Column:
+        # the last gap has no match behind it
+        return at + F.length(part["gap"]) + F.coalesce(F.length(part["whole"]), F.lit(0))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
-    # the last gap has no match behind it; its end is null and is not used
-    folded = F.aggregate(parts, start, step, lambda s: s["found"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), folded).otherwise(F.array().cast(SPANS))
+    def give(at: Column, part: Column) -> Column:
+        found = F.struct((at + F.length(part["gap"])).alias("start"), F.lit(kind).alias("kind"), end(at, part).alias("end"), part["value"].alias("value"))
+        return F.when(F.length(part["value"]) >= least, F.array(found).cast(SPANS)).otherwise(none)
 
+    return F.when(F.regexp_like(text, F.lit(pattern)), _scan(parts, end, give)).otherwise(none)
 
-def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add `_text` (null: empty) and `base`, the spans of the fixed patterns by start and kind."""
-    df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    found = [_spans(F.col("_text"), *BASE[k], i) for i, k in enumerate(BASE)]
-    return df.withColumn("base", F.explode(F.array(F.sort_array(F.concat(*found)))))
 
-
-def _tokens(df: DataFrame) -> DataFrame:
-    """Add `tokens`, the long tokens that no base span touches."""
-    free = F.filter(
-        _spans(F.col("_text"), TOKEN, 0, 16, len(BASE)),
-        lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
+def _free(tokens: Column, base: Column) -> Column:
+    """The tokens that no base span touches: no base span that begins before their end goes beyond their start."""
+    none, kinds = F.array().cast(SPANS), len(BASE)
+    # base spans by their start, tokens by their end and before base spans that begin there
+    events = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("place"), F.lit(1).alias("later"), b.alias("span"))),
+        F.transform(tokens, lambda t: F.struct(t["end"].alias("place"), F.lit(0).alias("later"), t.alias("span"))),
     )
-    return df.withColumn("tokens", F.explode(F.array(free)))
+
+    def reach(until: Column, event: Column) -> Column:
+        return F.when(event["span"]["kind"] == kinds, until).otherwise(F.greatest(until, event["span"]["end"]))
+
+    def give(until: Column, event: Column) -> Column:
+        span = event["span"]
+        return F.when((span["kind"] == kinds) & (until <= span["start"]), F.array(span).cast(SPANS)).otherwise(none)
+
+    return F.when(F.size(base) == 0, tokens).when(F.size(tokens) == 0, none).otherwise(_scan(F.sort_array(events), reach, give))
+
+
+def _searched(docs: DataFrame, text: str) -> tuple[DataFrame, str, str]:
+    """The rows with two more columns, whose names follow: the spans of the fixed patterns by start and kind, and the long tokens that none touches."""
+    body, base, tokens = (fresh(docs, name) for name in ("text", "base", "tokens"))
+    df = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
+    found = [_spans(F.col(body), *BASE[k], i) for i, k in enumerate(BASE)]
+    df = df.withColumn(base, F.explode(F.array(F.sort_array(F.concat(*found)))))
+    df = df.withColumn(tokens, F.explode(F.array(_spans(F.col(body), TOKEN, 0, 16, len(BASE)))))
+    return df.withColumn(tokens, F.explode(F.array(_free(F.col(tokens), F.col(base))))).drop(body), base, tokens
 
 
 def _pairs(token: Column) -> Column:
@@ -78,10 +126,10 @@ def _pairs(token: Column) -> Column:
 
 def samples(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, label) from the texts: 1 for what the fixed patterns find, 0 for all other long tokens."""
-    df = _tokens(base_spans(docs, text))
+    df, base, tokens = _searched(docs, text)
     both = F.concat(
-        F.transform("base", lambda b: F.struct(b["value"].alias("token"), F.lit(1).alias("label"))),
-        F.transform("tokens", lambda t: F.struct(t["value"].alias("token"), F.lit(0).alias("label"))),
+        F.transform(base, lambda b: F.struct(b["value"].alias("token"), F.lit(1).alias("label"))),
+        F.transform(tokens, lambda t: F.struct(t["value"].alias("token"), F.lit(0).alias("label"))),
     )
     return df.select(F.explode(both).alias("s")).select("s.*")
 
@@ -118,11 +166,14 @@ def find(docs: DataFrame, ratios: list[float], text: str = "text", threshold: fl
     """Add `secrets`: spans (start, kind, end, value) of all finds over the whole text, by start, then kind.
 
     Base finds are always in; a random token that touches one is left to it. Code points, end
-    exclusive. Null and empty texts have none; every row stays, whatever its key.
+    exclusive. Null and empty texts have none; every row stays, whatever its key, and an empty table
+    gives an empty one. A column named `secrets` is replaced; all others keep name and value. Time
+    grows with the length of a text, however many finds it has.
     """
-    df = _tokens(base_spans(docs.drop("secrets", "base", "tokens", "_text"), text))
-    added = F.filter("tokens", lambda t: score(t["value"], ratios) >= threshold)
-    return df.withColumn("secrets", F.sort_array(F.concat("base", added))).drop("base", "tokens", "_text")
+    columns = [c for c in docs.columns if c.lower() != "secrets"]
+    df, base, tokens = _searched(docs, text)
+    added = F.filter(tokens, lambda t: score(t["value"], ratios) >= threshold)
+    return df.select(*columns, F.sort_array(F.concat(base, added)).alias("secrets"))
 
 
 def spelled(spans: Column) -> Column:

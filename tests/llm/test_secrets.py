@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -62,3 +63,36 @@ def test_empty(spark):
     assert secrets.scan(docs).count() == 0
     row = secrets.scan(spark.createDataFrame([(None, None)], "doc_id int, text string")).select(secrets.spelled(F.col("secrets")).alias("s")).first()
     assert row.s == ""
+
+
+def test_added_spans_against_brute_force(spark):
+    """Random spans are the long tokens that touch no base span and score enough, also across the parts of a fold."""
+    draw = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pieces = [lambda: f"token={HEX}", lambda: "".join(draw.choices(letters, k=24)), lambda: f"{HEX}-xyzxyz", lambda: "word é", lambda: "under_scored_identifier"]
+    pieces += [lambda: "x" * 20 + f"=AKIA{'Q' * 16}+{HEX}", lambda: "a-token_password=" + "Q7" * 9]
+    texts = [" ".join(draw.choice(pieces)() for _ in range(n)) for n in (0, 1, 7, 255, 256, 257, 700)] + TEXTS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    ratios = secrets.train(secrets.samples(docs))
+    for row in secrets.find(docs, ratios).collect():
+        base = brute(texts[row.doc_id])
+        want = [f[:3] for f in base]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", texts[row.doc_id] or ""):
+            codes = [secrets.ALPHABET.find(c) + 1 for c in m[0]]
+            mean = sum(float(f"{ratios[a * secrets.SIDE + b]:.4f}") for a, b in zip(codes, codes[1:], strict=False)) / (len(codes) - 1)
+            if mean >= secrets.THRESHOLD and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+                want.append((m.start(), 3, m.end()))
+        assert [(s["start"], s["kind"], s["end"]) for s in row.secrets] == sorted(want), row.doc_id
+
+
+def test_many_finds_in_one_text(spark):
+    text = f"token={HEX} qwertyuiopasdfghjklzxcv " * 12_000
+    began = time.monotonic()
+    row = secrets.find(spark.createDataFrame([(1, text)], "doc_id int, text string"), [0.0] * secrets.SIDE**2).select(F.size("secrets").alias("n")).first()
+    assert row.n == 24_000 and time.monotonic() - began < 30
+
+
+def test_other_columns_stay(spark):
+    docs = spark.createDataFrame([(1, f"token={HEX}", "a", "b", "c", "d")], "doc_id int, text string, base string, tokens string, _text string, secrets string")
+    row = secrets.scan(docs).first()
+    assert (row.base, row.tokens, row["_text"]) == ("a", "b", "c") and spans(row) == [f[:3] for f in brute(docs.first().text)]
