@@ -13,6 +13,7 @@ from collections.abc import Callable
 from datetime import date
 from functools import cached_property
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,7 @@ DIGITS = {
     "transform_by_rule": 10,
     "feature_matrix": 8,
     "roundtrip_csv": 8,
+    "loaded_table": 8,
     "log_features": 8,
     "narrow_by_persona": 8,
     "column_profile": 8,
@@ -219,15 +221,39 @@ def event_config(c: Context) -> DataFrame:
     return IO.read_event_config(c.spark).join(lines, "event", "left")
 
 
+def _export_path(c: Context) -> str:
+    return f"{checkpoint_dir(c.spark).rstrip('/')}/footfall-export-{uuid.uuid4().hex}"
+
+
 @query
 def roundtrip_csv(c: Context) -> DataFrame:
     """The feature matrix written as delimited text and read back."""
-    root = checkpoint_dir(c.spark).rstrip("/")
-    path = f"{root}/footfall-export-{uuid.uuid4().hex}"
+    path = _export_path(c)
     IO.export_matrix(c.matrix, path)
     return IO.read_delimited(c.spark, path, c.matrix.schema)
 
 
+@query
+def loaded_table(c: Context) -> DataFrame:
+    """The exported matrix loaded from its files into a catalog table, and that table read."""
+    path, name = _export_path(c), f"footfall_export_{uuid.uuid4().hex}"
+    IO.export_matrix(c.matrix, path)
+    IO.load_delimited(c.spark, path, c.matrix.schema, name)
+    try:
+        return materialize(c.spark.table(name), "loaded")
+    finally:
+        c.spark.sql(f"drop table {name}")
+
+
+@query
+def persona_folders(c: Context) -> DataFrame:
+    """The split saved in one folder per persona; reading finds the personas in the folder names."""
+    path = _export_path(c)
+    split = SAMP.stratified_split(c.matrix, S.TRAIN_SIZE, S.SPLIT_SEED)
+    IO.save_by_persona(split.select("cust_key", "persona", "target_shopped_ind", "is_train"), path)
+    return c.spark.read.parquet(path).select("cust_key", "persona", "target_shopped_ind", "is_train")
+
+
 # --- calendar and spans ----------------------------------------------------------------
 
 
@@ -626,6 +652,21 @@ def fit_gbt(c: Context) -> DataFrame:
     return _metrics(c, "unscaled", lambda persona, n: ML.gradient_boosting(trees=BOOSTS, rate=10 / BOOSTS, subsample=0.7, seed=5301 + persona))
 
 
+@query
+def reloaded_models(c: Context) -> DataFrame:
+    """Test rows by persona, and how many of them models scored otherwise once saved and loaded."""
+    train, test = c.sets["scaled_train"], c.sets["scaled_test"]
+    usable = ML.usable_features(train, S.FEATURE_COLUMNS)
+    models = ML.fit_models(train, usable, lambda persona, n: ML.elastic_net(max_iter=20))
+    path = _export_path(c)
+    IO.save_models(models, path)
+    again = IO.load_models(c.spark, LogisticRegressionModel, path)
+    before, after = ML.score(test, usable, models), ML.score(test, usable, again)
+    both = before.join(after.select("cust_key", "persona", F.col("prob").alias("prob_again"), F.col("pred").alias("pred_again")), ["cust_key", "persona"], "left")
+    same = F.col("prob").eqNullSafe(F.col("prob_again")) & F.col("pred").eqNullSafe(F.col("pred_again"))
+    return both.groupBy("persona").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(~same, 1)).alias("n_changed"))
+
+
 @query
 def bootstrap_coefs(c: Context) -> DataFrame:
     """A hundred resamples per persona."""
@@ -683,7 +724,7 @@ def score_fixed(c: Context) -> DataFrame:
 @query
 def export_order(c: Context) -> DataFrame:
     """The exported matrix read back, rows numbered in the order of its files."""
-    path = f"{checkpoint_dir(c.spark).rstrip('/')}/footfall-export-{uuid.uuid4().hex}"
+    path = _export_path(c)
     IO.export_matrix(c.matrix, path)
     return IO.read_in_order(c.spark, path, "persona").select("row_number", "persona", "target_shopped_ind", "cust_key")
 

@@ -40,6 +40,13 @@ def _nth(name: str, month: int, weekday: int, nth: str) -> str:
   qualify row_number() over (partition by year(d) order by {order}) = {place})"""
 
 
+#: Easter by the rule of the Gregorian calendar, not from the list that the calendar under test reads.
+EASTERS = """easters(yr, easter) as (
+  select yr, make_date(yr, p // 31, p % 31 + 1) from (
+    select yr, yr % 19 as a, yr // 100 as b, yr % 100 as c, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 as h,
+      (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 as l, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 as p
+    from (select unnest(range(2013, 2028)) as yr)))"""
+
 CALENDAR = f"""
 alldays as (select cast(unnest(generate_series(date '2012-01-01', date '2020-12-31', interval 1 day)) as date) as d),
 fiscal_years as (
@@ -61,7 +68,7 @@ shifts as (
 {_nth("fathers_day", 6, 0, 3)},
 {_nth("labor_day", 9, 1, 1)},
 {_nth("thanksgiving", 11, 4, 4)},
-easters(yr, easter) as ({_values([(d.year, d) for d in S.EASTER_SUNDAYS])}),
+{EASTERS},
 holidays as (
   select yr, make_date(yr, 1, 1) as new_years_day, make_date(yr, 2, 14) as valentines_day, easter, mothers_day, memorial_day,
     fathers_day, labor_day, thanksgiving, make_date(yr, 12, 25) as christmas
@@ -774,6 +781,14 @@ def _evaluation() -> None:
         """select row_number() over (order by persona::varchar desc, target_shopped_ind::varchar desc, cust_key::varchar) as row_number,
         persona::varchar as persona, target_shopped_ind::varchar as target_shopped_ind, cust_key::varchar as cust_key from matrix""",
     )
+    _add("loaded_table", WITH_MATRIX, MATRIX_KINDS, "from matrix")
+    _add("persona_folders", WITH_MATRIX + [SPLIT], f"{IDS} is_train:i", "from split")
+    _add(
+        "reloaded_models",
+        WITH_MATRIX + [SPLIT],
+        "persona:i n_rows:i n_changed:i",
+        "select persona, count(*) as n_rows, 0 as n_changed from split where not is_train group by 1",
+    )
     _add("confusion_matrix", parts, "persona:i y:i pred:i n:i", "select persona, y, pred, count(*) as n from scored group by all")
     _add(
         "percentile_cutoff",
