@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm.common import fresh
+
 WORDS = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 
@@ -53,27 +55,27 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
-def _repeated(df: DataFrame) -> DataFrame:
-    """Add n_repeat_words: words inside a window of eight words that occurs twice or more in the text.
+def _repeated(df: DataFrame, words: str, hashes: str, ordered: str) -> DataFrame:
+    """Add n_repeat_words from the column of words: words inside a window of eight words that occurs twice or more in the text.
 
     Windows are compared by one 64-bit hash first. Only texts in which hashes repeat sort their
     windows, by 128 hash bits; then the gaps between the starts of repeated windows give the words.
     """
-    n = F.size("_words")
+    n = F.size(words)
     starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    df = _held(df, "_hashes", F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
-    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    df = _held(df, hashes, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
     keyed = F.transform(
-        F.col("_hashes"),
-        lambda h, i: F.struct(h.alias("h"), F.xxhash64(F.lit("second"), F.slice("_words", i + 1, WINDOW)).alias("g"), i.alias("i")),
+        F.col(hashes),
+        lambda h, i: F.struct(h.alias("h"), F.xxhash64(F.lit("second"), F.slice(words, i + 1, WINDOW)).alias("g"), i.alias("i")),
     )
-    df = _held(df, "_sorted", F.when(repeats, F.sort_array(keyed)))
+    df = _held(df, ordered, F.when(repeats, F.sort_array(keyed)))
 
     def same(x: Column, at: Column) -> Column:
-        y = F.get("_sorted", at)
+        y = F.get(ordered, at)
         return F.coalesce((x["h"] == y["h"]) & (x["g"] == y["g"]), F.lit(False))
 
-    twice = F.filter("_sorted", lambda x, k: same(x, k - 1) | same(x, k + 1))
+    twice = F.filter(ordered, lambda x, k: same(x, k - 1) | same(x, k + 1))
     begun = F.sort_array(F.transform(twice, lambda x: x["i"]))
     state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate(
@@ -82,7 +84,7 @@ def _repeated(df: DataFrame) -> DataFrame:
         lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n"), i.alias("last")),
         lambda s: s["n"],
     )
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_hashes", "_sorted")
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop(hashes, ordered)
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -90,30 +92,37 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measurements, each worked out once over the whole text; null and empty texts give zeros."""
+    """Add the measurements, each worked out once over the whole text; null and empty texts give zeros.
+
+    Rows stay as they are, repeated ones too; an empty table gives an empty one. Columns named like a
+    measurement are replaced; all others keep name and value.
+    """
     keep = [c for c in docs.columns if c not in MEASURES]
-    df = docs.select(*keep).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    df = _held(df, "_words", F.regexp_extract_all("_text", F.lit(WORDS), F.lit(0)))
-    df = _repeated(df)
-    df = _held(df, "_lines", F.filter(F.split("_text", "\n", -1), lambda x: F.regexp_like(x, F.lit(WORDS))))
-    body = F.col("_text")
+    body, words, lines, hashes, ordered = (fresh(docs, name) for name in ("text", "words", "lines", "hashes", "sorted"))
+    df = docs.select(*keep).withColumn(body, F.coalesce(F.col(text), F.lit("")))
+    df = _held(df, words, F.regexp_extract_all(body, F.lit(WORDS), F.lit(0)))
+    df = _repeated(df, words, hashes, ordered)
+    df = _held(df, lines, F.filter(F.split(body, "\n", -1), lambda x: F.regexp_like(x, F.lit(WORDS))))
     return df.select(
         *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        _count(body, r"[#*$%&|<>]").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        _count(F.col(body), r"[#*$%&|<>]").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.size("_lines").cast("long").alias("n_lines"),
-        _count(body, r"\p{Lu}").alias("n_capitals"),
-        _count(body, r"\p{L}").alias("n_letters"),
-        _count(body, "!").alias("n_marks"),
-        F.size(F.filter("_words", lambda w, i: w.eqNullSafe(F.get("_words", i - 1)))).cast("long").alias("n_same_next"),
+        F.size(lines).cast("long").alias("n_lines"),
+        _count(F.col(body), r"\p{Lu}").alias("n_capitals"),
+        _count(F.col(body), r"\p{L}").alias("n_letters"),
+        _count(F.col(body), "!").alias("n_marks"),
+        F.size(F.filter(words, lambda w, i: w.eqNullSafe(F.get(words, i - 1)))).cast("long").alias("n_same_next"),
     )
 
 
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows with their measurements and `failed`, the bits of the rules that they fail."""
+    """The rows with their measurements and `failed`, the bits of the rules that they fail.
+
+    What `measure` says of odd rows holds here; a column named `failed` is replaced.
+    """
     measured = measure(docs.drop("failed"), text)
     bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(rules)]
     failed = bits[0]

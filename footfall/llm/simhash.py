@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import ascii_words, cut, map_texts
+from footfall.llm.common import ascii_words, cut, fresh, map_texts
 from footfall.llm.components import connected
 
 SEGMENTS = 32
@@ -169,20 +169,23 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **ho
 
     Rows whose key is null or not unique are told apart by their fingerprint, worked out again for
     these rows alone: of rows with equal key and fingerprint one stays, and where a group has only
-    null keys one row per fingerprint stays.
+    null keys one row per fingerprint stays. An empty table gives an empty one; columns of any name
+    keep their value.
     """
     columns = docs.columns
+    k, fp, group, at, searched = (fresh(docs, name) for name in ("key", "fp", "group", "at", "searched"))
     groups = near_duplicates(docs, key, text, **how)
-    groups = cut(groups.select(F.col(key).alias("_key"), F.col("fp").alias("_fp"), F.col("component").alias("_group")))
-    odd = cut(groups.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _key is null").select("_key"))
-    gone = groups.where("_key <> _group").select("_key").union(odd).distinct()
-    kept = docs.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("_key"), "left_anti")
+    groups = cut(groups.select(F.col(key).alias(k), F.col("fp").alias(fp), F.col("component").alias(group)))
+    odd = cut(groups.groupBy(k).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(k).isNull()).select(k))
+    gone = groups.where(F.col(k) != F.col(group)).select(k).union(odd).distinct()
+    kept = docs.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col(k), "left_anti")
     if odd.limit(1).count():
-        first = groups.where("_key <=> _group").select("_key", "_fp")
-        rows = docs.join(odd, F.col(key).eqNullSafe(F.col("_key")), "left_semi").withColumn("_searched", F.col(text))
-        marked = map_texts(rows, "_searched", lambda: lambda texts: {"_at": [fingerprint(t) for t in texts]}, "_at bigint", columns)
-        same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_fp"))
-        kept = kept.unionByName(marked.join(first, same, "left_semi").dropDuplicates([key, "_at"]).select(*columns))
+        first = groups.where(F.col(k).eqNullSafe(F.col(group))).select(k, fp)
+        rows = docs.join(odd, F.col(key).eqNullSafe(F.col(k)), "left_semi").withColumn(searched, F.col(text))
+        width, seed = how.get("width", 4), how.get("seed", 42)
+        marked = map_texts(rows, searched, lambda: lambda texts: {at: [fingerprint(t, width, seed) for t in texts]}, f"{at} bigint", columns)
+        same = F.col(key).eqNullSafe(F.col(k)) & (F.col(at) == F.col(fp))
+        kept = kept.unionByName(marked.join(first, same, "left_semi").dropDuplicates([key, at]).select(*columns))
     return kept
 
 

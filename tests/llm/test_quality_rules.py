@@ -81,3 +81,17 @@ def test_no_python(spark):
     plan = Q.ledger(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan.split("Scan")[0])
     assert F is not None
+
+
+def test_columns_of_any_name_keep_their_value(spark):
+    from footfall.llm import simhash
+
+    names = ["_text", "_words", "_lines", "_hashes", "_sorted", "_key", "_fp", "_group", "_at", "_searched", "fp", "n", "component"]
+    rows = [(1, "a b c d e f", *names), (1, "a b c d e f", *names), (2, "a b c d e f", *names), (None, "x y", *names), (3, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    made = Q.ledger(docs).collect()
+    assert len(made) == 5 and all(row[n] == n for row in made for n in names)
+    assert sorted(r.n_words for r in made) == [0, 2, 6, 6, 6]
+    kept = simhash.first_of_each(docs).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "x y"), (1, "a b c d e f"), (3, "")]
+    assert all(row[n] == n for row in kept for n in names)
