@@ -11,10 +11,11 @@ import re
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from footfall.llm.common import map_texts
-from footfall.llm.nets import Adagrad, Words, labelled_sample, sigmoid
+from footfall.llm.common import STEP_CHARS, map_texts, stored
+from footfall.llm.nets import Adagrad, Words, batches, class_weights, fit_all, labelled, sigmoid
 
 BUCKETS, SIZE, STATS, HIDDEN, GATE = 1 << 14, 12, 4, 16, 12
 #: Words of a passage; the last one of a text may be shorter.
@@ -149,26 +150,40 @@ class Model:
 def fit(samples: list[tuple[str, int]], seed: int = 0, epochs: int = EPOCHS) -> Model:
     """Fit on (text, label) rows with both classes weighing the same; no rows give even scores."""
     model = Model(seed)
-    if not samples:
-        return model
-    draw = np.random.default_rng(seed + 1)
+    if samples:
+        ones = sum(y for _, y in samples)
+        train(model, Adagrad(model.p, RATE), samples, class_weights(len(samples) - ones, ones), epochs, seed + 1)
+    return model
+
+
+def train(model: Model, adagrad: Adagrad, samples: list[tuple[str, int]], weights: tuple[float, float], epochs: int, seed: int) -> None:
+    """Steps over (text, label) rows, long and short texts mixed in each."""
+    draw = np.random.default_rng(seed)
     words = Words(buckets, 4, limit=1 << 62)
     labels = np.array([y for _, y in samples], np.float32)
-    weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())).astype(np.float32) * len(labels)
-    order = np.argsort([len(t) for t, _ in samples], kind="stable")
-    batches = [Bags(words, [samples[i][0] for i in order[a::-(-len(order) // BATCH)]]) for a in range(-(-len(order) // BATCH))]
-    members = [order[a :: len(batches)] for a in range(len(batches))]
+    weight = np.where(labels == 1, weights[1], weights[0]).astype(np.float32)
+    sizes = np.array([len(t) for t, _ in samples])
+    order, n = np.argsort(sizes, kind="stable"), -(-len(samples) // BATCH)
+    members = [m for a in range(n) for m in batches(order[a::n], sizes, BATCH, STEP_CHARS)]
+    bags = [Bags(words, [samples[i][0] for i in m]) for m in members]
     rows = np.array(words.made)
-    adagrad = Adagrad(model.p, RATE)
     for _ in range(epochs):
-        for b in draw.permutation(len(batches)):
-            model.step(adagrad, batches[b], rows, labels[members[b]], weight[members[b]])
-    return model
+        for b in draw.permutation(len(bags)):
+            model.step(adagrad, bags[b], rows, labels[members[b]], weight[members[b]])
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text") -> Model:
-    """The model fitted on a bounded sample of the labelled documents whose key is allowed."""
-    return fit(labelled_sample(docs, labels, "quality", allowed, key, text))
+    """The model fitted on all labelled documents whose key is allowed."""
+    rows = stored(labelled(docs, labels, "quality", allowed, key, text))
+    counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
+    weights = class_weights(counts.get(0, 0), counts.get(1, 0))
+    model = Model()
+
+    def steps(model: Model, adagrad: Adagrad, table: pa.Table, epochs: int, seed: int) -> None:
+        train(model, adagrad, list(zip(table.column("text").to_pylist(), table.column("_label").to_pylist(), strict=True)), weights, epochs, seed)
+
+    fit_all(rows, model, RATE, steps, EPOCHS)
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", column: str = "score") -> DataFrame:

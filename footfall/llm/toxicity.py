@@ -12,18 +12,19 @@ import re
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import map_texts
-from footfall.llm.nets import Adagrad, Words, labelled_sample, sigmoid
+from footfall.llm.common import STEP_CHARS, map_texts, stored
+from footfall.llm.nets import Adagrad, Words, batches, class_weights, fit_all, labelled, sigmoid
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 64, 0.08
 PAD = max(WIDTHS) - 1
-#: Every fifth sampled document calibrates the thresholds.
-CALIBRATE = 5
+#: Every fifth labelled document calibrates the thresholds, which are multiples of 1 / LEVELS.
+CALIBRATE, LEVELS = 5, 10_000
 
 
 def buckets(word: str) -> list[int]:
@@ -99,21 +100,25 @@ class Model:
 def fit(samples: list[tuple[str, int]], seed: int = 0, epochs: int = EPOCHS) -> Model:
     """Fit on (text, label) rows; one class only, or no rows, give a model of near even scores."""
     model = Model(seed)
-    if not samples:
-        return model
-    draw = np.random.default_rng(seed + 1)
+    if samples:
+        ones = sum(y for _, y in samples)
+        train(model, Adagrad(model.p, RATE), samples, class_weights(len(samples) - ones, ones), epochs, seed + 1)
+    return model
+
+
+def train(model: Model, adagrad: Adagrad, samples: list[tuple[str, int]], weights: tuple[float, float], epochs: int, seed: int) -> None:
+    """Steps over (text, label) rows."""
+    draw = np.random.default_rng(seed)
     words = Words(buckets, 5, limit=1 << 62)
     split = [tokens(t) for t, _ in samples]
     ids, starts = words.ids(split, PAD)
     ends = np.append(starts[1:], len(ids))
     rows = np.array(words.made)
     labels = np.array([y for _, y in samples], np.float32)
-    weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())).astype(np.float32) * len(labels)
-    adagrad = Adagrad(model.p, RATE)
+    weight = np.where(labels == 1, weights[1], weights[0]).astype(np.float32)
+    sizes = np.array([len(t) for t, _ in samples])
     for _ in range(epochs):
-        order = draw.permutation(len(samples))
-        for a in range(0, len(order), BATCH):
-            batch = order[a : a + BATCH]
+        for batch in batches(draw.permutation(len(samples)), sizes, BATCH, STEP_CHARS):
             here = np.concatenate([np.arange(starts[i], ends[i]) for i in batch])
             first = np.concatenate([[0], np.cumsum((ends - starts)[batch])[:-1]])
             used, local = np.unique(ids[here], return_inverse=True)
@@ -145,39 +150,68 @@ def fit(samples: list[tuple[str, int]], seed: int = 0, epochs: int = EPOCHS) ->
             back_e = grown[touched] @ model.p["filters"].T
             adagrad.rows("embedding", rows[used[touched]].ravel(), np.repeat(back_e, rows.shape[1], axis=0))
             adagrad.step(grads)
-    return model
+
+
+def best(scores: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> float | None:
+    """The cut with the best balanced accuracy, nearest to 0.5; of each score: how many rows of label 0 and 1 have it."""
+    if not zeros.sum() or not ones.sum():
+        return None
+    order = np.argsort(scores, kind="stable")
+    cuts = np.unique(np.concatenate([scores, [0.5]]))
+    at = np.searchsorted(scores[order], cuts)
+    below, above = (np.concatenate([[0], np.cumsum(n[order])]) for n in (zeros, ones))
+    right = (above[-1] - above[at]) / above[-1] + below[at] / below[-1]
+    top = cuts[right >= right.max() - 1e-12]
+    return float(top[np.argmin(np.abs(top - 0.5))])
 
 
 def thresholds(scores: np.ndarray, labels: list[int], languages: list[str | None]) -> dict[str, float]:
     """Per language the cut with the best balanced accuracy; "" holds the cut over all, for languages not seen."""
     y = np.array(labels)
 
-    def best(chosen: np.ndarray) -> float | None:
-        s, t = scores[chosen], y[chosen]
-        if not (t == 1).any() or not (t == 0).any():
-            return None
-        high, low = np.sort(s[t == 1]), np.sort(s[t == 0])
-        cuts = np.unique(np.concatenate([s, [0.5]]))
-        right = (len(high) - np.searchsorted(high, cuts)) / len(high) + np.searchsorted(low, cuts) / len(low)
-        top = cuts[right >= right.max() - 1e-12]
-        return float(top[np.argmin(np.abs(top - 0.5))])
-
-    whole = best(np.ones(len(y), bool))
+    def of(chosen: np.ndarray) -> float | None:
+        return best(scores[chosen], y[chosen] == 0, y[chosen] == 1)
+
+    whole = of(np.ones(len(y), bool))
     out = {"": 0.5 if whole is None else whole}
     for name in sorted({x for x in languages if x is not None}):
-        cut = best(np.array([x == name for x in languages]))
+        cut = of(np.array([x == name for x in languages]))
         if cut is not None:
             out[name] = cut
     return out
 
 
+def calibrated(scored: DataFrame) -> dict[str, float]:
+    """`thresholds` over all rows (lang, score, _label): cuts are multiples of 1 / LEVELS, rows are counted by level in Spark."""
+    level = F.floor(F.col("score") * LEVELS).cast("int").alias("level")
+    counts = stored(scored.groupBy("lang", level).agg(F.count_if(F.col("_label") == 0).alias("zeros"), F.count_if(F.col("_label") == 1).alias("ones")))
+    schema = "lang string, cut double"
+
+    def cut(key, table):
+        level, zeros, ones = (table.column(c).to_numpy() for c in ("level", "zeros", "ones"))
+        return pa.table({"lang": [key[0].as_py()], "cut": pa.array([best(level / LEVELS, zeros, ones)], pa.float64())})
+
+    each = counts.where("lang is not null").groupBy("lang").applyInArrow(cut, schema)
+    whole = counts.groupBy("level").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    whole = whole.groupBy(F.lit("").alias("lang")).applyInArrow(cut, schema)
+    cuts = {r.lang: r.cut for r in each.where("cut is not null").collect()} | {"": 0.5} | {"": r.cut for r in whole.collect() if r.cut is not None}
+    return dict(sorted(cuts.items()))
+
+
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[Model, dict[str, float]]:
-    """Model and thresholds from the labelled documents whose key is allowed."""
-    rows = labelled_sample(docs, labels, "toxic", allowed, key, text, extra=(lang,))
-    held = rows[::CALIBRATE]
-    model = fit([r[:2] for i, r in enumerate(rows) if i % CALIBRATE])
-    scores = np.concatenate([model.scorer()([r[0]]) for r in held]) if held else np.empty(0)
-    return model, thresholds(scores, [r[1] for r in held], [r[2] for r in held])
+    """Model and thresholds from all labelled documents whose key is allowed."""
+    rows = stored(labelled(docs.withColumnRenamed(lang, "lang"), labels, "toxic", allowed, key, text, ("lang",)))
+    held = F.pmod(F.xxhash64("_order"), F.lit(CALIBRATE)) == 0
+    kept = rows.where(~held).drop("lang")
+    counts = {r["_label"]: r["count"] for r in kept.groupBy("_label").count().collect()}
+    weights = class_weights(counts.get(0, 0), counts.get(1, 0))
+    model = Model()
+
+    def steps(model: Model, adagrad: Adagrad, table: pa.Table, epochs: int, seed: int) -> None:
+        train(model, adagrad, list(zip(table.column("text").to_pylist(), table.column("_label").to_pylist(), strict=True)), weights, epochs, seed)
+
+    fit_all(kept, model, RATE, steps, EPOCHS)
+    return model, calibrated(score(rows.where(held), model, ["lang", "_label"]))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", column: str = "score") -> DataFrame:

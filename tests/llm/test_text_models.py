@@ -1,13 +1,15 @@
 """Toxicity and quality models: gradients, planted signals, held-out accuracy, odd rows."""
 
 import random
+from collections import Counter
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.llm import quality_mil, toxicity
+from footfall.llm import nets, quality_mil, toxicity
 from footfall.llm.common import fold
 from footfall.llm.nets import Words, labelled_sample, sigmoid
 
@@ -182,3 +184,41 @@ def test_held_out_accuracy(spark, name, label, least):
     assert np.mean([r.predicted == r[label] for r in made]) > least
     ones = [r for r in made if r[label] == 0 and name.startswith("op7") or r[label] == 1 and name.startswith("op1")]
     assert np.mean([r.predicted == r[label] for r in ones]) > 0.85
+
+
+def test_every_row_is_trained_on(spark, monkeypatch):
+    def count_rows(model, adagrad, table, epochs, seed):
+        for i in table.column("row").to_pylist():
+            model.p["seen"][i] += epochs
+            adagrad.sums["seen"][i] += 1
+
+    rows = [(i, f"t{i}" * (i % 40)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "row long, text string").select("row", "text", F.xxhash64("row").alias("_order"))
+    for part, parts in ((1 << 40, 128), (20_000, 128), (9_000, 2)):  # one part, one turn, several turns
+        monkeypatch.setattr(nets, "PART_CHARS", part)
+        monkeypatch.setattr(nets, "PARTS", parts)
+        model = SimpleNamespace(p={"a": np.zeros(7, np.float32), "seen": np.zeros(len(rows), np.float32)})
+        assert nets.fit_all(docs, model, 0.1, count_rows, 3) == len(rows)
+        seen = Counter(model.p["seen"].tolist())
+        assert seen == {3.0: 500} if part > 20_000 else set(seen) == {1.0, 4.0} and seen[1.0] > 300
+        assert not model.p["a"].any()
+    assert nets.fit_all(docs.limit(0), model, 0.1, count_rows, 3) == 0
+
+
+@pytest.mark.parametrize("module, name", [(toxicity, "toxic"), (quality_mil, "quality")])
+def test_long_texts_take_part_in_the_fit(spark, module, name):
+    """All documents of one class are longer than those once sampled."""
+    draw = random.Random(5)
+    texts = [((" vexing!! WORDS" if y else " plain words") * (1500 if y else draw.randint(5, 50)), y) for y in [0, 1] * 20]
+    docs = spark.createDataFrame([(i, t, "en") for i, (t, _) in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], f"doc_id long, {name} int")
+    model = module.learn(docs, labels, F.lit(True))
+    scores = (model[0] if module is toxicity else model).scorer()(["vexing!! WORDS " * 30, "plain words " * 30])
+    assert scores[0] > scores[1] + 0.2
+
+
+def test_thresholds_count_all_rows(spark):
+    rows = [(x, s, y) for x, s, y in [("a", 0.1, 0), ("a", 0.4, 0), ("a", 0.6, 1), ("b", 0.2, 0), ("b", 0.3, 1), (None, 0.9, 1), ("c", 0.5, 1)] for _ in range(50)]
+    cuts = toxicity.calibrated(spark.createDataFrame(rows, "lang string, score double, _label int"))
+    held = toxicity.thresholds(np.array([s for _, s, _ in rows]), [y for *_, y in rows], [x for x, *_ in rows])
+    assert set(cuts) == set(held) == {"", "a", "b"} and all(abs(cuts[k] - held[k]) <= 1 / toxicity.LEVELS for k in cuts)
