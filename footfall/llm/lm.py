@@ -1,7 +1,7 @@
 """Log-probabilities of texts under a causal self-attention model over subword ids.
 
-Subwords: the pieces of a public vocabulary; all single symbols and the pieces most frequent in a
-sample stay, other pieces fall apart into the two they were merged from, so every word has exactly
+Subwords: the pieces of a public vocabulary; all single symbols and the pieces most frequent in the
+training texts stay, other pieces fall apart into the two they were merged from, so every word has exactly
 one spelling. One attention layer looks back over at most CONTEXT pieces. The next piece is drawn
 in two steps, its class and its member, both from the attended state. Texts are scored in
 overlapping windows: each gives only its last STRIDE places, so every piece is scored once.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import ascii_words, steps, stored
-from footfall.llm.nets import Adagrad
+from footfall.llm.nets import Adagrad, fit_all
 
 CLASSES, MEMBERS = 32, 32  # as many members as classes: one table of scores serves both steps
 LOOK, STATE = 16, 32
@@ -34,8 +34,8 @@ CONTEXT, STRIDE = 32, 24
 BACK = CONTEXT - STRIDE
 #: Share of a word's probability that comes from the corpus counts.
 COUNTED = 0.3
-#: Sampled training documents, their longest text, and the steps of the fit.
-SAMPLE_DOCS, SAMPLE_CHARS, STEPS, BATCH, RATE = 1500, 20_000, 1000, 128, 0.6
+#: Steps of the first part of the fit, at the least, and windows and rate of a step.
+STEPS, BATCH, RATE = 1000, 128, 0.6
 #: A word is frequent if it makes up this share of all training tokens; so there are at most 1 / share of them.
 FREQUENT = 1e-6
 #: Distinct words that a task counts, or whose spelling it remembers, before it starts anew.
@@ -193,69 +193,96 @@ class Model:
             out[where] = self.logs(h[scored], ids[where])
         return out
 
+    def begin(self, seen: np.ndarray) -> None:
+        """Begin with the frequencies of classes and members; seen: how often each piece number occurs."""
+        seen = seen.reshape(CLASSES, MEMBERS).astype(np.float32) + 0.1
+        self.p["class_0"][:] = np.log(seen.sum(1) / seen.sum())
+        self.p["member_0"][:] = np.log(seen / seen.sum(1, keepdims=True))
+
     def train(self, ids: np.ndarray, starts: np.ndarray, seed: int = 1, steps: int = STEPS) -> None:
         """Stochastic steps on windows of the texts."""
         if not len(starts):
             return
-        p, draw = self.p, np.random.default_rng(seed)
-        # begin with the frequencies of classes and members
-        seen = np.bincount(ids, minlength=CLASSES * MEMBERS).reshape(CLASSES, MEMBERS).astype(np.float32) + 0.1
-        p["class_0"][:] = np.log(seen.sum(1) / seen.sum())
-        p["member_0"][:] = np.log(seen / seen.sum(1, keepdims=True))
+        draw = np.random.default_rng(seed)
+        self.begin(np.bincount(ids, minlength=CLASSES * MEMBERS))
+        adagrad, inputs, begins = Adagrad(self.p, RATE), *self._before(ids, starts)
+        for _ in range(steps):
+            # a window may run into the next text there; such places are left out
+            self.step(adagrad, ids, inputs, begins, draw.integers(0, max(1, len(ids) - STRIDE), BATCH))
+        self.bound()
+
+    def go_through(self, adagrad: Adagrad, ids: np.ndarray, starts: np.ndarray, seed: int, least: int = 0) -> None:
+        """Steps on all windows of the texts, again until there are `least` steps."""
+        draw = np.random.default_rng(seed)
+        inputs, begins = self._before(ids, starts)
+        per_text = -(-np.diff(np.append(starts, len(ids))) // STRIDE)
+        windows = np.repeat(starts - (np.cumsum(per_text) - per_text) * STRIDE, per_text) + np.arange(per_text.sum()) * STRIDE
+        taken = 0
+        while not taken or taken < least:
+            order = draw.permutation(windows)
+            for a in range(0, len(order), BATCH):
+                self.step(adagrad, ids, inputs, begins, order[a : a + BATCH])
+                taken += 1
+
+    def _before(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What stands before each piece, and where its text begins."""
         inputs = np.empty_like(ids)
         inputs[1:] = ids[:-1]
         inputs[starts] = 0
         begins = np.zeros(len(ids), np.int64)
         begins[starts] = starts
-        begins = np.maximum.accumulate(begins)
-        adagrad = Adagrad(p, RATE)
-        near = np.maximum(self.distance, 0).ravel()
-        for _ in range(steps):
-            # a window may run into the next text there; such places are left out
-            first = draw.integers(0, max(1, len(ids) - STRIDE), BATCH)
-            place = np.minimum(first[:, None] - BACK + np.arange(CONTEXT)[None, :], len(ids) - 1)
-            begin = begins[first][:, None]
-            valid = (place >= begin) & (begins[np.maximum(place, 0)] == begin)
-            place = np.maximum(place, 0)
-            rows = inputs[place]
-            f = self.attend(rows, valid, weights=True)
-            scored = valid[:, BACK:].ravel()
-            target = ids[place[:, BACK:].ravel()]
-            h, n = f["h"], np.float32(1 / max(1, scored.sum()))
-            group, member = np.divmod(target, MEMBERS)
-            first_p = np.exp(h @ p["class"] + p["class_0"])
-            first_p /= first_p.sum(1, keepdims=True)
-            first_p[np.arange(len(group)), group] -= 1
-            first_p *= (scored * n)[:, None]
-            grads = {"class": h.T @ first_p, "class_0": first_p.sum(0)}
-            dh = first_p @ p["class"].T
-            grads["member"], grads["member_0"] = np.zeros_like(p["member"]), np.zeros_like(p["member_0"])
-            for c in np.unique(group[scored]):
-                at = np.flatnonzero((group == c) & scored)
-                w = p["member"][c * STATE : (c + 1) * STATE]
-                second = np.exp(h[at] @ w + p["member_0"][c])
-                second /= second.sum(1, keepdims=True)
-                second[np.arange(len(at)), member[at]] -= 1
-                second *= n
-                grads["member"][c * STATE : (c + 1) * STATE] = h[at].T @ second
-                grads["member_0"][c] = second.sum(0)
-                dh[at] += second @ w.T
-            du = dh * (1 - h * h)
-            grads["mix"] = f["o"].T @ du
-            do = (du @ p["mix"].T).reshape(BATCH, STRIDE, LOOK)
-            a = f["a"]
-            da = np.matmul(do, f["v"].transpose(0, 2, 1))
-            ds = a * (da - (a * da).sum(2, keepdims=True))
-            dv = np.matmul(a.transpose(0, 2, 1), do)
-            dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
-            grads["near"] = np.bincount(near, ds.sum(0).ravel() * (self.distance.ravel() >= 0), CONTEXT).astype(np.float32)
-            adagrad.step(grads)
-            adagrad.rows("own", rows[:, BACK:].ravel(), du)
-            adagrad.rows("query", rows[:, BACK:].ravel(), dq.reshape(-1, LOOK))
-            adagrad.rows("key", rows.ravel(), dk.reshape(-1, LOOK))
-            adagrad.rows("value", rows.ravel(), dv.reshape(-1, LOOK))
-        longest = [np.sqrt((p[k] ** 2).sum(1)).max() for k in ("query", "key")]
-        self.bounded = bool(longest[0] * longest[1] + np.abs(p["near"]).max() < 60)
+        return inputs, np.maximum.accumulate(begins)
+
+    def bound(self) -> None:
+        longest = [np.sqrt((self.p[k] ** 2).sum(1)).max() for k in ("query", "key")]
+        self.bounded = bool(longest[0] * longest[1] + np.abs(self.p["near"]).max() < 60)
+
+    def step(self, adagrad: Adagrad, ids: np.ndarray, inputs: np.ndarray, begins: np.ndarray, first: np.ndarray) -> None:
+        """One step on the windows whose scored places begin at `first`."""
+        p, near = self.p, np.maximum(self.distance, 0).ravel()
+        place = first[:, None] - BACK + np.arange(CONTEXT)[None, :]
+        inside = place < len(ids)
+        place = np.minimum(place, len(ids) - 1)
+        begin = begins[first][:, None]
+        valid = inside & (place >= begin) & (begins[np.maximum(place, 0)] == begin)
+        place = np.maximum(place, 0)
+        rows = inputs[place]
+        f = self.attend(rows, valid, weights=True)
+        scored = valid[:, BACK:].ravel()
+        target = ids[place[:, BACK:].ravel()]
+        h, n = f["h"], np.float32(1 / max(1, scored.sum()))
+        group, member = np.divmod(target, MEMBERS)
+        first_p = np.exp(h @ p["class"] + p["class_0"])
+        first_p /= first_p.sum(1, keepdims=True)
+        first_p[np.arange(len(group)), group] -= 1
+        first_p *= (scored * n)[:, None]
+        grads = {"class": h.T @ first_p, "class_0": first_p.sum(0)}
+        dh = first_p @ p["class"].T
+        grads["member"], grads["member_0"] = np.zeros_like(p["member"]), np.zeros_like(p["member_0"])
+        for c in np.unique(group[scored]):
+            at = np.flatnonzero((group == c) & scored)
+            w = p["member"][c * STATE : (c + 1) * STATE]
+            second = np.exp(h[at] @ w + p["member_0"][c])
+            second /= second.sum(1, keepdims=True)
+            second[np.arange(len(at)), member[at]] -= 1
+            second *= n
+            grads["member"][c * STATE : (c + 1) * STATE] = h[at].T @ second
+            grads["member_0"][c] = second.sum(0)
+            dh[at] += second @ w.T
+        du = dh * (1 - h * h)
+        grads["mix"] = f["o"].T @ du
+        do = (du @ p["mix"].T).reshape(len(first), STRIDE, LOOK)
+        a = f["a"]
+        da = np.matmul(do, f["v"].transpose(0, 2, 1))
+        ds = a * (da - (a * da).sum(2, keepdims=True))
+        dv = np.matmul(a.transpose(0, 2, 1), do)
+        dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
+        grads["near"] = np.bincount(near, ds.sum(0).ravel() * (self.distance.ravel() >= 0), CONTEXT).astype(np.float32)
+        adagrad.step(grads)
+        adagrad.rows("own", rows[:, BACK:].ravel(), du)
+        adagrad.rows("query", rows[:, BACK:].ravel(), dq.reshape(-1, LOOK))
+        adagrad.rows("key", rows.ravel(), dk.reshape(-1, LOOK))
+        adagrad.rows("value", rows.ravel(), dv.reshape(-1, LOOK))
 
 
 class Speller:
@@ -325,11 +352,51 @@ def fit(texts: list[str], path: str, seed: int = 0, steps: int = STEPS) -> Model
     return model
 
 
-def learn(docs: DataFrame, allowed: Column, path: str, key: str = "doc_id", text: str = "text") -> Model:
-    """The model from a bounded sample of the allowed documents: those with the least hash of their key."""
-    keys = docs.where(F.col(key).isNotNull() & allowed).select(key).orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS).distinct()
-    rows = docs.where(F.length(text) <= SAMPLE_CHARS).join(F.broadcast(keys), key).select(key, text).collect()
-    return fit([r[1] for r in sorted(rows, key=lambda r: (str(r[0]), r[1]))], path)
+def flat_texts(speller: Speller, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces of some texts, each closed by piece 0, and where each text begins."""
+    rows = speller.ids([ascii_words(t) for t in texts])
+    ids, starts = speller.flat(rows)
+    ends = np.flatnonzero(rows == 0)
+    return ids, starts[np.concatenate([[0], ends[:-1] + 1])]
+
+
+def piece_counts(counts: DataFrame, path: str) -> dict[int, int]:
+    """How often each vocabulary piece occurs in all counted words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, seen = Pieces(path), Counter()
+        for part in batches:
+            for ids, n in zip(pieces.encode(part.column("word").to_pylist()), part.column("n").to_pylist(), strict=True):
+                for i in ids:
+                    seen[i] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+
+    made = counts.where(F.length("word") > 0).select("word", "n").mapInArrow(run, "piece int, n bigint")
+    return {r.piece: r.n for r in made.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+
+
+def learn(docs: DataFrame, allowed: Column, path: str, counts: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """The model from all allowed documents: pieces by the counts of all words (`word_counts`), steps on every window of every text."""
+    pieces, seen = Pieces(path), piece_counts(counts, path)
+    room = CLASSES * MEMBERS - 1 - len(pieces.symbols)
+    pieces.keep(sorted((i for i in seen if i in pieces.parts), key=lambda i: (-seen[i], i))[:room])
+    numbers = np.zeros(CLASSES * MEMBERS)
+    for i, n in seen.items():
+        for number in pieces._spell(i):
+            numbers[number] += n
+    numbers[0] = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    model, least = Model(pieces), STEPS
+    if seen or numbers[0]:
+        model.begin(numbers)
+
+    def steps(model: Model, adagrad: Adagrad, table: pa.Table, epochs: int, seed: int) -> None:
+        ids, starts = flat_texts(Speller(model.pieces, limit=1 << 62), table.column("text").to_pylist())
+        model.go_through(adagrad, ids, starts, seed, least if epochs > 1 else 0)
+
+    rows = docs.where(allowed).select(F.xxhash64(key, text).alias("_order"), F.coalesce(text, F.lit("")).alias("text"))
+    fit_all(rows, model, RATE, steps, 2)
+    model.bound()
+    return model
 
 
 def word_counts(docs: DataFrame, allowed: Column, text: str = "text") -> DataFrame:
@@ -366,8 +433,8 @@ def score(docs: DataFrame, allowed: Column, path: str, key: str = "doc_id", text
     With nothing to learn from, base scores are 0 and scores come from an even model.
     """
     spark = docs.sparkSession
-    model = learn(docs, allowed, path, key, text)
     counts = stored(word_counts(docs, allowed, text))
+    model = learn(docs, allowed, path, counts, key, text)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = {bytes(r.word): r.n for r in counts.where(F.col("n") >= max(1, FREQUENT * total)).collect()}
     shared = spark.sparkContext.broadcast((model, frequent))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from zlib import crc32
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm.common import shared_folder
+
 #: Of `labelled_sample` alone, which no model is fitted on: documents per class, and the longest text.
 SAMPLE_PER_CLASS = 2000
 SAMPLE_CHARS = 20_000
@@ -70,6 +73,10 @@ def fit_all(rows: DataFrame, model, rate: float, train: Callable, passes: int) -
     parts = -(-pieces // turns)
     deal = F.pmod("_order", F.lit(parts * turns))
     dealt = rows.withColumn("_part", (deal % parts).cast("int")).withColumn("_turn", F.floor(deal / parts).cast("int"))
+    if turns > 1:  # a folder per turn, so that each reads its own rows only
+        place = f"{shared_folder(rows.sparkSession)}/footfall-turns-{uuid.uuid4().hex}"
+        dealt.write.partitionBy("_turn").parquet(place)
+        dealt = rows.sparkSession.read.schema(dealt.schema).parquet(place)
     adagrad = Adagrad(model.p, rate)
     _averaged(dealt.where("_turn = 0 and _part = 0").drop("_turn"), model, adagrad, rate, train, passes, 0)
     for turn in range(turns if pieces > 1 else 0):

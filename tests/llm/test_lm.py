@@ -128,3 +128,38 @@ def test_long_unseen_words_cost_their_whole_probability(spark, monkeypatch):
 
 def test_every_place_looks_back_far_enough():
     assert lm.BACK >= 8 and lm.CONTEXT >= 32
+
+
+def test_the_model_learns_from_every_document(spark, monkeypatch):
+    """Long texts, which a sample left out, and null keys: what only they hold is learnt."""
+    monkeypatch.setattr(lm, "STEPS", 40)
+    rows = [(i, t) for i, t in enumerate(texts(60))]
+    long = "zyxzyx qvqvq " * 4000
+    docs = spark.createDataFrame([*rows, (None, long), (99, long)], "doc_id long, text string")
+    counts = lm.word_counts(docs, F.lit(True))
+    with_long = lm.learn(docs, F.lit(True), PATH, counts)
+    without = lm.learn(docs.limit(60), F.lit(True), PATH, lm.word_counts(docs.limit(60), F.lit(True)))
+    held = []
+    for m in (with_long, without):
+        speller = lm.Speller(m.pieces)
+        ids, starts = lm.flat_texts(speller, ["zyxzyx qvqvq " * 50])
+        held.append(m.text_logs(ids, starts).sum())
+    assert held[0] > held[1] + 50
+    seen = lm.piece_counts(counts, PATH)
+    pieces = lm.Pieces(PATH)
+    brute_counts = Counter(i for _, t in [*rows, (0, long), (0, long)] for ids in pieces.encode(lm.ascii_words(t)) for i in ids)
+    assert seen == dict(brute_counts)
+
+
+def test_a_pass_takes_every_window(model):
+    ids, starts = lm.flat_texts(lm.Speller(model.pieces), [*texts(9, 4), "", "the " * 200])
+
+    class Places(lm.Model):
+        def step(self, adagrad, ids, inputs, begins, first):
+            place = first[:, None] + np.arange(lm.STRIDE)
+            inside = (place < len(ids)) & (begins[np.minimum(place, len(ids) - 1)] == begins[first][:, None])
+            taken.extend(place[inside].tolist())
+
+    taken = []
+    Places(model.pieces).go_through(None, ids, starts, 1)
+    assert sorted(taken) == list(range(len(ids)))
