@@ -89,3 +89,16 @@ def test_calendar_scans_the_sales_once(spark):
 def test_last_year_spend_is_one_pass(stored, events):
     text = plan(FE.pct_spend_in_event_ly(stored, events, FEATURE_END))
     assert len(re.findall(r"FileScan parquet \[[^\]]*spend_gross", text)) == 1
+
+
+def test_tasks_of_the_matrix_follow_the_size_of_the_input(spark, monkeypatch):
+    from footfall.sources import staging
+
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")}
+    monkeypatch.setattr(staging, "TASK_BYTES", 1 << 20)
+    rows = spark.range(1_000_000).selectExpr("id * 7 as id", "sha2(string(id), 256) as text").groupBy("id").agg({"text": "max"})
+    usual = len(staging.materialize(rows).inputFiles())
+    with staging.partitions_by_size(spark, 100 * staging.TASK_BYTES):
+        sized = len(staging.materialize(rows.select("*")).inputFiles())
+    assert sized > 1.5 * usual, (sized, usual)
+    assert before == {k: spark.conf.get(k, None) for k in before}
