@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from footfall.llm.common import map_texts
 
 END = "</w>"
-#: Words and seams that a task remembers before it starts anew.
+#: Words, pieces of words and seams that a task remembers before it starts anew.
 REMEMBERED = 400_000
 SPACE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[^{SPACE}]+")
@@ -83,8 +83,9 @@ class Vocabulary:
             if max(self.born[left], self.born[right]) >= rank or self.born[made] >= 0:
                 raise ValueError(f"merge {rank} stands before its parts or makes a token twice")
             self.born[made], self.parts[made], self.merged[left, right] = rank, (left, right), rank
-        self.seams: dict[tuple[int, int], bool] = {}
+        self.seams: dict[int, bool] = {}
         self.words: dict[str, str] = {}
+        self.pieces: dict[str, str] = {}
         self.automaton = ahocorasick.Automaton()
         whole = set()
         for token, i in sorted(self.ids.items(), key=lambda x: self.born[x[1]]):
@@ -113,42 +114,58 @@ class Vocabulary:
                 return True
 
     def seam(self, a: int, b: int) -> bool:
-        known = self.seams.get((a, b))
-        if known is None:
-            if len(self.seams) >= REMEMBERED:
-                self.seams.clear()
-            known = self.seams[a, b] = self._holds(a, b, len(self.merged))
+        if len(self.seams) >= REMEMBERED:
+            self.seams.clear()
+        known = self.seams[a << 32 | b] = self._holds(a, b, len(self.merged))
         return known
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one piece of the split pattern."""
-        text = word.encode("utf-8").decode("latin-1")
+        text = word if word.isascii() else word.encode("utf-8").decode("latin-1")
         text = text[:-1] + chr(ord(text[-1]) + 256)
-        last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
+        last, size_of = [-1] * (len(text) + 1), [0] * (len(text) + 1)
+        seams = self.seams
         for end, (token, size) in self.automaton.iter(text):
             end += 1
-            if last[end] is None:
+            if last[end] < 0:
                 start = end - size
-                if not start or (last[start] is not None and self.seam(last[start][0], token)):
-                    last[end] = (token, start)
+                if start:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    known = seams.get(before << 32 | token)
+                    if not (self.seam(before, token) if known is None else known):
+                        continue
+                last[end], size_of[end] = token, size
         ids, at = [], len(text)
         while at:
-            token, at = last[at]
-            ids.append(token)
+            ids.append(last[at])
+            at -= size_of[at]
         return ids[::-1]
 
+    def _piece(self, piece: str) -> str:
+        """Ids of one piece of the split pattern, as decimal text."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            ids = " ".join(map(str, self.encode_word(piece)))
+            if len(piece) <= 64:
+                self.pieces[piece] = ids
+        return ids
+
     def _chunk(self, chunk: str) -> str:
         """Ids of a run without white space, as decimal text."""
-        ids: list[int] = []
+        ids: list[str] = []
         for part in self.special.split(chunk) if self.special else [chunk]:
             if part in self.specials:
-                ids.append(self.specials[part])
-            elif part:
-                part = unicodedata.normalize("NFC", part)
-                part = part.lower() if part.isascii() else part.translate(LOWER).lower()
-                for piece in self.split.finditer(part if part.isascii() else SYMBOL.sub("!", part)):
-                    ids += self.encode_word(part[piece.start() : piece.end()])
-        return " ".join(map(str, ids))
+                ids.append(str(self.specials[part]))
+            elif part.isascii():
+                ids += [self._piece(m.group()) for m in self.split.finditer(part.lower())]
+            else:
+                part = unicodedata.normalize("NFC", part).translate(LOWER).lower()
+                ids += [self._piece(part[m.start() : m.end()]) for m in self.split.finditer(SYMBOL.sub("!", part))]
+        return " ".join(ids)
 
     def encode_text(self, text: str) -> str:
         """All ids of a text, in decimal, between single spaces."""

@@ -61,3 +61,18 @@ def test_frames(spark):
     out = bpe.digests(docs, PATH, ["doc_id"])
     assert out.count() == 4 and out.where("n_tokens = 0").count() == 2
     assert bpe.digests(docs.limit(0), PATH, ["doc_id"]).count() == 0
+
+
+def test_pieces_are_spelled_once(vocabulary, library, monkeypatch):
+    """Words that differ only in marks share the work on their letters, also when little is remembered."""
+    vocabulary = bpe.Vocabulary(PATH)
+    spelled = []
+    plain = vocabulary.encode_word
+    monkeypatch.setattr(vocabulary, "encode_word", lambda w: spelled.append(w) or plain(w))
+    same(vocabulary, library, "Antionbleti antionbleti, antionbleti. antionbleti*** Kelvin kelvin;")
+    assert len(spelled) == len(set(spelled)) and spelled.count("antionbleti") == 1
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    small = bpe.Vocabulary(PATH)
+    for text in CASES:
+        same(small, library, text * 3)
+    assert len(small.pieces) <= 3
