@@ -110,3 +110,24 @@ def test_nulls_and_missing_personas(spark, planted):
         LIN.fit_each(holes, {1: ["a"]}, 0.1)
     none = LIN.fit_each(planted.where("persona = 1"), {1: ["a"], 9: ["a"]}, 0.1)
     assert none[1][0] > 0 and not none[9].any()
+
+
+@pytest.mark.parametrize("penalty,l1_ratio", [(1e-6, 1.0), (1e-5, 0.0), (1e-4, 0.5), (0.05, 1.0)])
+def test_newton_step_of_columns_that_nearly_repeat(penalty, l1_ratio):
+    """One step reaches the least quadratic plus penalty, also where coordinate descent creeps."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(400, 8))
+    x[:, 4:] = x[:, :4] + 0.003 * draw.normal(size=(400, 4))
+    x = np.column_stack([x, np.ones(400)])
+    second, at = 0.2 * x.T @ x / 400, np.zeros((1, 9))
+    slope = x.T @ (0.5 - (x[:, 0] - x[:, 5] + draw.normal(size=400) > 0)) / 400
+    l1, l2 = np.array([penalty * l1_ratio]), np.array([penalty * (1 - l1_ratio)])
+    after = LIN.newton_steps(at, slope[None], second[None], l1, l2)
+    assert LIN.violations(after, slope[None] + (second @ after[0])[None], l1, l2)[0] < 1e-8
+
+
+def test_rows_of_one_file_are_spread(spark, planted, monkeypatch):
+    monkeypatch.setattr(LIN, "FILE_ROWS", 300)
+    rows = LIN.fit_rows(planted.coalesce(1), FEATURES)
+    assert len(rows.inputFiles()) >= 3 and rows.count() == 1200
+    assert LIN.fit_rows(planted.where("persona = 9"), FEATURES).count() == 0
