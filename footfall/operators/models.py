@@ -41,7 +41,7 @@ def _columns() -> dict:
 
 def random_forest(depth: int = 11, impurity: str = "gini", trees: int = 200, seed: int = 2301) -> Estimator:
     return RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, impurity=impurity, seed=seed, maxMemoryInMB=1024, **_columns()
+        numTrees=trees, maxDepth=depth, impurity=impurity, seed=seed, maxMemoryInMB=1024, cacheNodeIds=True, **_columns()
     )
 
 

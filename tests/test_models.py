@@ -84,3 +84,12 @@ def test_bootstrap(planted, features):
     assert len(coefs) == 3 * 7
     assert all(r.coef > 0.1 for r in coefs if r.feature == "a")
     assert len({r.coef for r in coefs if r.feature == "a"}) == 6  # every resample differs
+
+
+def test_forests_remember_the_node_of_each_row(planted):
+    """Deep trees are not walked from the root again at every level; the trees stay the same."""
+    forest = ML.random_forest(8, trees=12)
+    assert forest.getOrDefault("cacheNodeIds")
+    rows = ML.persona_vectors(planted, 2, ["a", "b", "c"]).persist()
+    again = forest.copy({forest.cacheNodeIds: False})
+    assert forest.fit(rows).toDebugString == again.fit(rows).toDebugString.replace(again.uid, forest.uid)
