@@ -18,9 +18,11 @@ import math
 import os
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -251,38 +253,46 @@ class Model:
         scored = valid[:, BACK:].ravel()
         target = ids[place[:, BACK:].ravel()]
         h, n = f["h"], np.float32(1 / max(1, scored.sum()))
-        group, member = np.divmod(target, MEMBERS)
-        first_p = np.exp(h @ p["class"] + p["class_0"])
+        group, member = np.divmod(target.astype(np.int16), np.int16(MEMBERS))
+        first_p = h @ p["class"]
+        first_p += p["class_0"]
+        np.exp(first_p, out=first_p)
         first_p /= first_p.sum(1, keepdims=True)
         first_p[np.arange(len(group)), group] -= 1
         first_p *= (scored * n)[:, None]
         grads = {"class": h.T @ first_p, "class_0": first_p.sum(0)}
         dh = first_p @ p["class"].T
         grads["member"], grads["member_0"] = np.zeros_like(p["member"]), np.zeros_like(p["member_0"])
-        for c in np.unique(group[scored]):
-            at = np.flatnonzero((group == c) & scored)
-            w = p["member"][c * STATE : (c + 1) * STATE]
-            second = np.exp(h[at] @ w + p["member_0"][c])
-            second /= second.sum(1, keepdims=True)
-            second[np.arange(len(at)), member[at]] -= 1
-            second *= n
-            grads["member"][c * STATE : (c + 1) * STATE] = h[at].T @ second
-            grads["member_0"][c] = second.sum(0)
-            dh[at] += second @ w.T
+        at = np.flatnonzero(scored)
+        at = at[np.argsort(group[at], kind="stable")]  # the scored places class by class
+        states, second, back = h[at], np.empty((len(at), MEMBERS), np.float32), np.empty((len(at), STATE), np.float32)
+        bounds = np.searchsorted(group[at], np.arange(CLASSES + 1, dtype=np.int16)).tolist()
+        classes = [(c, slice(a, b), p["member"][c * STATE : (c + 1) * STATE]) for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+        for c, own, w in classes:
+            np.matmul(states[own], w, out=second[own])
+            second[own] += p["member_0"][c]
+        np.exp(second, out=second)
+        second /= second.sum(1, keepdims=True)
+        second[np.arange(len(at)), member[at]] -= 1
+        second *= n
+        for c, own, w in classes:
+            np.matmul(states[own].T, second[own], out=grads["member"][c * STATE : (c + 1) * STATE])
+            second[own].sum(0, out=grads["member_0"][c])
+            np.matmul(second[own], w.T, out=back[own])
+        dh[at] += back
         du = dh * (1 - h * h)
         grads["mix"] = f["o"].T @ du
         do = (du @ p["mix"].T).reshape(len(first), STRIDE, LOOK)
         a = f["a"]
-        da = np.matmul(do, f["v"].transpose(0, 2, 1))
-        ds = a * (da - (a * da).sum(2, keepdims=True))
+        ds = np.matmul(do, f["v"].transpose(0, 2, 1))
+        ds -= (a * ds).sum(2, keepdims=True)
+        ds *= a
         dv = np.matmul(a.transpose(0, 2, 1), do)
         dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
         grads["near"] = np.bincount(near, ds.sum(0).ravel() * (self.distance.ravel() >= 0), CONTEXT).astype(np.float32)
         adagrad.step(grads)
-        adagrad.rows("own", rows[:, BACK:].ravel(), du)
-        adagrad.rows("query", rows[:, BACK:].ravel(), dq.reshape(-1, LOOK))
-        adagrad.rows("key", rows.ravel(), dk.reshape(-1, LOOK))
-        adagrad.rows("value", rows.ravel(), dv.reshape(-1, LOOK))
+        adagrad.rows_of(rows[:, BACK:].ravel(), {"own": du, "query": dq.reshape(-1, LOOK)})
+        adagrad.rows_of(rows.ravel(), {"key": dk.reshape(-1, LOOK), "value": dv.reshape(-1, LOOK)})
 
 
 class Speller:
@@ -301,27 +311,32 @@ class Speller:
 
     def ids(self, texts: list[list[bytes]]) -> np.ndarray:
         """Rows of all words, each text closed by row 0."""
+        return self.ids_of(pa.array([w for words in texts for w in words], pa.large_binary()), np.fromiter(map(len, texts), np.int64, len(texts)))
+
+    def ids_of(self, words: pa.Array, sizes: np.ndarray) -> np.ndarray:
+        """The same for the words of all texts behind each other; sizes: how many each text has."""
         if len(self.words) > self.limit:
             self.clear()
+        words = words.dictionary_encode()
         rows, fresh = self.rows, []
-        out = []
-        for words in texts:
-            for w in words:
-                at = rows.get(w)
-                if at is None:
-                    at = rows[w] = len(self.words) + len(fresh)
-                    fresh.append(w)
-                out.append(at)
-            out.append(0)
+        found = np.empty(len(words.dictionary), np.int64)
+        for i, w in enumerate(words.dictionary.cast(pa.large_binary()).to_pylist()):
+            at = rows.get(w)
+            if at is None:
+                at = rows[w] = len(self.words) + len(fresh)
+                fresh.append(w)
+            found[i] = at
         if fresh:
             spelled = self.pieces.spell(fresh)
-            sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
-            self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.pool = np.concatenate([self.pool, np.fromiter((n for s in spelled for n in s), np.int64, int(sizes.sum()))])
+            lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
+            self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(lengths) - lengths])
+            self.size = np.concatenate([self.size, lengths])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(spelled), np.int64, int(lengths.sum()))])
             self.counts = np.concatenate([self.counts, np.fromiter(map(self.weight, fresh), float, len(fresh))])
             self.words += fresh
-        return np.array(out, np.int64)
+        out = np.zeros(len(words) + len(sizes), np.int64)
+        out[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = found[words.indices.to_numpy(zero_copy_only=False)]
+        return out
 
     def flat(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pieces of these words, and where each word's begin."""
@@ -330,6 +345,18 @@ class Speller:
         return self.pool[np.repeat(self.at[rows] - starts, sizes) + np.arange(sizes.sum())], starts
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of `ascii_words` of all texts behind each other, and how many each text has; null: none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.greater(pc.binary_length(words), 0)  # white space at the ends of a text gives empty ones
+    real = some.to_numpy(zero_copy_only=False)
+    if not real.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        words = words.filter(some)
+    return words, sizes
+
+
 def fit(texts: list[str], path: str, seed: int = 0, steps: int = STEPS) -> Model:
     """Choose the kept pieces and train the model on a list of texts; none give an even model."""
     pieces = Pieces(path)
@@ -352,9 +379,9 @@ def fit(texts: list[str], path: str, seed: int = 0, steps: int = STEPS) -> Model
     return model
 
 
-def flat_texts(speller: Speller, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def flat_texts(speller: Speller, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All pieces of some texts, each closed by piece 0, and where each text begins."""
-    rows = speller.ids([ascii_words(t) for t in texts])
+    rows = speller.ids_of(*split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())))
     ids, starts = speller.flat(rows)
     ends = np.flatnonzero(rows == 0)
     return ids, starts[np.concatenate([[0], ends[:-1] + 1])]
@@ -390,7 +417,7 @@ def learn(docs: DataFrame, allowed: Column, path: str, counts: DataFrame, key: s
         model.begin(numbers)
 
     def steps(model: Model, adagrad: Adagrad, table: pa.Table, epochs: int, seed: int) -> None:
-        ids, starts = flat_texts(Speller(model.pieces, limit=1 << 62), table.column("text").to_pylist())
+        ids, starts = flat_texts(Speller(model.pieces, limit=1 << 62), table.column("text").combine_chunks())
         model.go_through(adagrad, ids, starts, seed, least if epochs > 1 else 0)
 
     rows = docs.where(allowed).select(F.xxhash64(key, text).alias("_order"), F.coalesce(text, F.lit("")).alias("text"))
@@ -445,8 +472,7 @@ def score(docs: DataFrame, allowed: Column, path: str, key: str = "doc_id", text
         speller = Speller(model.pieces, lambda w: known.get(w, 0.0))
         number = TaskContext.get().partitionId() << 36
         for part in steps(batches, text):
-            split = [ascii_words(t or "") for t in part.column(1).to_pylist()]
-            rows = speller.ids(split)
+            rows = speller.ids_of(*split_words(part.column(1)))
             ids, starts = speller.flat(rows)
             ends = np.flatnonzero(rows == 0)
             begin = np.concatenate([[0], ends[:-1] + 1])

@@ -198,11 +198,23 @@ class Adagrad:
 
     def rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
         """Step of some rows of a table; repeated rows add up."""
+        self.rows_of(at, {name: grads})
+
+    def rows_of(self, at: np.ndarray, grads: dict[str, np.ndarray]) -> None:
+        """Step of the same rows of several tables, which are put in order once."""
+        if not len(at):
+            return
+        if all(len(self.parameters[name]) <= 1 << 15 for name in grads):
+            at = at.astype(np.int16)  # numpy sorts these by digits
         order = np.argsort(at, kind="stable")
-        where, first = np.unique(at[order], return_index=True)
-        total = np.add.reduceat(grads[order], first, axis=0) if len(first) else grads
-        self.sums[name][where] += total * total
-        self.parameters[name][where] -= self.rate * total / np.sqrt(self.sums[name][where])
+        sorted_at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
+        where = sorted_at[first].astype(np.int64)
+        for name, g in grads.items():
+            total = np.add.reduceat(g[order], first, axis=0)
+            sums = self.sums[name][where] + total * total
+            self.sums[name][where] = sums
+            self.parameters[name][where] -= self.rate * total / np.sqrt(sums)
 
 
 def sigmoid(x):

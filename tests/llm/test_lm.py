@@ -4,11 +4,13 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from footfall.llm import lm
 from footfall.llm.common import fold
+from footfall.llm.nets import Adagrad
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -163,3 +165,25 @@ def test_a_pass_takes_every_window(model):
     taken = []
     Places(model.pieces).go_through(None, ids, starts, 1)
     assert sorted(taken) == list(range(len(ids)))
+
+
+def test_words_of_arrow_texts():
+    held = [*texts(5, 3), "", None, " \t lead and trail\x0b\n", "Ünder ÄB c d \x1f x", "\x0c", "a"]
+    words, sizes = lm.split_words(pa.array(held))
+    split = [lm.ascii_words(t or "") for t in held]
+    assert words.cast(pa.binary()).to_pylist() == [w for s in split for w in s] and sizes.tolist() == [len(s) for s in split]
+    pieces = lm.Pieces(PATH)
+    assert lm.Speller(pieces).ids_of(words, sizes).tolist() == lm.Speller(pieces).ids(split).tolist()
+
+
+def test_tables_stepped_together_move_as_each_by_itself():
+    draw = np.random.default_rng(3)
+    at = draw.integers(0, 9, 40)
+    table, grads = {"x": draw.random((9, 3)), "y": draw.random((9, 2))}, {"x": draw.random((40, 3)), "y": draw.random((40, 2))}
+    together = Adagrad({k: v.copy() for k, v in table.items()}, 0.5)
+    together.rows_of(at, grads)
+    for k, v in table.items():
+        total = np.zeros_like(v)
+        np.add.at(total, at, grads[k])
+        assert np.allclose(together.parameters[k], v - 0.5 * total / np.sqrt(1e-3 + total**2))
+    together.rows_of(at[:0], {"x": grads["x"][:0]})
