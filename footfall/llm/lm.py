@@ -18,7 +18,7 @@ import math
 import os
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import ascii_words, steps, stored
-from footfall.llm.nets import Adagrad, fit_all
+from footfall.llm.nets import Adagrad, fit_all, sums_of_runs
 
 CLASSES, MEMBERS = 32, 32  # as many members as classes: one table of scores serves both steps
 LOOK, STATE = 16, 32
 CONTEXT, STRIDE = 32, 24
 BACK = CONTEXT - STRIDE
+ONES = np.ones(32, np.float32)  # row sums of short rows are quickest as a product with it
 #: Share of a word's probability that comes from the corpus counts.
 COUNTED = 0.3
 #: Steps of the first part of the fit, at the least, and windows and rate of a step.
@@ -42,33 +43,74 @@ STEPS, BATCH, RATE = 1000, 128, 0.6
 FREQUENT = 1e-6
 #: Distinct words that a task counts, or whose spelling it remembers, before it starts anew.
 REMEMBERED = 200_000
-#: Windows worked on, and words spelled, together.
-WINDOWS, TOGETHER = 1024, 20_000
+#: Windows worked on, and words spelled, together; words that go to the tokenizer as one text.
+WINDOWS, TOGETHER, JOINED = 512, 20_000, 200
 END_WORD = "</w>"
 
 
+class Vocabulary:
+    """What a vocabulary file says, the same for all spellings that start from it."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self.ids = ids = model["vocab"]
+        self.names = {i: t for t, i in ids.items()}
+        self.merges = [tuple(m) for m in model["merges"]]
+        self.parts = {ids[a + b]: (ids[a], ids[b]) for a, b in self.merges}
+        self.symbols = sorted(set(ids.values()) - set(self.parts))
+        self.size = max(ids.values(), default=0) + 1
+        # whether a piece is the last of its word: its last symbol is one that ends words, whatever it spells
+        self.last = np.zeros(self.size, bool)
+        self.last[[i for i in self.symbols if self.names[i].endswith(END_WORD) and len(self.names[i]) > len(END_WORD)]] = True
+        for a, b in self.merges:
+            self.last[ids[a + b]] = self.last[ids[b]]
+        self.tokenizer = self.apart = None
+
+    def tokenizers(self):
+        """The tokenizer of texts whose words a blank parts, and that of single words."""
+        if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer, models, pre_tokenizers
+
+            # without its memory of words, since words come here once
+            model = models.BPE(vocab=self.ids, merges=self.merges, end_of_word_suffix=END_WORD, cache_capacity=0)
+            whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.tokenizer, self.apart = Tokenizer(model), Tokenizer(model)
+            self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), whole])
+            self.apart.pre_tokenizer = whole
+        return self.tokenizer, self.apart
+
+
+@lru_cache(maxsize=2)
+def read_vocabulary(path: str, changed: int) -> Vocabulary:
+    return Vocabulary(path)
+
+
+def flat_places(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places at, at + 1, ... of every run of this size, behind each other."""
+    return np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class Pieces:
     """Spelling of words in piece numbers: 0 begins and ends a text, the others are vocabulary pieces."""
 
     def __init__(self, path: str, kept: list[int] | None = None):
         self.path = path
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        self.vocabulary = model["vocab"]
-        ids = self.vocabulary
-        self.parts = {ids[a + b]: (ids[a], ids[b]) for a, b in model["merges"]}
-        self.symbols = sorted(set(ids.values()) - set(self.parts))
+        self.vocabulary = read_vocabulary(path, os.stat(path).st_mtime_ns)
+        self.parts, self.symbols = self.vocabulary.parts, self.vocabulary.symbols
         self.keep(kept or [])
-        self.tokenizer = None
-        self.merges = [tuple(m) for m in model["merges"]]
 
     def keep(self, kept: list[int]) -> None:
         self.kept = kept
-        names = {i: t for t, i in self.vocabulary.items()}
+        names = self.vocabulary.names
         # classes hold pieces that are neighbours in the alphabet, those inside words before those at ends
         order = sorted([*self.symbols, *kept], key=lambda i: (names[i].endswith(END_WORD), names[i]))
         self.number = {i: n + 1 for n, i in enumerate(order)}
         self.spelled: dict[int, tuple[int, ...]] = {}
+        # the spelled pieces behind each other, and where that of each vocabulary id begins (-1: not spelled yet)
+        self.pool = np.zeros(0, np.int64)
+        self.at, self.size = np.full(self.vocabulary.size, -1, np.int64), np.zeros(self.vocabulary.size, np.int64)
 
     def _spell(self, piece: int) -> tuple[int, ...]:
         if piece in self.number:
@@ -79,22 +121,47 @@ class Pieces:
             known = self.spelled[piece] = self._spell(a) + self._spell(b)
         return known
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Vocabulary ids of words, before pieces that are not kept fall apart."""
-        if self.tokenizer is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer, models, pre_tokenizers
+    def encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Vocabulary ids of words behind each other, before pieces that are not kept fall apart, and how many each word has.
 
-            self.tokenizer = Tokenizer(models.BPE(vocab=self.vocabulary, merges=self.merges, end_of_word_suffix=END_WORD))
-            self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        out = []
+        Many words go to the tokenizer as one text, parted by blanks, which no word holds.
+        """
+        together, apart = self.vocabulary.tokenizers()
+        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a in range(0, len(words), TOGETHER):
             texts = [w.decode("utf-8", "replace") for w in words[a : a + TOGETHER]]
-            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return out
+            joined = [" ".join(texts[b : b + JOINED]) for b in range(0, len(texts), JOINED)]
+            made = np.array([i for e in together.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int64)
+            ends = np.flatnonzero(self.vocabulary.last[made]) + 1
+            if len(ends) == len(texts) and sum(t.count(" ") for t in joined) == len(texts) - len(joined):
+                size = np.diff(ends, prepend=0)
+            else:  # a word that is empty, holds a blank or ends in a symbol that the vocabulary lacks
+                each = [e.ids for e in apart.encode_batch_fast(texts, add_special_tokens=False)]
+                made = np.array([i for e in each for i in e], np.int64)
+                size = np.fromiter(map(len, each), np.int64, len(each))
+            ids.append(made)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """Vocabulary ids of words, before pieces that are not kept fall apart."""
+        return parted(*self.encode_flat(words))
+
+    def spell_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of words behind each other, and how many each word has."""
+        ids, sizes = self.encode_flat(words)
+        fresh = np.flatnonzero(np.bincount(ids[self.at[ids] < 0], minlength=self.vocabulary.size))
+        if len(fresh):
+            spelled = [self._spell(i) for i in fresh.tolist()]
+            self.size[fresh] = [len(x) for x in spelled]
+            self.at[fresh] = len(self.pool) + np.cumsum(self.size[fresh]) - self.size[fresh]
+            self.pool = np.concatenate([self.pool, [n for x in spelled for n in x]])
+        parts = self.size[ids]
+        word = np.concatenate([[0], np.cumsum(parts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return self.pool[flat_places(self.at[ids], parts)], np.diff(word)
 
     def spell(self, words: list[bytes]) -> list[list[int]]:
-        return [[n for i in ids for n in self._spell(i)] for ids in self.encode(words)]
+        return parted(*self.spell_flat(words))
 
     def __getstate__(self):
         return {"path": self.path, "kept": self.kept}
@@ -103,6 +170,11 @@ class Pieces:
         self.__init__(state["path"], state["kept"])
 
 
+def parted(flat: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    held, ends = flat.tolist(), np.cumsum(sizes).tolist()
+    return [held[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Model:
     def __init__(self, pieces: Pieces, seed: int = 0):
         self.pieces = pieces
@@ -128,7 +200,10 @@ class Model:
         weights: whether "a" has to hold the attention weights themselves, as training needs.
         """
         p = self.p
-        q, k, v = p["query"][ids[:, BACK:]], p["key"][ids], p["value"][ids]
+        # tables that meet the same pieces are read as one
+        qo = np.hstack([p["query"], p["own"]]).take(ids[:, BACK:], axis=0)
+        kv = np.hstack([p["key"], p["value"]]).take(ids, axis=0)
+        q, k, v = qo[..., :LOOK], kv[..., :LOOK], kv[..., LOOK:]
         s = np.matmul(q, k.transpose(0, 2, 1))
         s += np.where(self.distance >= 0, p["near"][np.maximum(self.distance, 0)], np.float32(-1e4))
         if not self.bounded:
@@ -136,34 +211,38 @@ class Model:
         np.exp(s, out=s)
         partial = np.flatnonzero(~valid.all(1))  # windows at the ends of texts
         s[partial] *= valid[partial, None, :]
-        total = s.sum(2, keepdims=True)
+        total = (s.reshape(-1, CONTEXT) @ ONES).reshape(s.shape[:2])
         total += np.float32(1e-20)
-        o = (np.matmul(s, v) / total).reshape(-1, LOOK)
+        o = np.matmul(s, v)
+        o /= total[..., None]
         if weights:
-            s /= total
-        h = np.tanh(o @ p["mix"] + p["own"][ids[:, BACK:].ravel()])
+            s /= total[..., None]
+        o = o.reshape(-1, LOOK)
+        h = o @ p["mix"]
+        h.reshape(qo.shape[0], -1, STATE)[...] += qo[..., LOOK:]
+        np.tanh(h, out=h)
         return {"q": q, "k": k, "v": v, "a": s, "o": o, "h": h}
 
-    def logs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of the targets."""
+    def logs(self, h: np.ndarray, targets: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Natural log-probabilities of the targets; at: the rows of h that they follow, if not all."""
         p = self.p
         order = np.argsort((targets // MEMBERS).astype(np.int16), kind="stable")
         group, member = np.divmod(targets[order], MEMBERS)
-        h = h[order]
-        every = np.arange(len(group))
+        h = h.take(order if at is None else at[order], axis=0)
+        every = np.arange(len(group)) * MEMBERS
         part = h @ p["class"]
         part += p["class_0"]
-        logs = part[every, group]
+        logs = part.ravel().take(every + group)
         np.exp(part, out=part)
-        norms = part.sum(1)
+        norms = part @ ONES
         bounds = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
         for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if a < b:
                 np.matmul(h[a:b], p["member"][c * STATE : (c + 1) * STATE], out=part[a:b])
                 part[a:b] += p["member_0"][c]
-        logs += part[every, member]
+        logs += part.ravel().take(every + member)
         np.exp(part, out=part)
-        norms *= part.sum(1)
+        norms *= part @ ONES
         out = np.empty(len(group), np.float32)
         out[order] = logs - np.log(norms)
         return out
@@ -185,14 +264,16 @@ class Model:
         end = begin + np.repeat(sizes, per_text)
         first = begin + inside * STRIDE
         out = np.empty(len(ids), np.float32)
+        padded = np.concatenate([np.zeros(BACK, ids.dtype), inputs, np.zeros(CONTEXT, ids.dtype)])
+        rows, look = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT), np.arange(CONTEXT)
+        done = 0
         for a in range(0, total, WINDOWS):
-            place = first[a : a + WINDOWS, None] - BACK + np.arange(CONTEXT)[None, :]
-            valid = (place >= begin[a : a + WINDOWS, None]) & (place < end[a : a + WINDOWS, None])
-            np.clip(place, 0, len(ids) - 1, out=place)
-            h = self.attend(inputs[place], valid)["h"]
-            scored = valid[:, BACK:].ravel()
-            where = place[:, BACK:].ravel()[scored]
-            out[where] = self.logs(h[scored], ids[where])
+            some = slice(a, a + WINDOWS)
+            valid = (look >= (begin[some] - first[some] + BACK)[:, None]) & (look < (end[some] - first[some] + BACK)[:, None])
+            h = self.attend(rows[first[some]], valid)["h"]
+            at = np.flatnonzero(valid[:, BACK:])  # window by window these are the pieces in their order
+            out[done : done + len(at)] = self.logs(h, ids[done : done + len(at)], at)
+            done += len(at)
         return out
 
     def begin(self, seen: np.ndarray) -> None:
@@ -243,56 +324,62 @@ class Model:
         """One step on the windows whose scored places begin at `first`."""
         p, near = self.p, np.maximum(self.distance, 0).ravel()
         place = first[:, None] - BACK + np.arange(CONTEXT)[None, :]
-        inside = place < len(ids)
-        place = np.minimum(place, len(ids) - 1)
         begin = begins[first][:, None]
-        valid = inside & (place >= begin) & (begins[np.maximum(place, 0)] == begin)
-        place = np.maximum(place, 0)
-        rows = inputs[place]
+        valid = (place >= begin) & (place < len(ids))
+        np.clip(place, 0, len(ids) - 1, out=place)
+        valid &= begins.take(place) == begin
+        rows = inputs.take(place)
         f = self.attend(rows, valid, weights=True)
-        scored = valid[:, BACK:].ravel()
-        target = ids[place[:, BACK:].ravel()]
-        h, n = f["h"], np.float32(1 / max(1, scored.sum()))
-        group, member = np.divmod(target.astype(np.int16), np.int16(MEMBERS))
-        first_p = h @ p["class"]
-        first_p += p["class_0"]
-        np.exp(first_p, out=first_p)
-        first_p /= first_p.sum(1, keepdims=True)
-        first_p[np.arange(len(group)), group] -= 1
-        first_p *= (scored * n)[:, None]
-        grads = {"class": h.T @ first_p, "class_0": first_p.sum(0)}
-        dh = first_p @ p["class"].T
+        at = np.flatnonzero(valid[:, BACK:])
+        target = ids.take(place[:, BACK:].ravel().take(at)).astype(np.int16)
+        order = np.argsort(target // MEMBERS, kind="stable")
+        at = at[order]  # the scored places class by class
+        group, member = np.divmod(target[order], np.int16(MEMBERS))
+        h, n, every = f["h"].take(at, axis=0), np.float32(1 / max(1, len(at))), np.arange(len(at)) * MEMBERS
+        one = h @ p["class"]
+        one += p["class_0"]
+        np.exp(one, out=one)
+        one *= (n / (one @ ONES))[:, None]
+        one.ravel()[every + group] -= n
+        grads = {"class": h.T @ one, "class_0": one.sum(0)}
         grads["member"], grads["member_0"] = np.zeros_like(p["member"]), np.zeros_like(p["member_0"])
-        at = np.flatnonzero(scored)
-        at = at[np.argsort(group[at], kind="stable")]  # the scored places class by class
-        states, second, back = h[at], np.empty((len(at), MEMBERS), np.float32), np.empty((len(at), STATE), np.float32)
-        bounds = np.searchsorted(group[at], np.arange(CLASSES + 1, dtype=np.int16)).tolist()
-        classes = [(c, slice(a, b), p["member"][c * STATE : (c + 1) * STATE]) for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
-        for c, own, w in classes:
-            np.matmul(states[own], w, out=second[own])
-            second[own] += p["member_0"][c]
-        np.exp(second, out=second)
-        second /= second.sum(1, keepdims=True)
-        second[np.arange(len(at)), member[at]] -= 1
-        second *= n
-        for c, own, w in classes:
-            np.matmul(states[own].T, second[own], out=grads["member"][c * STATE : (c + 1) * STATE])
-            second[own].sum(0, out=grads["member_0"][c])
-            np.matmul(second[own], w.T, out=back[own])
-        dh[at] += back
-        du = dh * (1 - h * h)
+        bounds = np.searchsorted(group, np.arange(CLASSES + 1, dtype=np.int16)).tolist()
+        classes = [(c, slice(a, b), slice(c * STATE, (c + 1) * STATE)) for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+        two, back = np.empty((len(at), MEMBERS), np.float32), np.empty((len(at), STATE), np.float32)
+        for _, own, table in classes:
+            np.matmul(h[own], p["member"][table], out=two[own])
+        two += p["member_0"].take(group, axis=0)
+        np.exp(two, out=two)
+        two *= (n / (two @ ONES))[:, None]
+        two.ravel()[every + member] -= n
+        for _, own, table in classes:
+            np.matmul(h[own].T, two[own], out=grads["member"][table])
+            np.matmul(two[own], p["member"][table].T, out=back[own])
+        grads["member_0"][[c for c, _, _ in classes]] = sums_of_runs(two, np.array([own.start for _, own, _ in classes]))
+        back += one @ p["class"].T
+        h *= h
+        np.subtract(1, h, out=h)
+        back *= h
+        du = np.zeros_like(f["h"])
+        du[at] = back
         grads["mix"] = f["o"].T @ du
-        do = (du @ p["mix"].T).reshape(len(first), STRIDE, LOOK)
+        do = du @ p["mix"].T
+        # of the attention weights' gradient, what their sum of 1 takes away: sum(a * (do @ v)) is do @ o
+        common = np.einsum("ij,ij->i", do, f["o"]).reshape(len(first), STRIDE, 1)
+        do = do.reshape(len(first), STRIDE, LOOK)
         a = f["a"]
         ds = np.matmul(do, f["v"].transpose(0, 2, 1))
-        ds -= (a * ds).sum(2, keepdims=True)
+        ds -= common
         ds *= a
-        dv = np.matmul(a.transpose(0, 2, 1), do)
-        dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
+        dkv, dqo = np.empty((*rows.shape, 2 * LOOK), np.float32), np.empty((len(first), STRIDE, LOOK + STATE), np.float32)
+        np.matmul(ds.transpose(0, 2, 1), f["q"], out=dkv[..., :LOOK])
+        np.matmul(a.transpose(0, 2, 1), do, out=dkv[..., LOOK:])
+        np.matmul(ds, f["k"], out=dqo[..., :LOOK])
+        dqo[..., LOOK:] = du.reshape(len(first), STRIDE, STATE)
         grads["near"] = np.bincount(near, ds.sum(0).ravel() * (self.distance.ravel() >= 0), CONTEXT).astype(np.float32)
         adagrad.step(grads)
-        adagrad.rows_of(rows[:, BACK:].ravel(), {"own": du, "query": dq.reshape(-1, LOOK)})
-        adagrad.rows_of(rows.ravel(), {"key": dk.reshape(-1, LOOK), "value": dv.reshape(-1, LOOK)})
+        adagrad.rows_side_by_side(["query", "own"], rows[:, BACK:].ravel(), dqo.reshape(-1, LOOK + STATE))
+        adagrad.rows_side_by_side(["key", "value"], rows.ravel(), dkv.reshape(-1, 2 * LOOK))
 
 
 class Speller:
@@ -327,11 +414,10 @@ class Speller:
                 fresh.append(w)
             found[i] = at
         if fresh:
-            spelled = self.pieces.spell(fresh)
-            lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
+            spelled, lengths = self.pieces.spell_flat(fresh)
             self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(lengths) - lengths])
             self.size = np.concatenate([self.size, lengths])
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(spelled), np.int64, int(lengths.sum()))])
+            self.pool = np.concatenate([self.pool, spelled])
             self.counts = np.concatenate([self.counts, np.fromiter(map(self.weight, fresh), float, len(fresh))])
             self.words += fresh
         out = np.zeros(len(words) + len(sizes), np.int64)
@@ -342,7 +428,7 @@ class Speller:
         """All pieces of these words, and where each word's begin."""
         sizes = self.size[rows]
         starts = np.cumsum(sizes) - sizes
-        return self.pool[np.repeat(self.at[rows] - starts, sizes) + np.arange(sizes.sum())], starts
+        return self.pool[flat_places(self.at[rows], sizes)], starts
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -391,12 +477,13 @@ def piece_counts(counts: DataFrame, path: str) -> dict[int, int]:
     """How often each vocabulary piece occurs in all counted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, seen = Pieces(path), Counter()
+        pieces = Pieces(path)
+        seen = np.zeros(pieces.vocabulary.size, np.int64)
         for part in batches:
-            for ids, n in zip(pieces.encode(part.column("word").to_pylist()), part.column("n").to_pylist(), strict=True):
-                for i in ids:
-                    seen[i] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+            ids, sizes = pieces.encode_flat(part.column("word").to_pylist())
+            np.add.at(seen, ids, np.repeat(part.column("n").to_numpy(zero_copy_only=False), sizes))
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(seen[found], pa.int64())], ["piece", "n"])
 
     made = counts.where(F.length("word") > 0).select("word", "n").mapInArrow(run, "piece int, n bigint")
     return {r.piece: r.n for r in made.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
@@ -492,7 +579,7 @@ def score(docs: DataFrame, allowed: Column, path: str, key: str = "doc_id", text
                     pa.array(np.add.reduceat((~rare).astype(np.int64), begin)),
                     pa.array(np.add.reduceat(np.log10(n + 1), begin)),
                     pa.array(np.add.reduceat(mixed, begin)),
-                    pa.ListArray.from_arrays(offsets, pa.array([speller.words[r] for r in rows[at]], pa.binary())),
+                    pa.ListArray.from_arrays(offsets, pa.array([speller.words[r] for r in rows[at].tolist()], pa.binary())),
                     pa.ListArray.from_arrays(offsets, pa.array(logs[at])),
                 ],
                 ["row", key, "n_tokens", "n_known", "counted", "mixed", "rare", "rare_logs"],

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from collections import Counter
@@ -187,3 +188,79 @@ def test_tables_stepped_together_move_as_each_by_itself():
         np.add.at(total, at, grads[k])
         assert np.allclose(together.parameters[k], v - 0.5 * total / np.sqrt(1e-3 + total**2))
     together.rows_of(at[:0], {"x": grads["x"][:0]})
+
+
+def test_words_sent_together_are_spelled_as_each_by_itself(tmp_path):
+    pieces = lm.Pieces(PATH)
+    words = [*(w for t in texts(9, 6) for w in lm.ascii_words(t)), b"</w>", b"a</w>b", "x</w>ünder".encode(), b"\xe2\x82", b"\xff", "\U0001f642x".encode()]
+    words += [bytes([c]) for c in range(128) if not bytes([c]).isspace()]
+    apart = pieces.vocabulary.tokenizers()[1]
+    want = [apart.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words]
+    ids, sizes = pieces.encode_flat(words)
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    numbers, sizes = pieces.spell_flat(words)
+    assert lm.parted(numbers, sizes) == [[n for i in x for n in pieces._spell(i)] for x in want]
+    assert pieces.encode([b"a", b"", b"the thing"])[1] == [] and [x.tolist() for x in pieces.spell_flat([])] == [[], []]
+    # a vocabulary that lacks a symbol leaves words without a last piece
+    short = tmp_path / "short.json"
+    short.write_text(json.dumps({"model": {"vocab": {"a": 0, "b</w>": 1, "ab</w>": 2}, "merges": [["a", "b</w>"]]}}))
+    assert lm.Pieces(str(short)).encode([b"ab", b"aa", b"b", b"zb"]) == [[2], [0], [1], [1]]
+
+
+def test_tables_side_by_side_move_as_together():
+    draw = np.random.default_rng(5)
+    at = draw.integers(0, 9, 40)
+    table = {"x": draw.random((9, 4), np.float32), "y": draw.random((9, 2), np.float32)}
+    grads = draw.random((40, 6), np.float32)
+    one, two = (Adagrad({k: v.copy() for k, v in table.items()}, 0.5) for _ in range(2))
+    one.rows_of(at, {"x": grads[:, :4], "y": grads[:, 4:]})
+    two.rows_side_by_side(["x", "y"], at, grads)
+    two.rows_side_by_side(["x", "y"], at[:0], grads[:0])
+    for k in table:
+        assert np.allclose(one.parameters[k], two.parameters[k], atol=1e-6) and np.allclose(one.sums[k], two.sums[k], rtol=1e-5)
+
+
+def test_steps_follow_the_gradient(model):
+    """All tables against differences of the loss, on windows inside, at the beginnings and at the ends of texts."""
+    made = lm.Model(model.pieces, 3)
+    ids, starts = lm.flat_texts(lm.Speller(model.pieces), [*texts(12, 8), "", "the"])
+    inputs, begins = made._before(ids, starts)
+    first = np.concatenate([starts, starts[:9] + lm.STRIDE, [len(ids) - 1]])
+
+    class Gradients:
+        def __init__(self):
+            self.g = {k: np.zeros(v.shape) for k, v in made.p.items()}
+
+        def step(self, grads):
+            for k, g in grads.items():
+                self.g[k] += g
+
+        def rows_side_by_side(self, names, at, grads):
+            for k, g in zip(names, np.split(grads, np.cumsum([made.p[k].shape[1] for k in names])[:-1], axis=1), strict=True):
+                np.add.at(self.g[k], at, g)
+
+    def loss():
+        total = n = 0
+        for f in first:
+            text = begins[f]
+            place = np.arange(max(text, f - lm.BACK), min(f + lm.STRIDE, len(ids)))
+            place = place[begins[place] == text]
+            row, valid = np.zeros((1, lm.CONTEXT), np.int64), np.zeros((1, lm.CONTEXT), bool)
+            row[0, place - f + lm.BACK], valid[0, place - f + lm.BACK] = inputs[place], True
+            h = made.attend(row, valid)["h"][valid[0, lm.BACK :]]
+            total -= made.logs(h, ids[place[place >= f]]).astype(float).sum()
+            n += len(h)
+        return total / n
+
+    found = Gradients()
+    made.step(found, ids, inputs, begins, first)
+    for k, p in made.p.items():
+        steep = np.argsort(-np.abs(found.g[k]).ravel())[:4]
+        for i in steep:
+            old, by = p.flat[i], 0.02
+            p.flat[i] = old + by
+            up = loss()
+            p.flat[i] = old - by
+            numeric = (up - loss()) / (2 * by)
+            p.flat[i] = old
+            assert abs(numeric - found.g[k].flat[i]) < 0.03 * abs(numeric) + 2e-5, (k, i)
